@@ -1,0 +1,41 @@
+"""Joins that stay even when one key holds a large share of the rows."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_HOT = 10_000
+MIN_HOT_ROWS = 1_000_000
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = MIN_HOT_ROWS, max_keys: int = MAX_HOT) -> DataFrame | None:
+    """Keys with more than ``min_rows`` rows and more than 1/``max_keys`` of all rows, or None.
+
+    The second condition bounds the list: fewer than ``max_keys`` keys can exceed that share.
+    """
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n").alias("total"))
+    limit = F.greatest(F.lit(float(min_rows)), total.scalar() / F.lit(float(max_keys)))
+    rows = counts.filter(F.col("_n") > limit).select(*keys).collect()
+    if not rows:
+        return None
+    spark = df.sparkSession
+    return spark.createDataFrame(rows, counts.select(*keys).schema)
+
+
+def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", min_rows: int = MIN_HOT_ROWS) -> DataFrame:
+    """Join to a table with unique keys. Rows of hot keys meet a broadcast of the few right rows they
+    need and stay in their partitions; all other rows go through the ordinary join.
+    """
+    keys = list(keys)
+    hot = hot_keys(left, keys, min_rows)
+    if hot is None:
+        return left.join(right, keys, how)
+    hot_side = left.join(F.broadcast(hot), keys, "left_semi")
+    cold_side = left.join(F.broadcast(hot), keys, "left_anti")
+    hot_right = right.join(F.broadcast(hot), keys, "left_semi")
+    joined = hot_side.join(F.broadcast(hot_right), keys, how)
+    return joined.unionByName(cold_side.join(right, keys, how))
