@@ -118,30 +118,45 @@ def _broken(rule: FieldRule, value: Column) -> Column | None:
     return chain
 
 
-def _check_field(rule: FieldRule, raw: Column, source: T.DataType, present: Column) -> tuple[Column, Column]:
-    """Clean value and error code of one field."""
-    given = _convert(rule, raw, source)
-    value = given if rule.default is None else F.when(present, given).otherwise(F.lit(rule.default))
-    code = F.when(~present, F.lit("missing") if rule.default is None else F.lit(None).cast("string"))
-    code = code.when(given.isNull(), F.lit("type_error"))
-    broken = _broken(rule, given)
-    if broken is not None:
-        code = code.otherwise(broken)
-    clean = F.upper(value) if rule.upper else value
-    return clean.cast(TRANSACTION[rule.name].dataType), code
-
-
-def _checked(df: DataFrame, fields: dict[str, tuple[Column, T.DataType, Column]], extra: Column | None) -> DataFrame:
+def _once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns that are computed once per row.
+
+    A filter on what is derived from them would otherwise be pushed below them, together with a
+    copy of their expressions, and parse every row many times. A generator stops that.
+    """
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
+@dataclass(frozen=True)
+class _Input:
+    """Where a field comes from: its raw column, the type of that, and whether the row has it."""
+
+    raw: Column
+    source: T.DataType
+    present: Column
+
+
+def _checked(df: DataFrame, inputs: dict[str, _Input], extra: Column | None) -> DataFrame:
     """Adds ``clean`` (a struct in contract order) and ``errors``."""
+    read = {f"_v_{rule.name}": _convert(rule, inputs[rule.name].raw, inputs[rule.name].source) for rule in FIELD_RULES}
+    read |= {f"_p_{rule.name}": inputs[rule.name].present for rule in FIELD_RULES}
+    df = _once(df, read)
     clean, errors = [], []
     for rule in FIELD_RULES:
-        value, code = _check_field(rule, *fields[rule.name])
-        clean.append(value.alias(rule.name))
+        given, present = F.col(f"_v_{rule.name}"), F.col(f"_p_{rule.name}")
+        value = given if rule.default is None else F.when(present, given).otherwise(F.lit(rule.default))
+        value = F.upper(value) if rule.upper else value
+        clean.append(value.cast(TRANSACTION[rule.name].dataType).alias(rule.name))
+        absent = F.lit("missing") if rule.default is None else F.lit(None).cast("string")
+        code = F.when(~present, absent).when(given.isNull(), F.lit("type_error"))
+        broken = _broken(rule, given)
+        code = code if broken is None else code.otherwise(broken)
         errors.append(F.when(code.isNotNull(), F.struct(F.lit(rule.name).alias("field"), code.alias("code"))))
-    found = F.array_compact(F.array(*errors))
+    found = F.array_compact(F.array(*errors)).cast(ERROR)
     if extra is not None:
         found = F.concat(found, extra)
-    return df.withColumns({"clean": F.struct(*clean), "errors": found.cast(ERROR)})
+    return df.withColumns({"clean": F.struct(*clean), "errors": found}).drop(*read)
 
 
 def check_table(df: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
@@ -150,30 +165,30 @@ def check_table(df: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     unknown = [name for name in df.columns if name not in known and name not in carry]
     if unknown:
         raise ValueError(f"columns outside the contract: {unknown}")
-    fields = {}
+    inputs = {}
     for rule in FIELD_RULES:
         if rule.name in df.columns:
-            fields[rule.name] = (F.col(rule.name), df.schema[rule.name].dataType, F.col(rule.name).isNotNull())
+            column = F.col(rule.name)
+            inputs[rule.name] = _Input(column, df.schema[rule.name].dataType, column.isNotNull())
         else:
-            fields[rule.name] = (F.lit(None).cast("string"), T.StringType(), F.lit(False))
-    return _checked(df, fields, None)
+            inputs[rule.name] = _Input(F.lit(None).cast("string"), T.StringType(), F.lit(False))
+    return _checked(df, inputs, None)
 
 
 def check_json(df: DataFrame, column: str = "value") -> DataFrame:
     """Check JSON objects. Values may be text that reads as the wanted type; an explicit null is an error."""
-    text = T.StructType([T.StructField(rule.name, T.StringType()) for rule in FIELD_RULES])
-    parsed = df.withColumns({"_fields": F.from_json(column, text), "_keys": F.json_object_keys(column)})
-    is_object = F.col("_keys").isNotNull()
     names = [rule.name for rule in FIELD_RULES]
-    fields = {
-        name: (F.col("_fields")[name], T.StringType(), F.coalesce(F.array_contains("_keys", name), F.lit(False)))
+    text = T.StructType([T.StructField(name, T.StringType()) for name in names])
+    parsed = _once(df, {"_fields": F.from_json(column, text), "_keys": F.json_object_keys(column)})
+    inputs = {
+        name: _Input(F.col("_fields")[name], T.StringType(), F.coalesce(F.array_contains("_keys", name), F.lit(False)))
         for name in names
     }
     unknown = F.array_except("_keys", F.array(*[F.lit(name) for name in names]))
     extra = F.transform(unknown, lambda name: F.struct(name.alias("field"), F.lit("unknown_field").alias("code")))
     broken = F.array(F.struct(F.lit("").alias("field"), F.lit("not_an_object").alias("code")))
-    checked = _checked(parsed, fields, F.coalesce(extra, F.array().cast(ERROR)))
-    errors = F.when(is_object, F.col("errors")).otherwise(broken)
+    checked = _checked(parsed, inputs, F.coalesce(extra, F.array().cast(ERROR)))
+    errors = F.when(F.col("_keys").isNotNull(), F.col("errors")).otherwise(broken)
     return checked.withColumn("errors", errors).drop("_fields", "_keys")
 
 

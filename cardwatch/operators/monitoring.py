@@ -22,11 +22,13 @@ def probability_histogram(df: DataFrame, score: str = "fraud_probability", bound
     """Cumulative rows at or below each bound and in all (bound ``+Inf``), with the sum of scores."""
     bounds = list(bounds or PROBABILITY_BOUNDS)
     counted = df.agg(
-        *[F.count_if(F.col(score) <= bound).alias(str(bound)) for bound in bounds],
-        F.count(score).alias("+Inf"),
+        *[F.count_if(F.col(score) <= bound).alias(f"at_{i}") for i, bound in enumerate(bounds)],
+        F.count(score).alias("at_all"),
         F.sum(score).alias("score_sum"),
     )
-    return counted.unpivot(["score_sum"], [*map(str, bounds), "+Inf"], "le", "n_rows").select("le", "n_rows", "score_sum")
+    lines = [F.struct(F.lit(str(bound)).alias("le"), F.col(f"at_{i}").alias("n_rows")) for i, bound in enumerate(bounds)]
+    lines.append(F.struct(F.lit("+Inf").alias("le"), F.col("at_all").alias("n_rows")))
+    return counted.select(F.explode(F.array(*lines)).alias("line"), "score_sum").select("line.*", "score_sum")
 
 
 def _declined() -> Column:

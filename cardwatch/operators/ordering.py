@@ -187,8 +187,8 @@ def find_cut(
     return Cut(low, find_text(span.select("t"), rank, small))
 
 
-def find_text(df: DataFrame, rank: int, small: int) -> str:
-    """The text at ``rank`` in binary order, one more character of the common prefix per pass."""
+def find_text(df: DataFrame, rank: int, small: int = 10_000) -> str:
+    """The text at ``rank`` in the column ``t`` in binary order, one more character of the common prefix per pass."""
     low, high, total = df.agg(F.min("t"), F.max("t"), F.count("*")).first()
     while low < high and total > small:
         shared = 0

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,16 +128,11 @@ def geo_fraud_rate(df: DataFrame, label: str = "is_fraud") -> DataFrame:
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of each pair of columns (a before b in the list); null if one is constant.
 
-    All pairs come from one aggregate over one scan.
+    One pass adds up the products of all columns as a matrix; the driver receives that matrix only.
     """
     doubles = df.select(*[F.col(name).cast("double").alias(name) for name in columns])
-    pairs = list(itertools.combinations(columns, 2))
-    cells = [F.covar_samp(a, b).alias(f"{a}|{b}") for a, b in pairs]
-    spreads = [F.stddev_samp(name).alias(f"{name}|") for name in columns]
-    wide = doubles.agg(*cells, *spreads)
-
-    def ratio(a: str, b: str) -> Column:
-        return F.col(f"{a}|{b}") / F.nullif(F.col(f"{a}|") * F.col(f"{b}|"), F.lit(0.0))
-
-    rows = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), ratio(a, b).alias("correlation")) for a, b in pairs]
-    return wide.select(F.explode(F.array(*rows)).alias("row")).select("row.*")
+    vectors = VectorAssembler(inputCols=list(columns), outputCol="v").transform(doubles).select("v")
+    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
+    pairs = itertools.combinations(range(len(columns)), 2)
+    rows = [(columns[a], columns[b], None if math.isnan(matrix[a, b]) else float(matrix[a, b])) for a, b in pairs]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, correlation double")

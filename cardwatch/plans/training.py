@@ -34,7 +34,7 @@ def class_weights(df: DataFrame, label: str = "is_fraud") -> tuple[float, DataFr
     return counts.first()["positive_weight"], counts
 
 
-def _learner(settings: dict[str, Any]) -> GBTClassifier:
+def _learner(settings: dict[str, Any], tolerance: float) -> GBTClassifier:
     return GBTClassifier(
         featuresCol="features",
         labelCol="is_fraud",
@@ -47,6 +47,7 @@ def _learner(settings: dict[str, Any]) -> GBTClassifier:
         featureSubsetStrategy=str(settings["feature_share"]),
         subsamplingRate=float(settings["row_share"]),
         seed=int(settings["seed"]),
+        validationTol=tolerance,
     )
 
 
@@ -134,8 +135,7 @@ def train(df: DataFrame, settings: dict[str, Any] | None = None, code_version: s
         }
     )
     assembler = VectorAssembler(inputCols=FEATURE_COLUMNS, outputCol="features", handleInvalid="keep")
-    estimator = _learner(learner).setValidationTol(float(training.get("validation_tolerance", 0.0001)))
-    trees = estimator.fit(assembler.transform(known))
+    trees = _learner(learner, float(training["validation_tolerance"])).fit(assembler.transform(known))
 
     validation = trees.transform(assembler.transform(matrix.filter(F.col("split") == "val")))
     calibrators = {"isotonic": _isotonic, "sigmoid": _sigmoid}

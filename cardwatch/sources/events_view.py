@@ -84,9 +84,22 @@ def transactions_from_events(events: DataFrame) -> DataFrame:
     return _project(events, TRANSACTION_SQL)
 
 
+def _numbered(transactions: DataFrame) -> DataFrame:
+    return transactions.withColumn("event_id", F.expr("cast(substr(transaction_id, 2) AS bigint)"))
+
+
 def dirty_from_transactions(transactions: DataFrame) -> DataFrame:
-    numbered = transactions.withColumn("event_id", F.expr("cast(substr(transaction_id, 2) AS bigint)"))
-    return _project(numbered, DIRTY_SQL)
+    return _project(_numbered(transactions), DIRTY_SQL)
+
+
+def payloads_from_transactions(transactions: DataFrame) -> DataFrame:
+    """The dirty rows as JSON text: numbers of customer_age_days as text, one unknown key in some."""
+    extra = {"event_id": "event_id", "note": "CASE WHEN event_id % 107 = 0 THEN 'x' END"}
+    rows = _project(_numbered(transactions), DIRTY_SQL | extra)
+    stamp = F.date_format(F.col("timestamp").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    special = {"timestamp": stamp, "customer_age_days": F.col("customer_age_days").cast("string")}
+    fields = [special.get(name, F.col(name)).alias(name) for name in (*DIRTY_SQL, "note")]
+    return rows.select("event_id", F.to_json(F.struct(*fields)).alias("value"))
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ from cardwatch.functions.numeric import micros
 from cardwatch.operators.contract import check_json, quarantined_rows, valid_rows
 from cardwatch.operators.drift import psi_from_counts
 from cardwatch.operators.ordering import value_counts
+from cardwatch.operators.skew import lookup
 from cardwatch.operators.velocity import MONTH, VELOCITY_COLUMNS, add_velocity
 from cardwatch.plans.scoring import Scorer, score_transactions
 from cardwatch.sources.tables import safe_output
@@ -129,9 +130,7 @@ def velocity_writer(
         spark = batch.sparkSession
         rows = batch.withColumn("timestamp", F.col("timestamp").cast("timestamp")).persist()
         try:
-            oldest = rows.agg(F.min(micros(F.col("timestamp")))).first()[0]
-            if oldest is None:
-                return
+            oldest = rows.agg(F.min(micros(F.col("timestamp")))).first()[0] or 0
             current = rows.withColumn("_is_new", F.lit(True))
             if batch_id > 0:
                 start = F.timestamp_micros(F.lit(oldest - MONTH))
@@ -140,7 +139,7 @@ def velocity_writer(
                 past = past.filter(
                     (F.col("batch_id") < batch_id) & (F.col("day") >= start.cast("date")) & (F.col("timestamp") >= start)
                 )
-                past = past.select(*kept).join(rows.select(card).distinct(), card, "left_semi")
+                past = lookup(past.select(*kept), rows.select(card).distinct(), [card], "left_semi")
                 current = current.unionByName(past.withColumn("_is_new", F.lit(False)), allowMissingColumns=True)
             done = add_velocity(current, card, **options).filter("_is_new").drop("_is_new")
             _write_batch(done, out_path, batch_id)
