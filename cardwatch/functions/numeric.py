@@ -34,20 +34,31 @@ def score_points(probability: Column) -> Column:
     return F.rint(probability * 1000.0).cast("int")
 
 
-def three_decimals(probability: Column) -> Column:
-    """Text of a number in [0, 1] with three decimals, rounded on its exact binary value.
+def _units(probability: Column, digits: int) -> Column:
+    """Nearest whole number of 10**-digits to a number in [0, 1], decided on its exact binary value.
 
-    ``format_string('%.3f')`` rounds the shortest decimal text, so 0.4125 (binary value just below
-    the tie) would become 0.413. The product with 2000 is split in two exact parts to see on which
-    side of the tie the value really lies.
+    Spark rounds the shortest decimal text of a double, so 0.4125 (its binary value lies just below
+    the tie) would go up. Here the product with twice the scale is split in two exact parts to see
+    on which side of the tie the value really is; an exact tie goes to the even neighbour.
     """
-    low = F.floor(probability * 1000.0)
+    scale = float(10**digits)
+    low = F.floor(probability * scale)
     spread = probability * 134217729.0  # 2**27 + 1: splits a double into two halves of 26 bits
     head = spread - (spread - probability)
     tail = probability - head
-    over_tie = (head * 2000.0 - (low * 2 + 1)) + tail * 2000.0
+    over_tie = (head * (2 * scale) - (low * 2 + 1)) + tail * (2 * scale)
     up = (over_tie > 0) | ((over_tie == 0) & (low % 2 == 1))
-    thousandths = low + F.when(up, F.lit(1)).otherwise(F.lit(0))
+    return low + F.when(up, F.lit(1)).otherwise(F.lit(0))
+
+
+def round_exact(probability: Column, digits: int) -> Column:
+    """A number in [0, 1] to at most six decimals."""
+    return _units(probability, digits) / F.lit(float(10**digits))
+
+
+def three_decimals(probability: Column) -> Column:
+    """Text of a number in [0, 1] with three decimals."""
+    thousandths = _units(probability, 3)
     return F.format_string("%d.%03d", F.floor(thousandths / 1000), thousandths % 1000)
 
 

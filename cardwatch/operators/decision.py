@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardwatch.functions.numeric import score_points, three_decimals
+from cardwatch.functions.numeric import round_exact, score_points, three_decimals
 from cardwatch.operators.rules import has_hard_block
+from cardwatch.sources.schemas import ACTIONS, SEVERITIES
 
 
 @dataclass(frozen=True)
@@ -67,7 +68,7 @@ def response(df: DataFrame, model_version: str = "unknown") -> DataFrame:
     return df.select(
         "transaction_id",
         "action",
-        F.round("fraud_probability", 6).alias("fraud_probability"),
+        round_exact(F.col("fraud_probability"), 6).alias("fraud_probability"),
         "risk_score",
         "reasons",
         "rule_hits",
@@ -77,8 +78,6 @@ def response(df: DataFrame, model_version: str = "unknown") -> DataFrame:
 
 def output_violations(df: DataFrame) -> DataFrame:
     """Counts of rows that break the published contract, one row per check."""
-    from cardwatch.sources.schemas import ACTIONS, SEVERITIES
-
     def bad(ok: Column) -> Column:
         return F.count_if(~F.coalesce(ok, F.lit(False)))
 

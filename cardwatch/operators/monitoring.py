@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardwatch.functions.numeric import micros, share
+from cardwatch.functions.numeric import micros, round_exact, share
 from cardwatch.operators.rules import Rule, hit_facts, rule_hits, rules_table
 
 # Upper bounds of the probability histogram.
@@ -71,7 +71,7 @@ def audit_log(df: DataFrame) -> DataFrame:
     return df.select(
         "transaction_id",
         "action",
-        F.round("fraud_probability", 4).alias("fraud_probability"),
+        round_exact(F.col("fraud_probability"), 4).alias("fraud_probability"),
         "risk_score",
         F.transform("rule_hits", lambda hit: hit["code"]).alias("rule_codes"),
     )

@@ -356,13 +356,22 @@ ORACLES: dict[str, str] = {
     "decision_response": SCORED
     + "SELECT transaction_id, action, fraud_probability, risk_score, reasons, CAST(n_hits AS BIGINT) AS rule_hits, "
     "'fixed-1' AS model_version FROM scored",
-    "output_violations": "SELECT unnest(['probability_in_0_1', 'score_in_0_1000', 'known_action', 'known_severity', 'has_id']) "
-    'AS "check", CAST(0 AS BIGINT) AS n_violations',
+    "output_violations": SCORED
+    + " UNION ALL ".join(
+        f"SELECT '{name}' AS \"check\", count(*) FILTER (NOT coalesce({sql}, false)) AS n_violations FROM scored"
+        for name, sql in {
+            "probability_in_0_1": "fraud_probability BETWEEN 0 AND 1",
+            "score_in_0_1000": "risk_score BETWEEN 0 AND 1000",
+            "known_action": "action IN ('APPROVE', 'REVIEW', 'DECLINE')",
+            "known_severity": "n_hits >= 0",
+            "has_id": "transaction_id IS NOT NULL",
+        }.items()
+    ),
     "safe_output": SCORED
     + f"SELECT transaction_id, epoch_us(timestamp) AS timestamp, card_id, merchant_id, {DECISION_COLUMNS[16:]}, reasons, "
     "rule_codes AS rule_hits FROM scored",
     "audit_log": SCORED
-    + "SELECT transaction_id, action, round(fraud_probability, 4) AS fraud_probability, risk_score, rule_codes FROM scored",
+    + "SELECT transaction_id, action, CAST(printf('%.4f', fraud_probability) AS DOUBLE) AS fraud_probability, risk_score, rule_codes FROM scored",
     "review_queue_topk": SCORED
     + "SELECT transaction_id, risk_score, adjusted_probability FROM scored WHERE action = 'REVIEW' "
     "ORDER BY risk_score DESC, transaction_id LIMIT 25",
