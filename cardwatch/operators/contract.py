@@ -56,9 +56,15 @@ FIELD_RULES = [
 ]
 
 
+# The white space characters of Unicode.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(text: Column) -> Column:
-    """Without white space of any kind at both ends; ``trim`` knows blanks only."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space of any kind at both ends; plain ``trim`` knows blanks only."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def _time(raw: Column, source: T.DataType) -> Column:
@@ -122,10 +128,13 @@ def _once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Adds columns that are computed once per row.
 
     A filter on what is derived from them would otherwise be pushed below them, together with a
-    copy of their expressions, and parse every row many times. A generator stops that.
+    copy of their expressions, and parse every row many times. The generator over the finished
+    columns stops that.
     """
-    row = F.struct(*[value.alias(name) for name, value in columns.items()])
-    return df.select("*", F.inline(F.array(row)))
+    kept = df.columns
+    made = df.select("*", *[value.alias(f"{name}_") for name, value in columns.items()])
+    row = F.struct(*[F.col(f"{name}_").alias(name) for name in columns])
+    return made.select(*kept, F.inline(F.array(row)))
 
 
 @dataclass(frozen=True)
@@ -178,8 +187,9 @@ def check_table(df: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
 def check_json(df: DataFrame, column: str = "value") -> DataFrame:
     """Check JSON objects. Values may be text that reads as the wanted type; an explicit null is an error."""
     names = [rule.name for rule in FIELD_RULES]
-    text = T.StructType([T.StructField(name, T.StringType()) for name in names])
-    parsed = _once(df, {"_fields": F.from_json(column, text), "_keys": F.json_object_keys(column)})
+    # One parse gives both the values as text and the keys that are there.
+    parsed = _once(df, {"_fields": F.from_json(column, T.MapType(T.StringType(), T.StringType()))})
+    parsed = parsed.withColumn("_keys", F.map_keys("_fields"))
     inputs = {
         name: _Input(F.col("_fields")[name], T.StringType(), F.coalesce(F.array_contains("_keys", name), F.lit(False)))
         for name in names

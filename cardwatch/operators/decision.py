@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardwatch.functions.numeric import round_exact, score_points, three_decimals
-from cardwatch.operators.rules import has_hard_block
 from cardwatch.sources.schemas import ACTIONS, SEVERITIES
 
 
@@ -28,15 +27,15 @@ def _reason_codes(hits: Column) -> Column:
     return F.transform(hits, lambda hit: F.concat(F.lit("rule:"), hit["code"]))
 
 
-def decide(df: DataFrame, policy: Policy | None = None, probability: str = "fraud_probability", hits: str = "rule_hits"):
+def decide(df: DataFrame, policy: Policy | None = None, probability: str = "fraud_probability", hits: str = "rule_hits") -> DataFrame:
     """Adds adjusted_probability, action, risk_score and reasons.
 
     A hard block declines at 1000 points and names only the blocking rules. Otherwise each suspect
     hit lifts the probability up to a cap, and two thresholds choose the action.
     """
     policy = policy or Policy()
-    blocked = has_hard_block(hits)
-    suspects = _hits_of("SUSPECT", hits)
+    df = df.withColumns({"_hard": _hits_of("HARD_BLOCK", hits), "_suspects": _hits_of("SUSPECT", hits)})
+    blocked, suspects = F.size("_hard") > 0, F.col("_suspects")
     uplift = F.least(F.lit(float(policy.max_uplift)), F.lit(float(policy.uplift_per_suspect)) * F.size(suspects))
     lifted = F.least(F.lit(1.0), F.col(probability) + uplift)
     df = df.withColumn("adjusted_probability", F.when(blocked, F.lit(1.0)).otherwise(lifted))
@@ -50,17 +49,18 @@ def decide(df: DataFrame, policy: Policy | None = None, probability: str = "frau
         .otherwise(F.lit("<review_threshold"))
     )
     model_reason = F.concat(F.lit("ml:p="), three_decimals(adjusted), comparison)
-    return df.withColumns(
+    decided = df.withColumns(
         {
             "action": F.when(blocked | declined, F.lit("DECLINE"))
             .when(reviewed, F.lit("REVIEW"))
             .otherwise(F.lit("APPROVE")),
             "risk_score": score_points(adjusted),
-            "reasons": F.when(blocked, _reason_codes(_hits_of("HARD_BLOCK", hits))).otherwise(
+            "reasons": F.when(blocked, _reason_codes(F.col("_hard"))).otherwise(
                 F.concat(_reason_codes(suspects), F.array(model_reason))
             ),
         }
     )
+    return decided.drop("_hard", "_suspects")
 
 
 def response(df: DataFrame, model_version: str = "unknown") -> DataFrame:

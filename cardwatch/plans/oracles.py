@@ -459,7 +459,7 @@ ORACLES: dict[str, str] = {
         + [f"SELECT '{new}' AS metric, round(CAST({old} AS DOUBLE), 9) AS value FROM rates" for new, old in RATE_NAMES.items()]
     ),
     "training_stats": _with(TXN, FEATURES, _split(), TRAIN_STATS)
-    + "SELECT feature, round(mean, 6) AS mean, round(std, 6) AS std, round(p01, 6) AS p01, round(p99, 6) AS p99 FROM stats",
+    + "SELECT feature, round(mean, 9) AS mean, round(std, 9) AS std, round(p01, 9) AS p01, round(p99, 9) AS p99 FROM stats",
     "threshold_sweep": _sweep(),
     "shadow_compare": _with(TXN, FEATURES, _scored(), _scored("other", -3.5))
     + """SELECT scored.action AS live_action, other.action AS shadow_action, count(*) AS n_rows,

@@ -339,7 +339,7 @@ def metrics_report(spark, sf):
 def training_stats(spark, sf):
     features = build_features(_split(spark, sf)).filter("split = 'train'")
     found = evaluation.training_stats(features, FEATURE_COLUMNS)
-    return found.select("feature", *[_r(name, 6) for name in ("mean", "std", "p01", "p99")])
+    return found.select("feature", *[_r(name) for name in ("mean", "std", "p01", "p99")])
 
 
 def threshold_sweep(spark, sf):
