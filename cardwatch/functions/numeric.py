@@ -68,7 +68,7 @@ def edges_passed(edges: Column, value: Column) -> Column:
 
 
 def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))
+    return reduce(lambda a, b: a & b, conditions) if conditions else F.lit(True)
 
 
 def micros(timestamp: Column) -> Column:

@@ -19,7 +19,10 @@ def inner_edges(counts: DataFrame, n_bins: int = 10) -> DataFrame:
 
     Fewer than three distinct quantiles leave no usable bins; such a feature has null edges.
     """
-    ends = quantiles_of_counts(counts, [i / n_bins for i in range(n_bins + 1)])
+    # Multiples of the step, not i / n_bins: the two differ in the last bit, and a value that lies
+    # exactly on an edge then falls into another bin.
+    points = [i * (1.0 / n_bins) for i in range(n_bins)] + [1.0]
+    ends = quantiles_of_counts(counts, points)
     distinct = F.array_sort(F.array_distinct("quantiles"))
     size = F.size("distinct")
     return ends.select("feature", distinct.alias("distinct")).select(

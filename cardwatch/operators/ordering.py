@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardwatch.functions.numeric import edges_passed
+from cardwatch.functions.numeric import all_of, edges_passed
 from cardwatch.session import materialize
 
 ROWS_PER_RANGE = 500_000
@@ -77,14 +77,15 @@ def running_sums(
     everything = Window.partitionBy(*keys)
     offsets = ranged.groupBy(*by, "_range").agg(*[F.sum(s).alias(f"_in_{s}") for s in sums])
     offsets = offsets.select(
-        *by,
-        "_range",
+        *[F.col(name).alias(f"_of_{name}") for name in [*by, "_range"]],
         *[F.coalesce(F.sum(f"_in_{s}").over(before), F.lit(0)).alias(f"_before_{s}") for s in sums],
         *[F.sum(f"_in_{s}").over(everything).alias(f"total_{s}") for s in sums],
     )
     inside = Window.partitionBy(*by, "_range").orderBy(direction).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumns({f"_local_{s}": F.sum(s).over(inside) for s in sums})
-    joined = local.join(F.broadcast(offsets), [*by, "_range"])
+    # Null-safe, so that rows without a group or a value stay.
+    same = all_of([F.col(name).eqNullSafe(F.col(f"_of_{name}")) for name in [*by, "_range"]])
+    joined = local.join(F.broadcast(offsets), same)
     return joined.select(
         *df.columns,
         *[(F.col(f"_local_{s}") + F.col(f"_before_{s}")).alias(f"cum_{s}") for s in sums],

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_HOT = 10_000
@@ -28,7 +29,8 @@ def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = MIN_HOT_ROWS, m
 
 def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", min_rows: int = MIN_HOT_ROWS) -> DataFrame:
     """Join to a table with unique keys. Rows of hot keys meet a broadcast of the few right rows they
-    need and stay in their partitions; all other rows go through the ordinary join.
+    need and stay in their partitions; all other rows go through the ordinary join. Many rows
+    without a key, which match nothing, are kept out of the shuffle as well.
     """
     keys = list(keys)
     hot = hot_keys(left, keys, min_rows)
@@ -38,4 +40,12 @@ def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "l
     cold_side = left.join(F.broadcast(hot), keys, "left_anti")
     hot_right = right.join(F.broadcast(hot), keys, "left_semi")
     joined = hot_side.join(F.broadcast(hot_right), keys, how)
+    keyless = any_null(keys)
+    if not hot.filter(keyless).isEmpty():
+        joined = joined.unionByName(cold_side.filter(keyless).join(F.broadcast(right.limit(0)), keys, how))
+        cold_side = cold_side.filter(~keyless)
     return joined.unionByName(cold_side.join(right, keys, how))
+
+
+def any_null(keys: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.col(key).isNull() for key in keys])

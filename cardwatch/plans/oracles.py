@@ -227,7 +227,7 @@ RATE_NAMES = {
 
 def _psi(old: str, new: str, columns: list[str], extra: str = "") -> str:
     """Index per feature between the rows of ``parted`` that satisfy the two conditions."""
-    points = ", ".join(repr(i / 10) for i in range(11))
+    points = ", ".join(_d(i * 0.1) for i in range(10)) + f", {_d(1.0)}"
     return f"""
 {_long('parted', columns, 'split, is_fraud')},
 ends AS (SELECT feature, list_sort(list_distinct(quantile_cont(value, [{points}]))) AS e FROM long WHERE {old} GROUP BY feature),
