@@ -63,8 +63,12 @@ def three_decimals(probability: Column) -> Column:
 
 
 def edges_passed(edges: Column, value: Column) -> Column:
-    """How many of the ascending edges are <= value."""
-    return F.size(F.filter(edges, lambda edge: edge <= value))
+    """How many of the ascending edges are <= value; null for a null value.
+
+    The test for null also names the value outside the lambda. A value named once would be inlined
+    by Catalyst and computed anew for every edge.
+    """
+    return F.when(value.isNotNull(), F.size(F.filter(edges, lambda edge: edge <= value)))
 
 
 def all_of(conditions: list[Column]) -> Column:

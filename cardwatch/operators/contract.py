@@ -190,14 +190,18 @@ def check_json(df: DataFrame, column: str = "value") -> DataFrame:
     # One parse gives both the values as text and the keys that are there.
     parsed = _once(df, {"_fields": F.from_json(column, T.MapType(T.StringType(), T.StringType()))})
     parsed = parsed.withColumn("_keys", F.map_keys("_fields"))
-    inputs = {
-        name: _Input(F.col("_fields")[name], T.StringType(), F.coalesce(F.array_contains("_keys", name), F.lit(False)))
-        for name in names
-    }
+    inputs = {}
+    for name in names:
+        raw = F.col("_fields")[name]
+        # The list of keys is searched only where there is no value: absent, or an explicit null.
+        present = F.when(raw.isNotNull(), F.lit(True)).otherwise(F.coalesce(F.array_contains("_keys", name), F.lit(False)))
+        inputs[name] = _Input(raw, T.StringType(), present)
     unknown = F.array_except("_keys", F.array(*[F.lit(name) for name in names]))
     extra = F.transform(unknown, lambda name: F.struct(name.alias("field"), F.lit("unknown_field").alias("code")))
     broken = F.array(F.struct(F.lit("").alias("field"), F.lit("not_an_object").alias("code")))
-    checked = _checked(parsed, inputs, F.coalesce(extra, F.array().cast(ERROR)))
+    none = F.array().cast(ERROR)
+    n_known = sum((F.col(f"_p_{name}").cast("int") for name in names), F.lit(0))
+    checked = _checked(parsed, inputs, F.when(F.size("_keys") > n_known, extra).otherwise(none))
     errors = F.when(F.col("_keys").isNotNull(), F.col("errors")).otherwise(broken)
     return checked.withColumn("errors", errors).drop("_fields", "_keys")
 

@@ -108,12 +108,15 @@ def quantiles_of_counts(counts: DataFrame, probabilities: Sequence[float], rows_
     ``counts`` is a materialized ``value_counts``. Only the few values at the wanted ranks are kept
     per feature.
     """
-    placed = running_sums(counts, "value", ["n"], by=["feature"], rows_per_range=rows_per_range)
     spots = F.array(*[(F.col("total_n") - 1) * F.lit(float(p)) for p in probabilities])
-    wanted = F.array_distinct(F.flatten(F.transform(spots, lambda s: F.array(F.floor(s), F.ceil(s)))))
-    first = F.col("cum_n") - F.col("n")
-    held = F.filter(wanted, lambda rank: (rank >= first) & (rank < F.col("cum_n")))
-    picked = placed.select("feature", "value", "total_n", F.explode(held).alias("rank"))
+    totals = counts.groupBy("feature").agg(F.sum("n").alias("total_n"))
+    ranks = F.array_distinct(F.flatten(F.transform(spots, lambda s: F.array(F.floor(s), F.ceil(s)))))
+    wanted = totals.select(F.col("feature").alias("of"), F.explode(ranks).alias("rank"))
+
+    placed = running_sums(counts, "value", ["n"], by=["feature"], rows_per_range=rows_per_range)
+    holds = (F.col("feature") == F.col("of")) & (F.col("rank") >= F.col("cum_n") - F.col("n")) & (F.col("rank") < F.col("cum_n"))
+    # At most two ranks per feature and probability.
+    picked = placed.join(F.broadcast(wanted), holds)
     gathered = picked.groupBy("feature").agg(
         F.max("total_n").alias("total_n"),
         F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"),
