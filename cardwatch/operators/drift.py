@@ -39,12 +39,12 @@ def psi_from_counts(expected: DataFrame, actual: DataFrame, edges: DataFrame, n_
     """(feature, psi) from value counts of both samples and stored edges of the reference."""
     usable = edges.filter(F.col("edges").isNotNull())
     bins = usable.select("feature", F.explode(F.sequence(F.lit(0), F.size("edges"))).alias("bin"))
+    # At most n_bins rows per feature on every side from here on.
     table = (
-        bins.join(_bin_counts(expected, usable, "e"), ["feature", "bin"], "left")
-        .join(_bin_counts(actual, usable, "a"), ["feature", "bin"], "left")
+        bins.join(F.broadcast(_bin_counts(expected, usable, "e")), ["feature", "bin"], "left")
+        .join(F.broadcast(_bin_counts(actual, usable, "a")), ["feature", "bin"], "left")
         .fillna(0, ["e", "a"])
     )
-    # At most n_bins cells per feature.
     cells = table.groupBy("feature").agg(
         F.sum("e").alias("n_e"), F.sum("a").alias("n_a"), F.array_sort(F.collect_list(F.struct("bin", "e", "a"))).alias("cells")
     )
@@ -56,7 +56,7 @@ def psi_from_counts(expected: DataFrame, actual: DataFrame, edges: DataFrame, n_
 
     total = F.aggregate("cells", F.lit(0.0), lambda done, cell: done + term(cell))
     scored = cells.select("feature", F.when((F.col("n_e") > 0) & (F.col("n_a") > 0), total).otherwise(F.lit(0.0)).alias("psi"))
-    return edges.select("feature").join(scored, "feature", "left").fillna(0.0, ["psi"])
+    return edges.select("feature").join(F.broadcast(scored), "feature", "left").fillna(0.0, ["psi"])
 
 
 def psi(expected: DataFrame, actual: DataFrame, features: Sequence[str], n_bins: int = 10, eps: float = EPS) -> DataFrame:
@@ -69,7 +69,7 @@ def psi(expected: DataFrame, actual: DataFrame, features: Sequence[str], n_bins:
     edges = materialize(inner_edges(reference, n_bins))
     found = psi_from_counts(reference, value_counts(actual, features), edges, n_bins, eps)
     names = expected.sparkSession.createDataFrame([(name,) for name in features], "feature string")
-    return names.join(found, "feature", "left").fillna(0.0, ["psi"])
+    return names.join(F.broadcast(found), "feature", "left").fillna(0.0, ["psi"])
 
 
 def with_level(scored: DataFrame) -> DataFrame:

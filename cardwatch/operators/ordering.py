@@ -141,12 +141,6 @@ class Cut:
     number: int | None
     text: str | None = None
 
-    def before(self, number: Column, text: Column) -> Column:
-        if self.number is None:
-            return F.lit(False)
-        within = (text <= self.text) if self.text is not None else F.lit(False)
-        return (number < self.number) | ((number == self.number) & within)
-
 
 def find_cut(
     df: DataFrame,

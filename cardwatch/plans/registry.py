@@ -337,8 +337,8 @@ def metrics_report(spark, sf):
 
 
 def training_stats(spark, sf):
-    features = build_features(_split(spark, sf)).filter("split = 'train'")
-    found = evaluation.training_stats(features, FEATURE_COLUMNS)
+    train = splits.plan_split(_txn(spark, sf)).is_train()
+    found = evaluation.training_stats(_features(spark, sf).filter(train), FEATURE_COLUMNS)
     return found.select("feature", *[_r(name) for name in ("mean", "std", "p01", "p99")])
 
 
@@ -368,8 +368,9 @@ def class_weights(spark, sf):
 
 
 def _psi(spark, sf, names):
-    features = scoring.fixed_score()(build_features(_split(spark, sf)))
-    return drift.psi(features.filter("split = 'train'"), features.filter("split = 'test'"), names)
+    split = splits.plan_split(_txn(spark, sf))
+    scored = _model_scored(spark, sf)
+    return drift.psi(scored.filter(split.is_train()), scored.filter(split.is_test()), names)
 
 
 def psi_features(spark, sf):
@@ -388,9 +389,9 @@ def psi_score(spark, sf):
 
 
 def drift_against_training(spark, sf):
-    features = build_features(_split(spark, sf))
-    stats = materialize(evaluation.training_stats(features.filter("split = 'train'"), FEATURE_COLUMNS))
-    found = drift.against_training(features.filter("split = 'test'"), stats, FEATURE_COLUMNS)
+    features, split = _features(spark, sf), splits.plan_split(_txn(spark, sf))
+    stats = materialize(evaluation.training_stats(features.filter(split.is_train()), FEATURE_COLUMNS))
+    found = drift.against_training(features.filter(split.is_test()), stats, FEATURE_COLUMNS)
     return found.select("feature", _r("live_mean", 6), _r("z", 6), _r("share_outside", 6))
 
 

@@ -18,7 +18,7 @@ from cardwatch.operators.evaluation import (
     threshold_sweep,
     training_stats,
 )
-from cardwatch.operators.splits import add_split
+from cardwatch.operators.splits import add_split, plan_split, stamps_between
 
 
 @pytest.fixture(scope="module")
@@ -147,13 +147,24 @@ def test_cut_is_exact_with_a_third_of_rows_at_one_instant(spark, kind, small):
     df = spark.createDataFrame(rows, "k long, transaction_id string")
     df = df.select(F.timestamp_micros("k").cast(kind).alias("timestamp"), "k", "transaction_id").repartition(5)
     order = sorted(rows)
-    from cardwatch.operators.splits import _interval
-
     for rank in (1, 290, 450, 600, 899, 900):
-        cut = ordering.find_cut(df, F.col("k"), F.col("transaction_id"), rank, _interval(df, "timestamp"), small=small, bins=8)
+        cut = ordering.find_cut(df, F.col("k"), F.col("transaction_id"), rank, stamps_between(df.schema["timestamp"].dataType), small=small, bins=8)
         assert (cut.number, cut.text) == order[rank - 1]
 
 
+def test_split_filter_reaches_the_scan(spark):
+    from cardwatch.session import scratch_path
+
+    path = scratch_path(spark, "stamped")
+    spark.range(100).selectExpr("timestamp_seconds(id) AS timestamp", "lpad(id, 4, '0') AS transaction_id").write.parquet(path)
+    df = spark.read.schema("timestamp timestamp, transaction_id string").parquet(path)
+    split = plan_split(df)
+    for part, size in ((split.is_train(), 80), (split.is_test(), 20)):
+        rows = df.filter(part)
+        assert rows.count() == size
+        assert "PushedFilters: [Or(" in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_split_sizes_do_not_depend_on_order(spark):
     rows = [(i // 4, f"T{i:04d}", i % 5 == 0) for i in range(1003)]
     random.Random(8).shuffle(rows)
