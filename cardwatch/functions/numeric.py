@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -71,6 +72,14 @@ def edges_passed(edges: Column, value: Column) -> Column:
     return F.when(value.isNotNull(), F.size(F.filter(edges, lambda edge: edge <= value)))
 
 
+def limits_passed(limits: Sequence[float], value: Column) -> Column:
+    """How many of the ascending fixed limits are <= value; 0 for a null value."""
+    steps = F.lit(0)
+    for count, limit in enumerate(limits, start=1):
+        steps = F.when(value >= limit, F.lit(count)).otherwise(steps)
+    return steps
+
+
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions) if conditions else F.lit(True)
 

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardwatch.functions.numeric import edges_passed, micros, share
+from cardwatch.functions.numeric import limits_passed, micros, share
 from cardwatch.operators.ordering import find_text, quantiles_of_counts, running_sums, value_counts
 from cardwatch.session import materialize
 
@@ -174,9 +174,8 @@ def threshold_sweep(
     Rows are counted between neighbouring thresholds in one pass; the cut-off sums run over that short table.
     """
     thresholds = sorted(set(float(t) for t in thresholds))
-    limits = F.array(*[F.lit(t) for t in thresholds])
     money = F.when(F.col(label) == 1, F.col(amount).try_cast("decimal(18,6)"))
-    binned = df.groupBy(edges_passed(limits, F.col(score)).alias("step")).agg(
+    binned = df.groupBy(limits_passed(thresholds, F.col(score)).alias("step")).agg(
         F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"), F.sum(money).alias("money")
     )
     spark = df.sparkSession
