@@ -16,12 +16,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text, quality, toxic) of the documents that ``labels`` covers."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality", "toxic")
-    return documents(spark, sf_dir).select("doc_id", "text").join(labels, "doc_id")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows, written once as Parquet to the shared folder: compressed, and columns can be read alone."""
     path = scratch_path(df.sparkSession, name)
@@ -29,11 +23,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_sample(df: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
-    """At most ``rows`` rows, the same ones in every run: those whose hashed key is lowest."""
-    return df.orderBy(F.xxhash64(key), key).limit(rows)
-
-
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -44,7 +33,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternates two joins per round (every node hands its larger neighbours, then its smaller ones, to its
     smallest neighbour), which ends after about log(n) rounds whatever the shape. Neighbours are reduced
     to a minimum before they are shuffled, so a node with very many links costs no more than others.
-    Each round is checkpointed; only two numbers per round reach the driver.
+    Each round is checkpointed; only two numbers per round reach the driver. Joins are merge joins by hint:
+    a checkpointed table's size is guessed from its plan, which is no ground to broadcast it.
     """
     edges = (
         links.filter(F.col("a") != F.col("b"))
@@ -59,10 +49,10 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         state = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(least.hint("merge"), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialize(small.unionByName(least.withColumnRenamed("m", "v")).distinct())
     else:
         raise RuntimeError("components did not settle")

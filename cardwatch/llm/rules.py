@@ -98,7 +98,7 @@ def with_verdicts(docs: DataFrame, hosts: DataFrame, host: str = "source", max_r
     )
     salted = docs.withColumn("_at", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     same = F.col("_at").eqNullSafe(F.col("_salt")) & F.col(host).eqNullSafe(F.col("_host"))
-    joined = salted.join(verdicts, same, "left")
+    joined = salted.join(verdicts.hint("merge"), same, "left")
     return joined.select(*docs.columns, F.coalesce("host_rejected", F.lit(False)).alias("host_rejected"))
 
 
@@ -122,7 +122,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     out = judged.filter(F.col("base_failed") | F.col("host_rejected"))
     out = out.select(F.col("doc_id").alias("_id"), F.col("_key"), F.col("source").alias("_source")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & key.eqNullSafe(F.col("_key")) & F.col("source").eqNullSafe(F.col("_source"))
-    return docs.join(out, same, "left_anti")
+    return docs.join(out.hint("merge"), same, "left_anti")
 
 
 SQL = rf"""

@@ -168,11 +168,11 @@ def classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     prints = materialize(fingerprints(docs))
     distinct = materialize(prints.groupBy("print").agg(F.min("doc_id").alias("least")))
     found = components(near_links(distinct.select("print"), radius))
-    roots = distinct.join(found, distinct["print"] == found["node"], "left")
+    roots = distinct.join(found.hint("merge"), distinct["print"] == found["node"], "left")
     roots = roots.select("print", "least", F.coalesce("component", "print").alias("root"))
     ids = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = roots.join(ids, "root").select(F.col("print").alias("_print"), "component_id")
-    joined = prints.join(known, F.col("print") == F.col("_print"))
+    known = roots.join(ids.hint("merge"), "root").select(F.col("print").alias("_print"), "component_id")
+    joined = prints.join(known.hint("merge"), F.col("print") == F.col("_print"))
     return joined.select("doc_id", "text_key", "print", "component_id")
 
 
@@ -185,5 +185,5 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     kept = grouped.groupBy(F.col("component_id").isNull().alias("_none"), by.alias("_class")).agg(first.alias("first"))
     kept = kept.select(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
-    chosen = docs.withColumn("_text_key", F.xxhash64("text")).join(kept, same, "left_semi")
+    chosen = docs.withColumn("_text_key", F.xxhash64("text")).join(kept.hint("merge"), same, "left_semi")
     return chosen.dropDuplicates(["doc_id", "_text_key"]).select(*docs.columns)
