@@ -19,6 +19,7 @@ from functools import lru_cache
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from cardwatch.llm.common import text_or_empty
 
@@ -168,7 +169,7 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
             columns = [*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "ids", "decoded"])
 
-    schema = base.schema.add("ids", "array<int>").add("decoded", "string")
+    schema = T.StructType([*base.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
     return base.mapInArrow(run, schema)
 
 

@@ -27,6 +27,11 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """One column ``row`` that holds all columns, so that joins may bring columns of any name."""
+    return docs.select(F.struct(*docs.columns).alias("row"))
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``links`` (a long, b long): (node, component), component being the smallest node.
 

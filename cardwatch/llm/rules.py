@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cardwatch.llm.common import packed
 from cardwatch.session import materialize
 
 MIN_WORDS = 50
@@ -121,8 +122,9 @@ def keep_good(docs: DataFrame) -> DataFrame:
     judged = with_verdicts(measured, host_rates(measured))
     out = judged.filter(F.col("base_failed") | F.col("host_rejected"))
     out = out.select(F.col("doc_id").alias("_id"), F.col("_key"), F.col("source").alias("_source")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & key.eqNullSafe(F.col("_key")) & F.col("source").eqNullSafe(F.col("_source"))
-    return docs.join(out.hint("merge"), same, "left_anti")
+    same = F.col("row.doc_id").eqNullSafe(F.col("_id")) & F.xxhash64("row.text").eqNullSafe(F.col("_key"))
+    same = same & F.col("row.source").eqNullSafe(F.col("_source"))
+    return packed(docs).join(out.hint("merge"), same, "left_anti").select("row.*")
 
 
 SQL = rf"""

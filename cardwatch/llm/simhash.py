@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardwatch.llm.common import components, text_or_empty
+from cardwatch.llm.common import components, packed, text_or_empty
 from cardwatch.session import materialize
 
 SHINGLE = 4
@@ -184,6 +184,7 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     by = F.coalesce(F.col("component_id"), F.col("print"))
     kept = grouped.groupBy(F.col("component_id").isNull().alias("_none"), by.alias("_class")).agg(first.alias("first"))
     kept = kept.select(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
-    chosen = docs.withColumn("_text_key", F.xxhash64("text")).join(kept.hint("merge"), same, "left_semi")
-    return chosen.dropDuplicates(["doc_id", "_text_key"]).select(*docs.columns)
+    same = F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("row.text") == F.col("_key"))
+    chosen = packed(docs).join(kept.hint("merge"), same)
+    # Rows equal in id and text are one.
+    return chosen.dropDuplicates(["_id", "_key"]).select("row.*")
