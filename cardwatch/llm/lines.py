@@ -1,12 +1,12 @@
 """Fuzzy line deduplication, in DataFrame operations only.
 
 A line's signature is the minimum of its hashed character shingles under several xor masks of the hash.
-Signatures are cut into bands; lines with an equal band are held against the two outermost lines of that
-band by exact Jaccard similarity of their shingle sets; the verified links are united, and of each
-component only the first line (by doc_id, then place) stays.
+Signatures are cut into bands; lines with an equal band are held against the smallest line of that band by
+exact Jaccard similarity of their shingle sets; the verified links are united, and of each component only
+the first line (by doc_id, then place) stays.
 
 Equal lines are one line from the start, so a line that many documents share is one row in all of this.
-Holding a band's lines against two of them instead of against each other keeps large groups linear.
+Holding a band's lines against one of them instead of against each other keeps large groups linear.
 """
 
 from __future__ import annotations
@@ -16,14 +16,15 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardwatch.llm.common import components, text_or_empty
+from cardwatch.llm.common import components, packed, text_or_empty
 from cardwatch.session import materialize
 
 SHINGLE = 12
 BANDS = 8
 BAND_ROWS = 3
 SIMILARITY = 0.8
-_MASKS = [0, *(random.Random(9).getrandbits(32) - (1 << 31) for _ in range(BANDS * BAND_ROWS - 1))]
+MAX_BROADCAST_ROWS = 1_000_000
+_MASKS = [bits - (1 << 31) for bits in random.Random(9).sample(range(1 << 32), BANDS * BAND_ROWS)]
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -39,11 +40,22 @@ def _wide(line: str) -> Column:
     return F.encode(line, "UTF-32")
 
 
-def shingle_hashes(line: str = "line") -> Column:
+def shingle_hashes(line: str) -> Column:
     """Distinct hashed shingles of a line; a line shorter than a shingle is one shingle."""
     steps = f"sequence(0, greatest(length({line}) - {SHINGLE}, 0))"
-    hashed = F.transform(F.expr(steps), lambda i: F.xxhash64(F.substring(F.col("_wide"), i * 4 + 1, F.lit(4 * SHINGLE))))
-    return F.array_distinct(hashed)
+    one = F.array(_wide(line))  # in a lambda of its own, or it would be encoded again for each shingle
+    return F.transform(
+        one,
+        lambda wide: F.array_distinct(
+            F.transform(F.expr(steps), lambda i: F.xxhash64(F.substring(wide, i * 4 + 1, F.lit(4 * SHINGLE))))
+        ),
+    )[0]
+
+
+def _beside(df: DataFrame) -> DataFrame:
+    """``df`` as the smaller side of a join: broadcast if it has at most MAX_BROADCAST_ROWS rows, else shuffled."""
+    df = materialize(df)
+    return F.broadcast(df) if df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else df.hint("merge")
 
 
 def signatures(lines: DataFrame) -> DataFrame:
@@ -57,26 +69,22 @@ def signatures(lines: DataFrame) -> DataFrame:
 
 
 def candidates(signed: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of lines: each line of a band value with its first and its last line."""
-    bands = [
-        F.xxhash64(F.lit(n), *[f"m{n * BAND_ROWS + r}" for r in range(BAND_ROWS)]) for n in range(BANDS)
-    ]
-    banded = signed.select("line_key", F.explode(F.array(*bands)).alias("band"))
-    ends = banded.groupBy("band").agg(F.min("line_key").alias("low"), F.max("line_key").alias("high")).filter("low < high")
-    met = banded.join(ends, "band")
-    low = met.filter("line_key > low").select(F.col("low").alias("a"), F.col("line_key").alias("b"))
-    high = met.filter("line_key < high").select(F.col("line_key").alias("a"), F.col("high").alias("b"))
-    return low.unionByName(high).distinct()
+    """Distinct pairs (a, b) of lines: each line of a band value with the smallest line of it."""
+    bands = [F.xxhash64(F.lit(n), *[f"m{n * BAND_ROWS + r}" for r in range(BAND_ROWS)]) for n in range(BANDS)]
+    partitions = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Dealt once by band, for the minimum and for the join with it.
+    banded = signed.select("line_key", F.explode(F.array(*bands)).alias("band")).repartition(partitions, "band")
+    ends = banded.groupBy("band").agg(F.min("line_key").alias("a"), F.count("*").alias("n")).filter("n > 1")
+    met = banded.join(ends.hint("merge"), "band").filter("line_key <> a")
+    return met.select("a", F.col("line_key").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs whose shingle sets have at least this Jaccard similarity."""
     asked = pairs.select(F.col("a").alias("line_key")).unionByName(pairs.select(F.col("b").alias("line_key"))).distinct()
-    texts = lines.join(asked, "line_key", "left_semi").dropDuplicates(["line_key"])
-    sets = texts.withColumn("_wide", _wide("line")).select("line_key", shingle_hashes().alias("s"))
-    sets = materialize(sets)
-    a, b = (sets.select(F.col("line_key").alias(n), F.col("s").alias(f"s{n}")) for n in "ab")
-    both = pairs.join(a, "a").join(b, "b")
+    texts = materialize(lines.join(_beside(asked), "line_key", "left_semi").dropDuplicates(["line_key"]))
+    a, b = (texts.select(F.col("line_key").alias(n), F.col("line").alias(f"line_{n}")).hint("merge") for n in "ab")
+    both = pairs.join(a, "a").join(b, "b").select("a", "b", shingle_hashes("line_a").alias("sa"), shingle_hashes("line_b").alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb"))
     # In whole numbers, so that a similarity of exactly the limit is in.
     percent = round(similarity * 100)
@@ -89,11 +97,11 @@ def removed_places(docs: DataFrame) -> DataFrame:
     pairs = materialize(candidates(signatures(lines)))
     found = components(verified(pairs, lines.select("line_key", "line")))
     known = found.select(F.col("node").alias("line_key"), F.col("component").alias("group"))
-    placed = lines.select("doc_id", "text_key", "place", "line_key").join(known, "line_key", "left")
+    placed = lines.select("doc_id", "text_key", "place", "line_key").join(known.hint("merge"), "line_key", "left")
     placed = placed.withColumn("group", F.coalesce("group", "line_key")).select("doc_id", "text_key", "place", "group")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "place")).alias("first")
     heads = placed.groupBy("group").agg(first, F.count("*").alias("n")).filter("n > 1").select("group", "first")
-    later = placed.join(heads, "group").filter(
+    later = placed.join(heads.hint("merge"), "group").filter(
         ~(
             F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
             & F.col("text_key").eqNullSafe(F.col("first.text_key"))
@@ -104,32 +112,32 @@ def removed_places(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` plus removed array<int> and kept_text, the text without those lines.
+    """(row, removed, kept_text) of every row: its columns, places of lines to go, the text without them.
 
-    Rows equal in id and text are one document. Null texts stay null; lines without a word always stay.
+    Rows equal in id and text are one document. A null text gives a null kept_text; lines without a word
+    always stay.
     """
     gone = removed_places(docs).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "removed")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_key"))
-    joined = docs.drop("removed").join(gone, same, "left").drop("_id", "_key")
-    parts = F.split("text", "\n")
-    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("removed", i)), "\n")
-    return joined.withColumn("kept_text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept))
+    same = F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("row.text") == F.col("_key"))
+    joined = packed(docs).join(_beside(gone), same, "left")
+    kept = F.filter(F.split("row.text", "\n"), lambda _, i: ~F.array_contains("removed", i))
+    kept = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
+    return joined.select("row", "removed", kept.alias("kept_text"))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_removed, removed, kept_sha256) of every row; null texts count as empty."""
-    out = deduplicated(docs)
-    n_lines = F.size(F.split(text_or_empty(), "\n")).cast("long")
+    n_lines = F.size(F.split(text_or_empty("row.text"), "\n")).cast("long")
     places = F.coalesce(F.array_join(F.col("removed").cast("array<string>"), ","), F.lit(""))
-    n_removed = F.coalesce(F.size("removed"), F.lit(0)).cast("long")
+    n_removed = F.when(F.col("removed").isNull(), F.lit(0)).otherwise(F.size("removed")).cast("long")
     digest = F.sha2(text_or_empty("kept_text").cast("binary"), 256)
-    return out.select(
-        "doc_id", n_lines.alias("n_lines"), n_removed.alias("n_removed"), places.alias("removed"), digest.alias("kept_sha256")
+    return deduplicated(docs.select("doc_id", "text")).select(
+        "row.doc_id", n_lines.alias("n_lines"), n_removed.alias("n_removed"), places.alias("removed"), digest.alias("kept_sha256")
     )
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` without repeated lines, n_chars following; documents left without a word are dropped."""
-    out = deduplicated(docs).withColumn("text", F.col("kept_text"))
-    out = out.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    out = deduplicated(docs).filter(F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
+    row = F.col("row").withField("text", F.col("kept_text")).withField("n_chars", F.length("kept_text").cast("long"))
+    return out.select(row.alias("row")).select("row.*")
