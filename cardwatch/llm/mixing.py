@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardwatch.llm.common import WORD
+from cardwatch.llm.common import WORD, packed
 from cardwatch.session import materialize
 
 BLOCK_WORDS = 64
@@ -23,7 +23,7 @@ WEIGHTS = (1, 2, 3)
 #: Documents of a source are numbered within this many parts of it, so a hot source is not one task.
 PARTS = 1024
 #: Slots are made in runs of this many.
-RUN = 65_536
+RUN = 4_096
 ROUNDS = 10
 PRIME = 2_147_483_647
 
@@ -39,12 +39,10 @@ def permuted(x: str, n: str, key: str) -> str:
     bit that depends on the pair alone says whether they swap. Right for every n, with no retries.
     """
     k = f"((({key}) * 48271 + r * 69621 + 12345) % {PRIME} * 16807 % {PRIME} % ({n}))"
-    y = f"((k.k - x + ({n})) % ({n}))"
-    mix = f"((greatest(x, y.y) % {PRIME} * 48271 + ({key}) + r * 40503) % {PRIME})"
-    swap = f"({mix} * {mix} + {mix}) % {PRIME} div 256 % 2 = 1"
-    # One-element arrays name the values that are used more than once.
-    step = f"transform(array(named_struct('k', {k})), k -> transform(array(named_struct('y', {y})), y -> if({swap}, y.y, x))[0])[0]"
-    return f"aggregate(sequence(1, {ROUNDS}), cast({x} as bigint), (x, r) -> cast({step} as bigint))"
+    y = f"(({k} - x + ({n})) % ({n}))"
+    mix = f"((greatest(x, {y}) % {PRIME} * 48271 + ({key}) + r * 40503) % {PRIME})"
+    swap = f"({mix} + 1) * {mix} % {PRIME} div 256 % 2 = 1"
+    return f"aggregate(sequence(1L, {ROUNDS}L), {x}, (x, r) -> if({swap}, {y}, x))"
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -86,11 +84,13 @@ def plan_sources(sizes: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 def deal(sources: DataFrame, seed: int = 7) -> DataFrame:
     """One row per output slot: (number, block, slot, shard)."""
     runs = sources.filter("slots > 0").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {RUN}"))))
-    runs = runs.repartition("number", "run")
+    # A number of partitions is given, since runs are tiny rows that would be merged back into one task.
+    runs = runs.repartition(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "number", "run")
     j = F.explode(F.sequence(F.col("run") * RUN, F.least(F.col("slots"), (F.col("run") + 1) * RUN) - 1))
     dealt = runs.withColumn("j", j)
-    block = permuted("j % blocks", "blocks", f"(number * 9973 + j div blocks * 31337 + {seed}) % {PRIME}")
-    slot = permuted("first_slot + j", "all_slots", str(seed))
+    dealt = dealt.withColumn("key", F.expr(f"(number * 9973 + j div blocks * 31337 + {seed}) % {PRIME}"))
+    block = permuted("j % blocks", "blocks", "key")
+    slot = permuted("first_slot + j", "all_slots", f"{seed}L")
     dealt = dealt.select("number", F.expr(block).alias("block"), F.expr(slot).alias("slot"))
     return dealt.withColumn("shard", F.expr(f"slot div {SHARD_BLOCKS}"))
 
@@ -108,9 +108,9 @@ def placed(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     upto = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("part_start", F.coalesce(F.sum("part_size").over(upto), F.lit(0)))
     plan = sources.withColumnRenamed("source", "_source")
-    totals = totals.join(plan, totals["source"].eqNullSafe(plan["_source"])).drop("source", "part_size")
+    totals = totals.join(plan.hint("merge"), totals["source"].eqNullSafe(plan["_source"])).drop("source", "part_size")
     totals = totals.withColumnRenamed("part", "_part")
-    joined = sizes.join(totals, sizes["source"].eqNullSafe(totals["_source"]) & (sizes["part"] == totals["_part"]))
+    joined = sizes.join(totals.hint("merge"), sizes["source"].eqNullSafe(totals["_source"]) & (sizes["part"] == totals["_part"]))
     within = Window.partitionBy("source", "part").orderBy("doc_id", "size", "text_key")
     before = F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return joined.withColumn("start", F.col("part_start") + before).drop("_source", "_part", "part", "part_start")
@@ -134,7 +134,7 @@ def used_pieces(docs: DataFrame) -> DataFrame:
     sizes = sized(docs)
     sources = plan_sources(sizes)
     uses = deal(sources).groupBy("number", "block").agg(F.count("*").alias("uses"))
-    return pieces(placed(sizes, sources)).join(uses, ["number", "block"], "left").fillna(0, ["uses"])
+    return pieces(placed(sizes, sources)).join(uses.hint("merge"), ["number", "block"], "left").fillna(0, ["uses"])
 
 
 def taken(docs: DataFrame) -> DataFrame:
@@ -163,15 +163,17 @@ def mixed(docs: DataFrame) -> DataFrame:
     runs = again.groupBy(*key, "start", "k", "run").agg(F.min("from_word").alias("low"), F.sum("n_words").alias("n"))
     lists = runs.groupBy(*key).agg(F.collect_list(F.struct("low", "n")).alias("_runs"))
     lists = lists.select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("text_key").alias("_tk"), "_runs")
-    plain = docs.withColumn("_key", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("_key") == F.col("_tk"))
-    joined = plain.join(lists, same).dropDuplicates(["_id", "_src", "_tk"])
-    parts = F.expr(r"regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0)")
+    same = F.col("row.doc_id").eqNullSafe(F.col("_id")) & F.col("row.source").eqNullSafe(F.col("_src"))
+    same = same & (F.xxhash64("row.text") == F.col("_tk"))
+    # Rows equal in these have their runs in one list.
+    joined = packed(docs).join(lists.hint("merge"), same).dropDuplicates(["_id", "_src", "_tk"])
+    parts = F.expr(r"regexp_extract_all(row.text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0)")
     out = joined.withColumn("_words", parts).withColumn("_run", F.explode("_runs"))
     whole = F.col("_run.n") == F.size("_words")
     cut = F.array_join(F.slice("_words", (F.col("_run.low") + 1).cast("int"), F.col("_run.n").cast("int")), "")
-    out = out.withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    text = F.when(whole, F.col("row.text")).otherwise(cut)
+    row = F.col("row").withField("text", text).withField("n_chars", F.length(text).cast("long"))
+    return out.select(row.alias("row")).select("row.*")
 
 
 def _sql_permuted(table: str, x: str, n: str, key: str, out: str) -> str:
