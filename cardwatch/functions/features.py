@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cardwatch.functions.numeric import clip, ratio_or
+from cardwatch.functions.numeric import clip, ratio_or, utc_hour, utc_stamp, utc_weekday
 
 # The model's columns, in the order the model expects them.
 FEATURE_COLUMNS = [
@@ -33,18 +33,6 @@ FEATURE_COLUMNS = [
     "is_high_risk_mcc",
 ]
 
-# The 0/1 columns among them.
-FLAG_COLUMNS = [
-    "is_burst_1h",
-    "is_night",
-    "is_weekend",
-    "is_geo_mismatch",
-    "is_cnp",
-    "is_ecom",
-    "is_atm",
-    "is_high_risk_mcc",
-]
-
 # Gambling and adult content.
 HIGH_RISK_MCC = ["7995", "5967"]
 
@@ -57,7 +45,7 @@ def feature_expressions(timestamp: Column) -> dict[str, Column]:
     """Derived columns by name, over the columns of a transaction."""
     amount, average, deviation = F.col("amount"), F.col("amount_avg_30d"), F.col("amount_std_30d")
     last_hour, last_day = F.col("n_tx_last_1h"), F.col("n_tx_last_24h")
-    hour = F.hour(timestamp)
+    hour = utc_hour(timestamp)
     same_country = F.upper("merchant_country").eqNullSafe(F.upper("card_country"))
     return {
         "amount_log": F.log1p(amount.cast("double")),
@@ -67,7 +55,7 @@ def feature_expressions(timestamp: Column) -> dict[str, Column]:
         "is_burst_1h": _flag(last_hour >= 5),
         "hour": hour,
         "is_night": _flag(hour.between(0, 5)),
-        "is_weekend": _flag(F.weekday(timestamp) >= 5),
+        "is_weekend": _flag(utc_weekday(timestamp) >= 5),
         "is_geo_mismatch": (~same_country).cast("int"),
         "is_cnp": F.col("is_cnp").cast("int"),
         "is_ecom": _flag(F.col("channel") == "ECOM"),
@@ -79,19 +67,23 @@ def feature_expressions(timestamp: Column) -> dict[str, Column]:
 def build_features(df: DataFrame) -> DataFrame:
     """Input columns plus the derived ones, as one projection without a shuffle.
 
-    Clock features are in UTC: text with an offset is moved to UTC first.
+    Clock features are in UTC: in any session zone; text without an offset is UTC.
     """
     timestamp = F.col("timestamp")
     if isinstance(df.schema["timestamp"].dataType, T.StringType):
-        df = df.withColumn("timestamp", F.to_timestamp(timestamp))
+        df = df.withColumn("timestamp", utc_stamp(timestamp))
     return df.withColumns(feature_expressions(timestamp))
 
 
+def require_columns(df: DataFrame, columns: list[str]) -> None:
+    absent = sorted(set(columns) - set(df.columns))
+    if absent:
+        raise ValueError(f"not in the table: {', '.join(absent)}")
+
+
 def select_feature_matrix(df: DataFrame, columns: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
     """The model's columns in order, as doubles; ``keep`` names other columns to carry along."""
     columns = columns or FEATURE_COLUMNS
-    missing = [name for name in columns if name not in df.columns]
-    if missing:
-        raise ValueError(f"missing feature columns: {missing}")
+    require_columns(df, columns)
     carried = [F.col(name) for name in keep or []]
     return df.select(*carried, *[F.col(name).cast("double").alias(name) for name in columns])

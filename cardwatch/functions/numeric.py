@@ -85,5 +85,23 @@ def all_of(conditions: list[Column]) -> Column:
 
 
 def micros(timestamp: Column) -> Column:
-    """Microseconds since the epoch; zone-less timestamps count as UTC."""
-    return F.unix_micros(timestamp.cast("timestamp"))
+    """Microseconds since the epoch; zone-less timestamps count as UTC, whatever the session's zone."""
+    wall = F.convert_timezone(F.lit("UTC"), F.current_timezone(), timestamp.cast("timestamp_ntz"))
+    zoneless = F.typeof(timestamp) == "timestamp_ntz"  # known when planned, so one of the two stays
+    return F.when(zoneless, F.unix_micros(wall.cast("timestamp"))).otherwise(F.unix_micros(timestamp.cast("timestamp")))
+
+
+def utc_hour(timestamp: Column) -> Column:
+    return F.pmod(F.floor(micros(timestamp) / 3_600_000_000), F.lit(24)).cast("int")
+
+
+def utc_weekday(timestamp: Column) -> Column:
+    """0 for Monday; the epoch began on a Thursday."""
+    return F.pmod(F.floor(micros(timestamp) / 86_400_000_000) + 3, F.lit(7)).cast("int")
+
+
+def utc_stamp(text: Column) -> Column:
+    """Text as a timestamp; without an offset it is in UTC."""
+    has_zone = F.rtrim(text).rlike(r"(?i)(z|utc|gmt|[+-]\d{1,2}(:?\d{2})?)$") & text.contains(":")
+    wall = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.to_timestamp_ntz(text))
+    return F.when(has_zone, F.to_timestamp(text)).otherwise(wall.cast("timestamp"))

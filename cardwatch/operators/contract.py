@@ -62,6 +62,9 @@ WHITE_SPACE = (
 )
 
 
+NUMBER = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|nan|inf|infinity)$"
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends; plain ``trim`` knows blanks only."""
     return F.btrim(text, F.lit(WHITE_SPACE))
@@ -75,7 +78,9 @@ def _time(raw: Column, source: T.DataType) -> Column:
     # Bare numbers are seconds since the epoch, or milliseconds when too large for seconds.
     epoch = F.when(F.abs(seconds) > 2e10, seconds / 1000.0).otherwise(seconds)
     is_number = text.rlike(r"^[+-]?\d+(\.\d+)?$")
-    return F.when(is_number, F.timestamp_micros((epoch * 1e6).cast("long"))).otherwise(text.try_cast("timestamp"))
+    # A time of day alone would be read as one of today, a month alone as its first day.
+    dated = F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), text.try_cast("timestamp"))
+    return F.when(is_number, F.timestamp_micros((epoch * 1e6).cast("long"))).otherwise(dated)
 
 
 def _flag(raw: Column, source: T.DataType) -> Column:
@@ -94,7 +99,9 @@ def _convert(rule: FieldRule, raw: Column, source: T.DataType) -> Column:
         return _time(raw, source)
     if rule.kind == "flag":
         return _flag(raw, source)
-    number = (strip(raw) if is_text else raw).try_cast("double")
+    # Text such as "1f" is a number to the cast, but not to the contract.
+    text = strip(raw) if is_text else raw
+    number = F.when(text.rlike(NUMBER), text.try_cast("double")) if is_text else raw.try_cast("double")
     if rule.kind == "number":
         return number
     return F.when(number == F.floor(number), number.try_cast("int"))
@@ -185,17 +192,18 @@ def check_table(df: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
 
 
 def check_json(df: DataFrame, column: str = "value") -> DataFrame:
-    """Check JSON objects. Values may be text that reads as the wanted type; an explicit null is an error."""
+    """Check JSON objects. Text may stand for any wanted type, but only text for text; an explicit null is an error."""
     names = [rule.name for rule in FIELD_RULES]
-    # One parse gives both the values as text and the keys that are there.
-    parsed = _once(df, {"_fields": F.from_json(column, T.MapType(T.StringType(), T.StringType()))})
+    # One parse gives the values with their JSON types and the keys that are there.
+    parsed = _once(df, {"_fields": F.from_json(column, T.MapType(T.StringType(), T.VariantType()))})
     parsed = parsed.withColumn("_keys", F.map_keys("_fields"))
     inputs = {}
-    for name in names:
-        raw = F.col("_fields")[name]
-        # The list of keys is searched only where there is no value: absent, or an explicit null.
-        present = F.when(raw.isNotNull(), F.lit(True)).otherwise(F.coalesce(F.array_contains("_keys", name), F.lit(False)))
-        inputs[name] = _Input(raw, T.StringType(), present)
+    for rule in FIELD_RULES:
+        value = F.col("_fields")[rule.name]
+        raw = F.try_variant_get(value, "$", "string")
+        if rule.kind == "text":
+            raw = F.when(F.schema_of_variant(value) == "STRING", raw)
+        inputs[rule.name] = _Input(raw, T.StringType(), value.isNotNull())
     unknown = F.array_except("_keys", F.array(*[F.lit(name) for name in names]))
     extra = F.transform(unknown, lambda name: F.struct(name.alias("field"), F.lit("unknown_field").alias("code")))
     broken = F.array(F.struct(F.lit("").alias("field"), F.lit("not_an_object").alias("code")))

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cardwatch.functions.numeric import as_null_if_nan
+
 # The features that profiles look at.
 PROFILE_FEATURES = [
     "amount_log",
@@ -59,17 +58,20 @@ def pattern_shares(df: DataFrame, column: str = "attack_pattern", label: str = "
 
 
 def amount_histogram(df: DataFrame, n_bins: int = 60, label: str = "is_fraud") -> DataFrame:
-    """Density of log(1 + amount) per class in equal bins from its least to its greatest value.
+    """Density of log(1 + amount) per class in equal bins from its least to its greatest value, empty bins too.
 
-    Two passes: the ends per class, then the counts. The greatest value belongs to the last bin.
+    Two passes: the ends per class, then the counts. The greatest value belongs to the last bin; rows
+    without an amount belong to none.
     """
     logs = df.select(F.col(label).alias("label"), F.log1p("amount").alias("x"))
     ends = logs.groupBy("label").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("x").alias("n"))
-    placed = logs.join(F.broadcast(ends), "label")  # one row per class
+    placed = logs.filter(F.col("x").isNotNull()).join(F.broadcast(ends), "label")  # one row per class
     width = (F.col("high") - F.col("low")) / float(n_bins)
     raw = F.floor((F.col("x") - F.col("low")) / F.nullif(width, F.lit(0.0)))
     bins = F.least(F.lit(n_bins - 1), F.coalesce(raw, F.lit(0)))
-    counts = placed.groupBy("label", "n", "low", width.alias("width"), bins.alias("bin")).agg(F.count("*").alias("n_rows"))
+    found = placed.groupBy("label", bins.alias("bin")).agg(F.count("*").alias("n_found"))
+    all_bins = ends.select("label", "n", "low", width.alias("width"), F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
+    counts = all_bins.join(found, ["label", "bin"], "left").withColumn("n_rows", F.coalesce("n_found", F.lit(0)))
     return counts.select(
         F.col("label").alias(label),
         F.col("bin").cast("int").alias("bin"),
@@ -126,13 +128,17 @@ def geo_fraud_rate(df: DataFrame, label: str = "is_fraud") -> DataFrame:
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of each pair of columns (a before b in the list); null if one is constant.
+    """Pearson correlation of each pair of columns (a before b in the list) over the rows that have both.
 
-    One pass adds up the products of all columns as a matrix; the driver receives that matrix only.
+    Null if one of them is constant or there are no such rows. One aggregate; NaN counts as null.
     """
-    doubles = df.select(*[F.col(name).cast("double").alias(name) for name in columns])
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="v").transform(doubles).select("v")
-    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
-    pairs = itertools.combinations(range(len(columns)), 2)
-    rows = [(columns[a], columns[b], None if math.isnan(matrix[a, b]) else float(matrix[a, b])) for a, b in pairs]
-    return df.sparkSession.createDataFrame(rows, "a string, b string, correlation double")
+
+    def pair(a: str, b: str) -> Column:
+        x, y = as_null_if_nan(F.col(a)), as_null_if_nan(F.col(b))
+        spread = F.sqrt(F.var_pop(F.when(y.isNotNull(), x))) * F.sqrt(F.var_pop(F.when(x.isNotNull(), y)))
+        return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
+
+    cells = {(a, b): pair(a, b) for a, b in itertools.combinations(columns, 2)}
+    wide = df.agg(*[value.alias(f"{a}|{b}") for (a, b), value in cells.items()])
+    rows = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("correlation")) for a, b in cells]
+    return wide.select(F.explode(F.array(*rows)).alias("row")).select("row.*")

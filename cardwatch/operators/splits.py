@@ -30,7 +30,7 @@ def time_cut(df: DataFrame, rank: int, timestamp: str = "timestamp", tie: str =
 
 @dataclass(frozen=True)
 class TimeSplit:
-    """Oldest rows fit, then validation, newest test."""
+    """Oldest rows fit, then validation, newest test. Rows without a time count as newest."""
 
     kind: T.DataType
     test: Cut
@@ -49,7 +49,8 @@ class TimeSplit:
         if self.test.number is None:
             return F.lit(True)
         stamp, edge = F.col(self.timestamp), _at(self.test.number, self.kind)
-        return (stamp > edge) | ((stamp == edge) & (F.col(self.tie) > self.test.text))
+        tied = (stamp == edge) & (F.col(self.tie).isNull() | (F.col(self.tie) > self.test.text))
+        return stamp.isNull() | (stamp > edge) | tied
 
     def is_train(self) -> Column:
         return self._before(self.test)

@@ -425,9 +425,11 @@ ORACLES: dict[str, str] = {
     "amount_histogram": BASE
     + """, ends AS (SELECT is_fraud, min(amount_log) AS low, (max(amount_log) - min(amount_log)) / 60 AS width, count(*) AS n
       FROM feat GROUP BY is_fraud)
-    SELECT is_fraud, CAST(least(59, floor((amount_log - low) / width)) AS INT) AS bin,
-      round(low + width * least(59, floor((amount_log - low) / width)), 6) AS bin_start, count(*) AS n_rows,
-      round(count(*) / (n * width), 6) AS density FROM feat JOIN ends USING (is_fraud) GROUP BY is_fraud, bin, bin_start, n, width""",
+    , bins AS (SELECT *, CAST(unnest(range(60)) AS INT) AS bin FROM ends),
+    found AS (SELECT is_fraud, CAST(least(59, floor((amount_log - low) / width)) AS INT) AS bin, count(*) AS n_found
+      FROM feat JOIN ends USING (is_fraud) GROUP BY ALL)
+    SELECT is_fraud, bin, round(low + width * bin, 6) AS bin_start, coalesce(n_found, 0) AS n_rows,
+      round(coalesce(n_found, 0) / (n * width), 6) AS density FROM bins LEFT JOIN found USING (is_fraud, bin)""",
     "attack_patterns": _with(TXN, FEATURES, ATTACK)
     + "SELECT transaction_id, attack_pattern FROM tagged WHERE attack_pattern IS NOT NULL",
     "pattern_share": _with(TXN, FEATURES, ATTACK)

@@ -16,7 +16,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardwatch.functions.features import FEATURE_COLUMNS, build_features, select_feature_matrix
+from cardwatch.functions.features import FEATURE_COLUMNS, build_features, require_columns, select_feature_matrix
 from cardwatch.operators.evaluation import metrics_report, training_stats
 from cardwatch.operators.splits import plan_split, split_summary
 from cardwatch.session import materialize
@@ -54,10 +54,9 @@ def _learner(settings: dict[str, Any], tolerance: float) -> GBTClassifier:
 def _isotonic(scored: DataFrame) -> list:
     """Monotone map from raw to observed probability.
 
-    The fit runs on one weighted row per score to six digits, at most a million and one however
-    many rows were scored.
+    The fit runs on one weighted row per different score.
     """
-    raw = F.round(vector_to_array("probability")[1], 6)
+    raw = vector_to_array("probability")[1]
     grouped = scored.groupBy(raw.alias("raw")).agg(F.avg("is_fraud").alias("rate"), F.count("*").cast("double").alias("weight"))
     model = IsotonicRegression(featuresCol="raw", labelCol="rate", weightCol="weight", predictionCol="calibrated").fit(grouped)
     return [model.setFeaturesCol("probability").setFeatureIndex(1)]
@@ -93,9 +92,7 @@ class TrainedModel:
 
     def score(self, features: DataFrame) -> DataFrame:
         """Adds fraud_probability; features are taken in the order saved with the model."""
-        missing = [name for name in self.feature_columns if name not in features.columns]
-        if missing:
-            raise ValueError(f"missing feature columns: {missing}")
+        require_columns(features, self.feature_columns)
         scored = self.stages.transform(features)
         return scored.select(*features.columns, self._probability(scored.columns).alias("fraud_probability"))
 

@@ -9,19 +9,6 @@ CURRENCIES = ["EUR", "USD", "GBP", "CHF", "JPY"]
 CHANNELS = ["POS", "ECOM", "ATM", "MOTO"]
 ACTIONS = ["APPROVE", "REVIEW", "DECLINE"]
 SEVERITIES = ["HARD_BLOCK", "SUSPECT", "INFO"]
-MERCHANT_CATEGORIES = {
-    "5411": "grocery",
-    "5812": "restaurants",
-    "5541": "service stations",
-    "5732": "electronics",
-    "7995": "gambling",
-    "5912": "pharmacy",
-    "4111": "transport",
-    "5999": "miscellaneous retail",
-    "6011": "cash withdrawal",
-    "5967": "direct marketing",
-}
-ATTACK_PATTERNS = ["card_testing", "geo_anomaly", "cashout", "account_takeover", "high_risk_mcc"]
 
 TRANSACTION = T.StructType(
     [

@@ -36,12 +36,13 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
 def explode_batches(payloads: DataFrame, column: str = "value") -> DataFrame:
     """One row per item of ``{"transactions": [...]}``, with its place in the request.
 
-    Items stay JSON text, so that the contract sees unknown fields and wrongly typed values.
+    Items stay JSON text, so that the contract sees unknown fields and wrongly typed values. A request
+    that is no such object, or has no items, gives one row without place and value, which the contract refuses.
     """
     body = T.StructType([T.StructField("transactions", T.ArrayType(T.StringType()))])
     items = F.from_json(F.col(column), body)["transactions"]
     others = [name for name in payloads.columns if name != column]
-    return payloads.select(*others, F.posexplode(items).alias("pos", "value"))
+    return payloads.select(*others, F.posexplode_outer(items).alias("pos", "value"))
 
 
 def write_split(df: DataFrame, path: str) -> None:

@@ -97,7 +97,7 @@ def test_table_path(table):
     checked = check_table(df)
     rows = valid_rows(checked).collect()
     assert len(rows) == 2
-    assert [r["merchant_country"] for r in rows] == ["FR", "FR"]
+    assert [r["merchant_country"] for r in rows] == ["IT", "FR"]
     assert {r["currency"] for r in rows} == {"EUR"} and "C1" in {r["customer_id"] for r in rows}
     assert [(e["field"], e["code"]) for e in quarantined_rows(checked).first()["errors"]] == [("amount", "missing")]
     with pytest.raises(ValueError, match="outside the contract"):
@@ -111,4 +111,19 @@ def test_round_trip_and_batch_order(spark, table):
     body = '{"transactions":[' + ",".join(texts) + "]}"
     items = explode_batches(spark.createDataFrame([(1, body)], "request int, value string"))
     good = check_json(items).filter(F.size("errors") == 0).orderBy("pos").select("pos", "clean.transaction_id", "clean.amount").collect()
-    assert [(r["pos"], r["transaction_id"], r["amount"]) for r in good] == [(i, f"TX_BATCH_{i}", 87.5) for i in range(5)]
+    assert [(r["pos"], r["transaction_id"], r["amount"]) for r in good] == [(i, f"TX_BATCH_{i}", 42.25) for i in range(5)]
+
+
+def test_types_of_json_values(spark):
+    changes = [
+        {"timestamp": "14:30"}, {"timestamp": "2025-06"}, {"merchant_mcc": 5411}, {"card_id": True}, {"customer_id": {"a": 1}}, {"amount": "87.5f"},
+    ]
+    for change, errors in zip(changes, _errors(spark, *[BODY | c for c in changes]), strict=True):
+        assert errors == [(next(iter(change)), "type_error")], change
+
+
+def test_broken_requests_are_refused_not_lost(spark):
+    bodies = ["{bad", '{"transactions": null}', '{"transactions": {}}', '{"transactions": []}', json.dumps({"transactions": [BODY]})]
+    items = explode_batches(spark.createDataFrame(list(enumerate(bodies)), "request int, value string"))
+    found = {r["request"]: len(r["errors"]) for r in check_json(items).select("request", "errors").collect()}
+    assert found == {0: 1, 1: 1, 2: 1, 3: 1, 4: 0}

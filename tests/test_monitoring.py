@@ -70,7 +70,7 @@ def test_attack_patterns(table):
         LEGIT | {"transaction_id": "testing", "channel": "ECOM", "amount": 2.0, "n_tx_last_1h": 6, "distinct_countries_last_24h": 2},
         LEGIT | {"transaction_id": "cash", "channel": "ATM", "amount": 500.0, "merchant_mcc": "6011", "n_tx_last_1h": 3},
         LEGIT | {"transaction_id": "casino", "channel": "ECOM", "amount": 150.0, "merchant_mcc": "7995"},
-        LEGIT | {"transaction_id": "taken", "amount": 700.0, "merchant_mcc": "5732"},
+        LEGIT | {"transaction_id": "taken", "amount": 700.0, "merchant_mcc": "5732", "customer_age_days": 900, "amount_avg_30d": 70.0, "amount_std_30d": 20.0},
         LEGIT | {"transaction_id": "abroad", "channel": "ECOM", "amount": 90.0, "merchant_country": "US", "distinct_countries_last_24h": 2},
         LEGIT,
     ]
@@ -82,7 +82,7 @@ def test_attack_patterns(table):
         "casino": "high_risk_mcc",
         "taken": "account_takeover",
         "abroad": "geo_anomaly",
-        "TX_TEST_0001": None,
+        "quiet-000-17": None,
     }
     assert {r["share"] for r in profiling.pattern_shares(tagged).collect()} == {0.2}
 

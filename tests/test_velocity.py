@@ -124,3 +124,36 @@ def test_ages_of_unknown_and_later_keys_are_zero(spark):
 def test_micros_of_zone_less_stamps(spark):
     df = spark.sql("SELECT TIMESTAMP_NTZ'2024-01-01 00:00:00.000001' AS t")
     assert df.select(micros(F.col("t"))).first()[0] == 1_704_067_200_000_001
+
+
+def test_deviation_is_exact_for_many_large_amounts(spark):
+    rows = spark.range(100_000).selectExpr("id % 2 AS parity", "decimal(999990) + (id % 2) * 0.01 AS amount")
+    sums = rows.selectExpr("cast(amount AS decimal(18,6)) AS a").agg(
+        F.count("a").alias("n"), F.sum("a").alias("s"), F.sum((F.col("a") * F.col("a")).cast("decimal(38,12)")).alias("q")
+    )
+    got = sums.select(velocity._deviation(F.col("n"), F.col("s"), F.col("q"))).first()[0]
+    assert abs(got - 0.005 * (100_000 / 99_999) ** 0.5) < 1e-12
+
+
+def test_clock_features_do_not_follow_the_session_zone(spark):
+    from cardwatch.functions.numeric import micros, utc_hour, utc_stamp, utc_weekday
+
+    df = spark.sql("SELECT TIMESTAMP_NTZ'2025-06-15 15:06:00' AS wall, '2025-06-15 15:06:00' AS bare, '2025-06-15 17:06:00+02:00' AS zoned")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            stamps = [F.col("wall"), utc_stamp(F.col("bare")), utc_stamp(F.col("zoned"))]
+            row = df.select(*[f(x) for x in stamps for f in (utc_hour, utc_weekday, micros)]).first()
+            assert set(row[::3]) == {15} and set(row[1::3]) == {6} and len(set(row[2::3])) == 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_rows_without_a_time_are_in_the_newest_part(spark):
+    from cardwatch.operators.splits import plan_split
+
+    rows = [(f"t{i}", None if i < 2 else i) for i in range(10)]
+    df = spark.createDataFrame(rows, "transaction_id string, s int").selectExpr("transaction_id", "timestamp_seconds(s) AS timestamp")
+    split = plan_split(df, 0.2)
+    assert df.filter(split.is_train()).count() == 8 and df.filter(split.is_test()).count() == 2
