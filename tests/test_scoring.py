@@ -54,7 +54,7 @@ def test_flags(table):
     assert (legit["is_weekend"], fraud["is_weekend"]) == (1, 1)  # a Sunday
     assert (legit["hour"], fraud["hour"]) == (11, 2)
     assert fraud["amount_zscore_30d"] == 20.0
-    assert fraud["velocity_score"] == (4 * 3.0 + 10) / 10
+    assert fraud["velocity_score"] == (3 * 3.0 + 9) / 10
 
 
 def test_zero_history_gives_neutral_values(table):
