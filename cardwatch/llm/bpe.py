@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from cardwatch.llm.common import text_or_empty
 
 NONE = 1 << 60
-CACHED_PIECES = 200_000
+CACHED_PIECES = 600_000
 CONTRACT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -58,6 +58,8 @@ class PairTree:
 
     def set(self, leaf: int, rank: int) -> None:
         nodes, i = self.nodes, leaf + self.size
+        if nodes[i] == rank:
+            return
         nodes[i] = rank
         while i > 1:
             i //= 2
@@ -90,7 +92,7 @@ class Codec:
         cuts = "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True))
         self.cut = regex.compile(f"({cuts})") if cuts else None
         self.piece = regex.compile(before[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
-        self.pieces: dict[str, tuple[list[int], str, str]] = {}
+        self.pieces: dict[str, tuple[int, str, str]] = {}  # number of ids, ids as text, tokens as text
 
     def merge(self, piece: str) -> list[int]:
         """Token ids of one piece."""
@@ -115,26 +117,26 @@ class Codec:
                 tree.set(h, ranks.get((parts[h], parts[i]), NONE))
         return [self.ids[p] for p in parts if p and p in self.ids]
 
-    def _code(self, piece: str) -> tuple[list[int], str, str]:
+    def _code(self, piece: str) -> tuple[int, str, str]:
         if len(self.pieces) >= CACHED_PIECES:
             self.pieces.clear()
         ids = self.merge(piece)
-        code = self.pieces[piece] = (ids, " ".join(map(str, ids)), " ".join(self.tokens[i] for i in ids))
+        code = self.pieces[piece] = (len(ids), " ".join(map(str, ids)), " ".join([self.tokens[i] for i in ids]))
         return code
 
-    def _codes(self, text: str) -> Iterator[tuple[list[int], str, str]]:
-        known = self.pieces
+    def _codes(self, text: str) -> list[tuple[int, str, str]]:
+        known, codes = self.pieces, []
         for i, part in enumerate(self.cut.split(text) if self.cut else [text]):
             if i % 2:
-                yield [self.special[part]], str(self.special[part]), part
+                codes.append((1, str(self.special[part]), part))
                 continue
             # Lower case is taken character by character, so a capital sigma never takes its final form.
             clean = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            for piece in self.piece.findall(clean):
-                yield known.get(piece) or self._code(piece)
+            codes += [known.get(piece) or self._code(piece) for piece in self.piece.findall(clean)]
+        return codes
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _, _ in self._codes(text) for i in ids]
+        return [int(i) for _, ids, _ in self._codes(text) for i in ids.split()]
 
     def decode(self, ids: list[int]) -> str:
         """Tokens, special ones too, joined by a space; ids outside the vocabulary give nothing."""
@@ -146,7 +148,7 @@ class Codec:
         ids = " ".join([c[1] for c in codes])
         back = " ".join([c[2] for c in codes])
         hashed = (hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in (ids, back))
-        return sum([len(c[0]) for c in codes]), *hashed
+        return sum([c[0] for c in codes]), *hashed
 
 
 @lru_cache(maxsize=4)
