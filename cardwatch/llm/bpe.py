@@ -16,6 +16,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -24,7 +25,9 @@ from pyspark.sql import types as T
 from cardwatch.llm.common import text_or_empty
 
 NONE = 1 << 60
-CACHED_PIECES = 600_000
+CACHED_PIECES = 250_000
+#: Characters of text after which a batch of codes is handed on; one longer text is a batch of its own.
+BATCH_CHARS = 1_000_000
 CONTRACT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -71,7 +74,11 @@ class PairTree:
 
 
 class Codec:
-    """Encoder and decoder of one tokenizer file; ``pieces`` holds codes of up to CACHED_PIECES pieces."""
+    """Encoder and decoder of one tokenizer file.
+
+    ``pieces`` holds codes of up to CACHED_PIECES pieces; when full it becomes ``older``, from which pieces
+    that are met again come back, so that frequent ones are never forgotten.
+    """
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as file:
@@ -93,6 +100,7 @@ class Codec:
         self.cut = regex.compile(f"({cuts})") if cuts else None
         self.piece = regex.compile(before[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
         self.pieces: dict[str, tuple[int, str, str]] = {}  # number of ids, ids as text, tokens as text
+        self.older: dict[str, tuple[int, str, str]] = {}
 
     def merge(self, piece: str) -> list[int]:
         """Token ids of one piece."""
@@ -119,20 +127,22 @@ class Codec:
 
     def _code(self, piece: str) -> tuple[int, str, str]:
         if len(self.pieces) >= CACHED_PIECES:
-            self.pieces.clear()
-        ids = self.merge(piece)
-        code = self.pieces[piece] = (len(ids), " ".join(map(str, ids)), " ".join([self.tokens[i] for i in ids]))
+            self.pieces, self.older = {}, self.pieces
+        if (code := self.older.get(piece)) is None:
+            ids = self.merge(piece)
+            code = (len(ids), " ".join(map(str, ids)), " ".join([self.tokens[i] for i in ids]))
+        self.pieces[piece] = code
         return code
 
     def _codes(self, text: str) -> list[tuple[int, str, str]]:
-        known, codes = self.pieces, []
+        codes = []
         for i, part in enumerate(self.cut.split(text) if self.cut else [text]):
             if i % 2:
                 codes.append((1, str(self.special[part]), part))
                 continue
             # Lower case is taken character by character, so a capital sigma never takes its final form.
             clean = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            codes += [known.get(piece) or self._code(piece) for piece in self.piece.findall(clean)]
+            codes += [self.pieces.get(piece) or self._code(piece) for piece in self.piece.findall(clean)]
         return codes
 
     def encode(self, text: str) -> list[int]:
@@ -142,13 +152,15 @@ class Codec:
         """Tokens, special ones too, joined by a space; ids outside the vocabulary give nothing."""
         return " ".join(self.tokens[i] for i in ids if i in self.tokens)
 
+    def coded(self, text: str) -> tuple[int, str, str]:
+        """Number of ids, the ids and the decoded text, each joined by a space."""
+        codes = [c for c in self._codes(text) if c[0]]
+        return sum([c[0] for c in codes]), " ".join([c[1] for c in codes]), " ".join([c[2] for c in codes])
+
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, and hashes of the ids and of the decoded text."""
-        codes = [c for c in self._codes(text) if c[0]]
-        ids = " ".join([c[1] for c in codes])
-        back = " ".join([c[2] for c in codes])
-        hashed = (hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in (ids, back))
-        return sum([c[0] for c in codes]), *hashed
+        count, *parts = self.coded(text)
+        return count, *(hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in parts)
 
 
 @lru_cache(maxsize=4)
@@ -156,6 +168,19 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def short_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Runs of rows with about BATCH_CHARS characters, and their texts; nulls are empty."""
+    for batch in batches:
+        texts, start, held = [], 0, 0
+        column = batch.column("text")
+        for i in range(batch.num_rows):
+            texts.append(column[i].as_py() or "")
+            held += len(texts[-1])
+            if held >= BATCH_CHARS or i + 1 == batch.num_rows:
+                yield batch.slice(start, i + 1 - start), texts
+                texts, start, held = [], i + 1, 0
+
+
 def tokenized(docs: DataFrame, path: str) -> DataFrame:
     """``docs`` plus ids array<int> and decoded string; null texts count as empty. No shuffle.
 
@@ -165,10 +190,12 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path)
-        for batch in batches:
-            ids = [coder.encode(x or "") for x in batch.column("text").to_pylist()]
-            back = [coder.decode(x) for x in ids]
-            columns = [*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())]
+        for batch, texts in short_batches(batches):
+            counts, ids, back = zip(*map(coder.coded, texts), strict=True)
+            ends = np.cumsum((0, *counts), dtype=np.int32)
+            values = np.fromstring(" ".join(filter(None, ids)), np.int32, sep=" ")
+            listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+            columns = [*batch.columns, listed, pa.array(back, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "ids", "decoded"])
 
     schema = T.StructType([*base.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
@@ -180,9 +207,8 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path)
-        for batch in batches:
-            rows = [coder.digest(x) for x in batch.column("text").to_pylist()]
-            n, ids, back = zip(*rows, strict=True) if rows else ((), (), ())
+        for batch, texts in short_batches(batches):
+            n, ids, back = zip(*map(coder.digest, texts), strict=True)
             columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

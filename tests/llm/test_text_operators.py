@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -420,6 +421,24 @@ def test_bpe_against_the_library(spark, texts):
     assert all(r["ids"] == library.encode(r["text"], add_special_tokens=False).ids for r in full)
 
 
+def test_bpe_forgets_pieces_and_cuts_batches(monkeypatch):
+    whole = bpe.Codec(TOKENIZER)
+    texts = ["one two three four", "", "five six one two", "three" * 40, "one six"]
+    monkeypatch.setattr(bpe, "CACHED_PIECES", 2)
+    monkeypatch.setattr(bpe, "BATCH_CHARS", 20)
+    small = bpe.Codec(TOKENIZER)
+    assert [small.coded(x) for x in texts] == [whole.coded(x) for x in texts]
+    assert len(small.pieces) <= 2 and len(small.older) <= 2
+    assert whole.coded("") == (0, "", "")
+    assert whole.coded(texts[0])[2] == whole.decode(whole.encode(texts[0]))
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array([*texts, None], pa.string())], names=["doc_id", "text"])
+    parts = list(bpe.short_batches(iter([batch, batch.slice(0, 0)])))
+    assert [t for _, ts in parts for t in ts] == [*texts, ""]
+    assert [i for b, _ in parts for i in b.column("doc_id").to_pylist()] == list(range(6))
+    assert len(parts) == 3
+
+
 # pipeline ------------------------------------------------------------------------------------------
 
 
