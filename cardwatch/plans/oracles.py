@@ -418,6 +418,9 @@ ORACLES: dict[str, str] = {
     "card_bursts": BURSTS + "SELECT * FROM found",
     "time_split": _with(TXN, FEATURES, _split(0.2, 0.15)) + "SELECT transaction_id, split FROM parted",
     "split_summary": _with(TXN, FEATURES, _split())
+    + """SELECT coalesce(split, 'all') AS split, count(*) AS n_rows, CAST(sum(is_fraud) AS BIGINT) AS n_fraud,
+      avg(is_fraud) AS fraud_rate FROM parted GROUP BY ROLLUP (split)""",
+    "training_summary": _with(TXN, FEATURES, _split(0.2, 0.15))
     + """SELECT coalesce(split, 'all') AS split, count(*) AS n_rows, CAST(sum(is_fraud) AS BIGINT) AS n_fraud,
       avg(is_fraud) AS fraud_rate FROM parted GROUP BY ROLLUP (split)""",
     "saved_split": _with(TXN, FEATURES, _split())

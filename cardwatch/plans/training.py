@@ -113,6 +113,14 @@ class TrainingRun:
     stats: DataFrame  # per feature, over the fit part
 
 
+def part_metrics(summary: DataFrame) -> DataFrame:
+    """(metric, value) with the size and fraud rate of each part of a split summary."""
+    parts = summary.filter("split <> 'all'")
+    sizes = parts.select(F.concat(F.lit("n_"), "split").alias("metric"), F.col("n_rows").cast("double").alias("value"))
+    rates = parts.select(F.concat(F.lit("fraud_rate_"), "split").alias("metric"), F.col("fraud_rate").alias("value"))
+    return sizes.unionByName(rates)
+
+
 def train(df: DataFrame, settings: dict[str, Any] | None = None, code_version: str = "unknown") -> TrainingRun:
     """Fit on the oldest rows, calibrate on the next, test on the newest."""
     settings = settings or load_model_settings()
@@ -155,8 +163,9 @@ def train(df: DataFrame, settings: dict[str, Any] | None = None, code_version: s
     )
     scored = model.score(matrix)
     test = materialize(scored.filter(F.col("split") == "test").select("transaction_id", "is_fraud", "fraud_probability"))
-    report = metrics_report(test)
-    return TrainingRun(model, scored, report, split_summary(matrix), training_stats(fit, FEATURE_COLUMNS))
+    summary = split_summary(matrix)
+    report = metrics_report(test).unionByName(part_metrics(summary))
+    return TrainingRun(model, scored, report, summary, training_stats(fit, FEATURE_COLUMNS))
 
 
 def _metadata_row(spark: SparkSession, model: TrainedModel) -> DataFrame:

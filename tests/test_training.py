@@ -26,6 +26,9 @@ def test_train_save_load_score(spark, calibration):
     assert sizes == {"fit": 680, "val": 120, "test": 200, "all": 1000}
     report = {r["metric"]: r["value"] for r in run.report.collect()}
     assert 0.5 < report["roc_auc"] <= 1.0 and report["n_rows"] == 200
+    assert {p: report[f"n_{p}"] for p in ("fit", "val", "test")} == {"fit": 680, "val": 120, "test": 200}
+    rates = {r["split"]: r["fraud_rate"] for r in run.summary.collect()}
+    assert all(report[f"fraud_rate_{p}"] == rates[p] for p in ("fit", "val", "test"))
     importance = [r["importance"] for r in run.model.importance(spark).collect()]
     assert importance == sorted(importance, reverse=True) and sum(importance) == pytest.approx(1, abs=0.01)
 
