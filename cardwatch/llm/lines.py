@@ -2,18 +2,19 @@
 
 A line's signature is the minimum of its hashed character shingles under several xor masks of the hash.
 Signatures are cut into bands; lines with an equal band are held against the smallest line of that band by
-exact Jaccard similarity of their shingle sets; the verified links are united, and of each component only
-the first line (by doc_id, then place) stays.
+exact Jaccard similarity of their shingle sets; the verified links are united. Where a band then still holds
+lines of several components, these are held against further lines of the band until no link is new. Of each
+component only the first line (by doc_id, then place) stays.
 
 Equal lines are one line from the start, so a line that many documents share is one row in all of this.
-Holding a band's lines against one of them instead of against each other keeps large groups linear.
+Holding a band's lines against a few of them instead of against each other keeps large groups linear.
 """
 
 from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardwatch.llm.common import components, packed, text_or_empty
@@ -23,6 +24,7 @@ SHINGLE = 12
 BANDS = 8
 BAND_ROWS = 3
 SIMILARITY = 0.8
+ANCHORS = 16
 MAX_BROADCAST_ROWS = 1_000_000
 _MASKS = [bits - (1 << 31) for bits in random.Random(9).sample(range(1 << 32), BANDS * BAND_ROWS)]
 
@@ -68,21 +70,36 @@ def signatures(lines: DataFrame) -> DataFrame:
     return hashed.groupBy("line_key").agg(*mins)
 
 
-def candidates(signed: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of lines: each line of a band value with the smallest line of it."""
+def banded(signed: DataFrame) -> DataFrame:
+    """(band, line_key, a): the lines of each band value that two or more share, and the smallest of them."""
     bands = [F.xxhash64(F.lit(n), *[f"m{n * BAND_ROWS + r}" for r in range(BAND_ROWS)]) for n in range(BANDS)]
     partitions = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Dealt once by band, for the minimum and for the join with it.
-    banded = signed.select("line_key", F.explode(F.array(*bands)).alias("band")).repartition(partitions, "band")
-    ends = banded.groupBy("band").agg(F.min("line_key").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    met = banded.join(ends.hint("merge"), "band").filter("line_key <> a")
-    return met.select("a", F.col("line_key").alias("b")).distinct()
+    dealt = signed.select("line_key", F.explode(F.array(*bands)).alias("band")).repartition(partitions, "band")
+    ends = dealt.groupBy("band").agg(F.min("line_key").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return dealt.join(ends.hint("merge"), "band").select("band", "line_key", "a")
 
 
-def verified(pairs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs whose shingle sets have at least this Jaccard similarity."""
-    asked = pairs.select(F.col("a").alias("line_key")).unionByName(pairs.select(F.col("b").alias("line_key"))).distinct()
-    texts = materialize(lines.join(_beside(asked), "line_key", "left_semi").dropDuplicates(["line_key"]))
+def pairs_between(shared: DataFrame, found: DataFrame, salt: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of a band's lines that are not in one component (node, component) yet.
+
+    Each line meets ANCHORS lines of its band, drawn anew for each band and salt; bands of up to
+    ANCHORS + 1 lines so give all pairs that are left.
+    """
+    known = found.select(F.col("node").alias("line_key"), F.col("component").alias("group"))
+    labelled = shared.select("band", "line_key").join(known.hint("merge"), "line_key", "left")
+    labelled = labelled.withColumn("group", F.coalesce("group", "line_key"))
+    ends = labelled.groupBy("band").agg(F.min("group").alias("low"), F.max("group").alias("high"))
+    mixed = labelled.join(ends.filter("low <> high").hint("merge"), "band", "left_semi")
+    drawn = Window.partitionBy("band").orderBy(F.xxhash64("band", "line_key", F.lit(salt)), "line_key")
+    ranked = mixed.withColumn("rank", F.row_number().over(drawn))
+    heads = ranked.filter(F.col("rank") <= ANCHORS).select("band", *[F.col(c).alias(f"head_{c}") for c in ("line_key", "group", "rank")])
+    met = ranked.join(heads.hint("merge"), "band").filter("rank > head_rank AND group <> head_group")
+    return met.select(F.least("line_key", "head_line_key").alias("a"), F.greatest("line_key", "head_line_key").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs whose shingle sets have at least this Jaccard similarity; ``texts`` is (line_key, line), one row a line."""
     a, b = (texts.select(F.col("line_key").alias(n), F.col("line").alias(f"line_{n}")).hint("merge") for n in "ab")
     both = pairs.join(a, "a").join(b, "b").select("a", "b", shingle_hashes("line_a").alias("sa"), shingle_hashes("line_b").alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -91,11 +108,32 @@ def verified(pairs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY)
     return both.withColumn("n", shared).filter(f"n * 100 >= {percent} * (size(sa) + size(sb) - n)").select("a", "b")
 
 
+def united(shared: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, component) of all lines with a verified link.
+
+    First every line is held against the smallest of its band, which settles groups of like lines at a linear
+    cost. Bands that still hold lines of several components go through further rounds, in which only lines of
+    different components meet, until a round brings no link.
+    """
+    tried = materialize(shared.filter("line_key <> a").select("a", F.col("line_key").alias("b")).distinct())
+    found, salt = components(verified(tried, texts)), 0
+    while True:
+        salt += 1
+        pairs = materialize(pairs_between(shared, found, salt).join(tried.hint("merge"), ["a", "b"], "left_anti"))
+        links = materialize(verified(pairs, texts))
+        if links.isEmpty():
+            return found
+        found = components(links.unionByName(found.select(F.col("component").alias("a"), F.col("node").alias("b"))))
+        tried = tried.unionByName(pairs)
+
+
 def removed_places(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, removed array<int>): places of the lines that repeat an earlier one, exactly or nearly."""
     lines = _lines(docs)
-    pairs = materialize(candidates(signatures(lines)))
-    found = components(verified(pairs, lines.select("line_key", "line")))
+    shared = materialize(banded(signatures(lines)))
+    asked = _beside(shared.select("line_key").distinct())
+    texts = lines.select("line_key", "line").join(asked, "line_key", "left_semi").dropDuplicates(["line_key"])
+    found = united(shared, materialize(texts))
     known = found.select(F.col("node").alias("line_key"), F.col("component").alias("group"))
     placed = lines.select("doc_id", "text_key", "place", "line_key").join(known.hint("merge"), "line_key", "left")
     placed = placed.withColumn("group", F.coalesce("group", "line_key")).select("doc_id", "text_key", "place", "group")

@@ -393,6 +393,21 @@ def test_line_dedup_against_all_pairs(spark, texts):
     assert differing <= 0.02 * sum(map(len, expected.values()))  # bands may miss few
 
 
+def test_like_lines_meet_past_an_unlike_smallest_line(spark):
+    base = "the river runs past the old mill and on to the wide grey sea beyond the hills"
+    other = "nobody had seen a kite rise so fast over those quiet wooden roofs before noon"
+    texts = [(k, f"an unlike line number {k}, of a kind of its own: {k * k * 7919}") for k in range(1, 40)]
+    texts += [(100, base), (101, base + "."), (102, base + "!"), (200, other), (201, other + "?")]
+    shared = [(7, k, 1) for k, _ in texts if k < 150] + [(8, k, 5) for k in (5, 200, 201)] + [(9, 5, 5), (9, 6, 5)]
+    shared = spark.createDataFrame(shared, "band long, line_key long, a long")
+    frame = spark.createDataFrame(texts, "line_key long, line string")
+    pairs = lines.pairs_between(shared, spark.createDataFrame([(2, 1)], "node long, component long"), 1).collect()
+    assert all(a < b for a, b in pairs) and (1, 2) not in pairs and len(set(pairs)) == len(pairs)
+    assert len([p for p in pairs if max(p) < 150]) <= 42 * lines.ANCHORS + 1
+    found = {r["node"]: r["component"] for r in lines.united(shared.filter("band <> 7 OR line_key > 30"), frame).collect()}
+    assert found == {100: 100, 101: 100, 102: 100, 200: 200, 201: 200}
+
+
 def test_edited_and_equal_lines_go(spark):
     base = "the quick brown fox jumps over the lazy dog while seven other animals look on from behind the old wooden fence that nobody has painted for as long as anyone in the village remembers"
     edited = base.replace("seven", "eight")
