@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardwatch.functions.numeric import edges_passed
-from cardwatch.operators.ordering import quantiles_of_counts, value_counts
+from cardwatch.operators.ordering import present_values, quantiles_of_counts, value_counts
 from cardwatch.session import materialize
 
 EPS = 1e-6
@@ -30,19 +30,31 @@ def inner_edges(counts: DataFrame, n_bins: int = 10) -> DataFrame:
     )
 
 
-def _bin_counts(counts: DataFrame, edges: DataFrame, name: str) -> DataFrame:
-    placed = counts.join(F.broadcast(edges), "feature")  # one row per feature
-    return placed.groupBy("feature", edges_passed(F.col("edges"), F.col("value")).alias("bin")).agg(F.sum("n").alias(name))
+def _placed(values: DataFrame, edges: DataFrame) -> DataFrame:
+    usable = edges.filter(F.col("edges").isNotNull())
+    placed = values.join(F.broadcast(usable), "feature")  # one row per feature
+    return placed.withColumn("bin", edges_passed(F.col("edges"), F.col("value")))
+
+
+def bins_of_counts(counts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(feature, bin, n) from value counts."""
+    return _placed(counts, edges).groupBy("feature", "bin").agg(F.sum("n").alias("n"))
+
+
+def bins_of_rows(df: DataFrame, edges: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(feature, bin, n) from rows. Values find their bin before they are counted, so a task hands on one
+    row per feature and bin whatever the values."""
+    return _placed(present_values(df, features), edges).groupBy("feature", "bin").agg(F.count("*").alias("n"))
 
 
-def psi_from_counts(expected: DataFrame, actual: DataFrame, edges: DataFrame, n_bins: int = 10, eps: float = EPS) -> DataFrame:
-    """(feature, psi) from value counts of both samples and stored edges of the reference."""
+def psi_from_bins(expected: DataFrame, actual: DataFrame, edges: DataFrame, eps: float = EPS) -> DataFrame:
+    """(feature, psi) from bin counts of both samples and stored edges of the reference."""
     usable = edges.filter(F.col("edges").isNotNull())
     bins = usable.select("feature", F.explode(F.sequence(F.lit(0), F.size("edges"))).alias("bin"))
-    # At most n_bins rows per feature on every side from here on.
+    # At most one row per feature and bin on every side from here on.
     table = (
-        bins.join(F.broadcast(_bin_counts(expected, usable, "e")), ["feature", "bin"], "left")
-        .join(F.broadcast(_bin_counts(actual, usable, "a")), ["feature", "bin"], "left")
+        bins.join(F.broadcast(expected.withColumnRenamed("n", "e")), ["feature", "bin"], "left")
+        .join(F.broadcast(actual.withColumnRenamed("n", "a")), ["feature", "bin"], "left")
         .fillna(0, ["e", "a"])
     )
     cells = table.groupBy("feature").agg(
@@ -67,7 +79,7 @@ def psi(expected: DataFrame, actual: DataFrame, features: Sequence[str], n_bins:
     """
     reference = materialize(value_counts(expected, features))
     edges = materialize(inner_edges(reference, n_bins))
-    found = psi_from_counts(reference, value_counts(actual, features), edges, n_bins, eps)
+    found = psi_from_bins(bins_of_counts(reference, edges), bins_of_rows(actual, edges, features), edges, eps)
     names = expected.sparkSession.createDataFrame([(name,) for name in features], "feature string")
     return names.join(F.broadcast(found), "feature", "left").fillna(0.0, ["psi"])
 

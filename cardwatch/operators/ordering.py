@@ -93,13 +93,17 @@ def running_sums(
     )
 
 
-def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(feature, value, n) over several numeric columns in one pass; nulls and NaN are dropped."""
+def present_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, value), one row per column and row; nulls and NaN are dropped."""
     doubles = df.select(*[F.col(name).cast("double").alias(name) for name in columns])
     long = doubles.unpivot([], list(columns), "feature", "value")
     # -0.0 and 0.0 are one value.
-    present = long.filter(F.col("value").isNotNull() & ~F.isnan("value")).withColumn("value", F.col("value") + F.lit(0.0))
-    return present.groupBy("feature", "value").agg(F.count("*").alias("n"))
+    return long.filter(F.col("value").isNotNull() & ~F.isnan("value")).withColumn("value", F.col("value") + F.lit(0.0))
+
+
+def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, value, n) over several numeric columns in one pass; nulls and NaN are dropped."""
+    return present_values(df, columns).groupBy("feature", "value").agg(F.count("*").alias("n"))
 
 
 def quantiles_of_counts(counts: DataFrame, probabilities: Sequence[float], rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:

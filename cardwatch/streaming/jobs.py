@@ -14,11 +14,11 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from cardwatch.functions.numeric import micros
 from cardwatch.operators.contract import check_json, quarantined_rows, valid_rows
-from cardwatch.operators.drift import psi_from_counts
-from cardwatch.operators.ordering import value_counts
+from cardwatch.operators.drift import bins_of_counts, bins_of_rows, psi_from_bins
 from cardwatch.operators.skew import lookup
 from cardwatch.operators.velocity import MONTH, VELOCITY_COLUMNS, add_velocity
 from cardwatch.plans.scoring import Scorer, score_transactions
+from cardwatch.session import materialize
 from cardwatch.sources.tables import safe_output
 
 
@@ -152,9 +152,13 @@ def velocity_writer(
 
 
 def drift_writer(features: DataFrame, reference: DataFrame, edges: DataFrame, names: Sequence[str], path: str) -> DataStreamWriter:
-    """Stability index of each micro-batch against stored value counts and edges of the reference."""
+    """Stability index of each micro-batch against stored value counts and edges of the reference.
+
+    The reference is put into bins once; a micro-batch reads only those.
+    """
+    expected = materialize(bins_of_counts(reference, edges))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(psi_from_counts(reference, value_counts(batch, names), edges), path, batch_id)
+        _write_batch(psi_from_bins(expected, bins_of_rows(batch, edges, names), edges), path, batch_id)
 
     return features.writeStream.foreachBatch(handle)
