@@ -423,6 +423,10 @@ ORACLES: dict[str, str] = {
     "training_summary": _with(TXN, FEATURES, _split(0.2, 0.15))
     + """SELECT coalesce(split, 'all') AS split, count(*) AS n_rows, CAST(sum(is_fraud) AS BIGINT) AS n_fraud,
       avg(is_fraud) AS fraud_rate FROM parted GROUP BY ROLLUP (split)""",
+    "model_checks": _with(TXN, FEATURES, _split(0.2, 0.15))
+    + """SELECT split, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_outside, CAST(0 AS BIGINT) AS n_other_action,
+      CAST(0 AS BIGINT) AS n_other_probability FROM parted GROUP BY split""",
+    "model_freshness": "SELECT CAST(0 AS INT) AS age_days, false AS is_stale",
     "saved_split": _with(TXN, FEATURES, _split())
     + "SELECT transaction_id, amount, is_fraud, split FROM parted WHERE split = 'test'",
     "amount_histogram": BASE

@@ -432,9 +432,7 @@ _RUNS: dict[tuple[str, str], training.TrainingRun] = {}
 def _run(spark: SparkSession, sf: str) -> training.TrainingRun:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _RUNS:
-        settings = load_model_settings()
-        settings["learner"] |= {"rounds": 20, "learning_rate": 0.2, "max_depth": 5}
-        _RUNS[key] = training.train(_txn(spark, sf), settings)
+        _RUNS[key] = training.train(_txn(spark, sf), load_model_settings(profile="short"))
     return _RUNS[key]
 
 
@@ -447,6 +445,26 @@ def model_decisions(spark, sf):
     return scored.select("transaction_id", "fraud_probability", "adjusted_probability", "action", "risk_score")
 
 
+def model_checks(spark, sf):
+    """Rows per part, and rows whose probability or action breaks its definition."""
+    run = _run(spark, sf)
+    scored = scoring.score_transactions(_txn(spark, sf), run.model)
+    own = run.scored.select("transaction_id", "split", F.col("fraud_probability").alias("kept"))
+    lifted = F.col("adjusted_probability")
+    action = F.when(lifted >= 0.70, "DECLINE").when(lifted >= 0.30, "REVIEW").otherwise("APPROVE")
+    blocked = F.exists("rule_hits", lambda hit: hit["severity"] == "HARD_BLOCK")
+    return (
+        scored.join(own, "transaction_id")
+        .groupBy("split")
+        .agg(
+            F.count("*").alias("n_rows"),
+            F.count_if(~F.coalesce(F.col("kept").between(0.0, 1.0), F.lit(False))).alias("n_outside"),
+            F.count_if(~F.col("action").eqNullSafe(action)).alias("n_other_action"),
+            F.count_if(~blocked & ~F.col("fraud_probability").eqNullSafe(F.col("kept"))).alias("n_other_probability"),
+        )
+    )
+
+
 def feature_importance(spark, sf):
     return _run(spark, sf).model.importance(spark).limit(10)
 
@@ -637,6 +655,7 @@ QUERIES: dict[str, Query] = {
         rule_backtest,
         model_scores,
         model_decisions,
+        model_checks,
         feature_importance,
         calibration_curve,
         training_report,

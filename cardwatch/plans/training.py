@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
+import math
 import platform
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from typing import Any
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -34,23 +36,51 @@ def class_weights(df: DataFrame, label: str = "is_fraud") -> tuple[float, DataFr
     return counts.first()["positive_weight"], counts
 
 
-def _learner(settings: dict[str, Any], tolerance: float) -> GBTClassifier:
+def _learner(settings: dict[str, Any], rounds: int) -> GBTClassifier:
     return GBTClassifier(
         featuresCol="features",
         labelCol="is_fraud",
         weightCol="weight",
-        validationIndicatorCol="is_validation",
-        maxIter=int(settings["rounds"]),
+        maxIter=rounds,
         stepSize=float(settings["learning_rate"]),
         maxDepth=int(settings["max_depth"]),
         minInstancesPerNode=int(settings["min_rows_per_leaf"]),
         featureSubsetStrategy=str(settings["feature_share"]),
         subsamplingRate=float(settings["row_share"]),
         seed=int(settings["seed"]),
-        validationTol=tolerance,
     )
 
 
+def best_round(losses: Sequence[float], patience: int) -> tuple[int, bool]:
+    """The round of the least loss, and whether ``patience`` rounds without gain followed it.
+
+    Without a usable loss (an empty validation part) the last round is taken.
+    """
+    best = 0
+    for at, loss in enumerate(losses):
+        if loss < losses[best] or math.isnan(losses[best]):
+            best = at
+        elif at - best >= patience:
+            return best + 1, True
+    return (best + 1, False) if losses and not math.isnan(losses[best]) else (len(losses), False)
+
+
+def _fit_with_patience(settings: dict[str, Any], patience: int, known: DataFrame, validation: DataFrame) -> GBTClassificationModel:
+    """Trees up to the best round on the validation part.
+
+    Spark's own stop ends at the first small gain and cannot go on with a fit, so twice as many rounds are
+    fitted until the rule holds. Rounds depend on seed and data alone: a shorter fit is the start of a longer one.
+    """
+    limit = int(settings["rounds"])
+    rounds = min(limit, 2 * patience)
+    while True:
+        trees = _learner(settings, rounds).fit(known)
+        best, settled = best_round(trees.evaluateEachIteration(validation), patience)
+        if settled or rounds >= limit:
+            return trees if best == trees.getNumTrees else _learner(settings, best).fit(known)
+        rounds = min(limit, 2 * rounds)
+
+
 def _isotonic(scored: DataFrame) -> list:
     """Monotone map from raw to observed probability.
 
@@ -133,16 +163,13 @@ def train(df: DataFrame, settings: dict[str, Any] | None = None, code_version: s
     fit = matrix.filter(F.col("split") == "fit")
 
     weight = class_weights(fit)[0] if learner.get("balance_classes", True) else 1.0
-    known = matrix.filter(F.col("split") != "test").withColumns(
-        {
-            "weight": F.when(F.col("is_fraud") == 1, F.lit(float(weight))).otherwise(F.lit(1.0)),
-            "is_validation": F.col("split") == "val",
-        }
-    )
+    weighted = matrix.withColumn("weight", F.when(F.col("is_fraud") == 1, F.lit(float(weight))).otherwise(F.lit(1.0)))
     assembler = VectorAssembler(inputCols=FEATURE_COLUMNS, outputCol="features", handleInvalid="keep")
-    trees = _learner(learner, float(training["validation_tolerance"])).fit(assembler.transform(known))
+    known = assembler.transform(weighted.filter(F.col("split") == "fit"))
+    held = assembler.transform(weighted.filter(F.col("split") == "val"))
+    trees = _fit_with_patience(learner, int(training["patience"]), known, held)
 
-    validation = trees.transform(assembler.transform(matrix.filter(F.col("split") == "val")))
+    validation = trees.transform(held)
     calibrators = {"isotonic": _isotonic, "sigmoid": _sigmoid}
     stages = PipelineModel([assembler, trees, *calibrators[training["calibration"]](validation)])
 

@@ -28,8 +28,13 @@ def load_rules(path: str | Path | None = None) -> list[Rule]:
     return rules_from_dicts(load_yaml(path or CONFIG_DIR / "rules.yaml").get("rules") or [])
 
 
-def load_model_settings(path: str | Path | None = None) -> dict[str, Any]:
-    return load_yaml(path or CONFIG_DIR / "model.yaml")
+def load_model_settings(path: str | Path | None = None, profile: str | None = None) -> dict[str, Any]:
+    """The settings, with the values of a named profile of the file in place of its own."""
+    settings = load_yaml(path or CONFIG_DIR / "model.yaml")
+    profiles = settings.pop("profiles", {})
+    for section, values in profiles[profile].items() if profile else ():
+        settings[section] |= values
+    return settings
 
 
 def load_policy(path: str | Path | None = None) -> Policy:

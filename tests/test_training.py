@@ -14,7 +14,7 @@ from cardwatch.sources.config import load_model_settings
 def _settings(calibration):
     settings = load_model_settings()
     settings["learner"] |= {"rounds": 5, "learning_rate": 0.3, "max_depth": 4, "min_rows_per_leaf": 5}
-    settings["training"]["calibration"] = calibration
+    settings["training"] |= {"calibration": calibration, "patience": 3}
     return settings
 
 
@@ -55,6 +55,25 @@ def test_train_save_load_score(spark, calibration):
     assert training.model_age(runs, F.date_add(F.current_date(), 40)).first()["is_stale"]
 
 
+def test_best_round_waits_for_its_patience():
+    losses = [5.0, 4.0, 4.2, 4.1, 3.0, 3.5, 3.4, 3.3, 1.0]
+    assert training.best_round(losses, 3) == (5, True)
+    assert training.best_round(losses, 2) == (2, True)
+    assert training.best_round(losses, 9) == (9, False)
+    assert training.best_round([float("nan")] * 4, 2) == (4, False)
+
+
+def test_a_shorter_fit_is_the_start_of_a_longer_one(spark):
+    settings = load_model_settings(profile="short")
+    assert settings["learner"]["rounds"] == 80 and "profiles" not in settings
+    assert load_model_settings()["training"]["patience"] == 40
+    settings["learner"] |= {"rounds": 12, "max_depth": 3, "min_rows_per_leaf": 5}
+    settings["training"] |= {"patience": 2}
+    run = training.train(events_view.transactions(spark, SMALL), settings)
+    trees = run.model.stages.stages[1]
+    assert run.model.metadata["best_round"] == trees.getNumTrees <= 12
+
+
 def test_class_weights(spark):
     df = spark.createDataFrame([(1,), (0,), (0,), (0,)], "is_fraud int")
     assert training.class_weights(df)[0] == 3.0
