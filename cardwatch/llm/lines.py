@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 from cardwatch.llm.common import components, packed, text_or_empty
 from cardwatch.session import materialize
 
-SHINGLE = 12
-BANDS = 8
-BAND_ROWS = 3
+SHINGLE = 5
+#: 12 bands of 4 minima find a pair at 0.8 with 99.8 %.
+BANDS = 12
+BAND_ROWS = 4
 SIMILARITY = 0.8
 ANCHORS = 16
 MAX_BROADCAST_ROWS = 1_000_000

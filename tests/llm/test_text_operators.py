@@ -415,6 +415,29 @@ def test_edited_and_equal_lines_go(spark):
     assert {r["row"]["doc_id"]: r["kept_text"] for r in rows} == {1: f"{base}\n\nfirst own line", 2: "second own line"}
 
 
+def test_small_edits_in_ordinary_lines_go(spark):
+    rng = np.random.default_rng(3)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    rows, expected = [], 0
+    for i in range(120):
+        words = ["".join(rng.choice(letters, rng.integers(2, 9))) for _ in range(30)]
+        base = " ".join(words)[: 40 + i * 80 // 119].strip()
+        at = len(base) // 2
+        if i % 2:
+            edited = base[:at] + "#" + base[at + 1 :]
+        else:  # the word in the middle gives way to another
+            low, high = base.rfind(" ", 0, at) + 1, base.find(" ", at)
+            edited = base[:low] + "0" * (high - low) + base[high:]
+        a, b = ({x[k : k + 5] for k in range(len(x) - 4)} for x in (base, edited))
+        like = 10 * len(a & b) >= 8 * len(a | b)
+        expected += like
+        rows += [(2 * i, base, "a", like), (2 * i + 1, edited, "a", like)]
+    got = {r["doc_id"]: r["n_removed"] for r in lines.report(_docs(spark, [r[:3] for r in rows])).collect()}
+    assert expected >= 60
+    assert not any(got[i] for i, _, _, like in rows if not like or i % 2 == 0)
+    assert sum(got.values()) >= 0.97 * expected
+
+
 # 10 ------------------------------------------------------------------------------------------------
 
 
