@@ -3,11 +3,11 @@
 A line's signature is the minimum of its hashed character shingles under several xor masks of the hash.
 Signatures are cut into bands; lines with an equal band are held against the smallest line of that band by
 exact Jaccard similarity of their shingle sets; the verified links are united. Where a band then still holds
-lines of several components, these are held against further lines of the band until no link is new. Of each
-component only the first line (by doc_id, then place) stays.
+lines of several components, all its pairs of different components that can reach the limit are verified. Of
+each component only the first line (by doc_id, then place) stays.
 
 Equal lines are one line from the start, so a line that many documents share is one row in all of this.
-Holding a band's lines against a few of them instead of against each other keeps large groups linear.
+Holding a band's lines against a few of them first keeps large groups of like lines near linear.
 """
 
 from __future__ import annotations
@@ -25,7 +25,12 @@ SHINGLE = 5
 BANDS = 12
 BAND_ROWS = 4
 SIMILARITY = 0.8
-ANCHORS = 16
+ANCHORS = 4
+ROUNDS = 1
+#: A band of up to so many lines is verified by all its pairs.
+PAIRED = 32
+#: Lines of one key that meet all others of it in one task.
+MEETING = 256
 MAX_BROADCAST_ROWS = 1_000_000
 _MASKS = [bits - (1 << 31) for bits in random.Random(9).sample(range(1 << 32), BANDS * BAND_ROWS)]
 
@@ -109,23 +114,62 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
     return both.withColumn("n", shared).filter(f"n * 100 >= {percent} * (size(sa) + size(sb) - n)").select("a", "b")
 
 
+def _salted_pairs(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of rows (*by, line_key, group) equal in ``by`` and not in ``group``.
+
+    A key with many rows is dealt over one salt for each MEETING of them.
+    """
+    counts = rows.groupBy(*by).agg(F.expr(f"count(*) div {MEETING}").alias("top"), F.min("group").alias("low"), F.max("group").alias("high"))
+    dealt = rows.join(counts.filter("low <> high").drop("low", "high").hint("merge"), by)
+    left = dealt.select(*by, F.col("line_key").alias("a"), F.col("group").alias("group_a"), F.expr("pmod(xxhash64(line_key), top + 1)").alias("salt"))
+    right = dealt.select(*by, F.col("line_key").alias("b"), F.col("group").alias("group_b"), F.explode(F.expr("sequence(0L, top)")).alias("salt"))
+    met = left.join(right.hint("merge"), [*by, "salt"]).filter("a < b AND group_a <> group_b")
+    return met.select("a", "b").distinct()
+
+
+def rest_pairs(shared: DataFrame, found: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Distinct pairs (a, b), a < b: all of a band's lines that are in different components and can be similar enough.
+
+    Bands of up to PAIRED lines give all pairs. In larger ones a line's shingles are sorted by how many lines
+    of the band have them; of n shingles, the first n - ceil(similarity n) + 1 are kept. Two lines without a
+    common shingle among these are below the limit for sure, so no pair is lost.
+    """
+    known = found.select(F.col("node").alias("line_key"), F.col("component").alias("group"))
+    labelled = shared.select("band", "line_key").join(known.hint("merge"), "line_key", "left")
+    labelled = labelled.withColumn("group", F.coalesce("group", "line_key"))
+    sizes = labelled.groupBy("band").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("n"))
+    mixed = materialize(labelled.join(sizes.filter("low <> high").select("band", "n").hint("merge"), "band"))
+    few = _salted_pairs(mixed.filter(f"n <= {PAIRED}"), ["band"])
+
+    many = mixed.filter(f"n > {PAIRED}").drop("n")
+    cut = many.select("line_key").distinct().join(texts.hint("merge"), "line_key").select("line_key", shingle_hashes("line").alias("set"))
+    tokens = many.join(cut.hint("merge"), "line_key").select("band", "line_key", "group", F.explode("set").alias("token"))
+    held = tokens.groupBy("band", "token").agg(F.count("*").alias("n"))
+    sets = tokens.join(held.hint("merge"), ["band", "token"]).groupBy("band", "line_key", "group")
+    sets = sets.agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("set"))
+    percent = round(similarity * 100)
+    length = F.expr(f"size(set) - int(({percent} * size(set) + 99) div 100) + 1")
+    first = sets.select("band", "line_key", "group", F.explode(F.slice("set", F.lit(1), length)).alias("held"))
+    first = first.filter("held.n > 1").select("band", F.col("held.token").alias("token"), "line_key", "group")
+    return few.unionByName(_salted_pairs(materialize(first), ["band", "token"])).distinct()
+
+
 def united(shared: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, component) of all lines with a verified link.
 
-    First every line is held against the smallest of its band, which settles groups of like lines at a linear
-    cost. Bands that still hold lines of several components go through further rounds, in which only lines of
-    different components meet, until a round brings no link.
+    First every line is held against the smallest of its band, then up to ROUNDS times against ANCHORS drawn
+    ones, which settles groups of like lines at a linear cost and decides nothing else. Then all pairs of a
+    band that are still in different components are verified, so the result does not depend on the draws.
     """
     tried = materialize(shared.filter("line_key <> a").select("a", F.col("line_key").alias("b")).distinct())
-    found, salt = components(verified(tried, texts)), 0
-    while True:
-        salt += 1
-        pairs = materialize(pairs_between(shared, found, salt).join(tried.hint("merge"), ["a", "b"], "left_anti"))
+    found = components(verified(tried, texts))
+    for salt in range(1, ROUNDS + 2):
+        pairs = pairs_between(shared, found, salt) if salt <= ROUNDS else rest_pairs(shared, found, texts)
+        pairs = materialize(pairs.join(tried.hint("merge"), ["a", "b"], "left_anti"))
         links = materialize(verified(pairs, texts))
-        if links.isEmpty():
-            return found
         found = components(links.unionByName(found.select(F.col("component").alias("a"), F.col("node").alias("b"))))
         tried = tried.unionByName(pairs)
+    return found
 
 
 def removed_places(docs: DataFrame) -> DataFrame:

@@ -438,6 +438,22 @@ def test_small_edits_in_ordinary_lines_go(spark):
     assert sum(got.values()) >= 0.97 * expected
 
 
+def test_few_like_lines_of_a_large_mixed_band_are_all_found(spark):
+    rng = np.random.default_rng(11)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    texts = [(k, "one common start of each line: " + "".join(rng.choice(letters, 80))) for k in range(1, 701)]
+    planted = {700 + k: 100 + 37 * k for k in range(1, 13)}
+    texts += [(k, dict(texts)[like][:-1] + "#") for k, like in planted.items()]
+    # Two large groups of one band that are unlike each other.
+    groups = [rng.choice(letters, 90) for _ in range(2)]
+    texts += [(1000 + 100 * g + k, "".join(groups[g]) + str(k)) for g in range(2) for k in range(60)]
+    shared = spark.createDataFrame([(7 if k < 1000 else 8, k, 1 if k < 1000 else 1000) for k, _ in texts], "band long, line_key long, a long")
+    found = lines.united(shared, spark.createDataFrame(texts, "line_key long, line string"))
+    expected = {x: min(pair) for pair in planted.items() for x in pair}
+    expected |= {1000 + 100 * g + k: 1000 + 100 * g for g in range(2) for k in range(60)}
+    assert {r["node"]: r["component"] for r in found.collect()} == expected
+
+
 # 10 ------------------------------------------------------------------------------------------------
 
 
