@@ -127,12 +127,15 @@ def _salted_pairs(rows: DataFrame, by: list[str]) -> DataFrame:
     return met.select("a", "b").distinct()
 
 
-def rest_pairs(shared: DataFrame, found: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def rest_pairs(
+    shared: DataFrame, found: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, hashes: Column | None = None
+) -> DataFrame:
     """Distinct pairs (a, b), a < b: all of a band's lines that are in different components and can be similar enough.
 
     Bands of up to PAIRED lines give all pairs. In larger ones a line's shingles are sorted by how many lines
     of the band have them; of n shingles, the first n - ceil(similarity n) + 1 are kept. Two lines without a
-    common shingle among these are below the limit for sure, so no pair is lost.
+    common shingle among these are below the limit for sure, so no pair is lost. ``hashes`` is the set of distinct
+    shingles of a row of ``texts``, by default that of its line.
     """
     known = found.select(F.col("node").alias("line_key"), F.col("component").alias("group"))
     labelled = shared.select("band", "line_key").join(known.hint("merge"), "line_key", "left")
@@ -142,14 +145,15 @@ def rest_pairs(shared: DataFrame, found: DataFrame, texts: DataFrame, similarity
     few = _salted_pairs(mixed.filter(f"n <= {PAIRED}"), ["band"])
 
     many = mixed.filter(f"n > {PAIRED}").drop("n")
-    cut = many.select("line_key").distinct().join(texts.hint("merge"), "line_key").select("line_key", shingle_hashes("line").alias("set"))
+    sets = shingle_hashes("line") if hashes is None else hashes
+    cut = many.select("line_key").distinct().join(texts.hint("merge"), "line_key").select("line_key", sets.alias("set"))
     tokens = many.join(cut.hint("merge"), "line_key").select("band", "line_key", "group", F.explode("set").alias("token"))
     held = tokens.groupBy("band", "token").agg(F.count("*").alias("n"))
-    sets = tokens.join(held.hint("merge"), ["band", "token"]).groupBy("band", "line_key", "group")
-    sets = sets.agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("set"))
+    ordered = tokens.join(held.hint("merge"), ["band", "token"]).groupBy("band", "line_key", "group")
+    ordered = ordered.agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("set"))
     percent = round(similarity * 100)
     length = F.expr(f"size(set) - int(({percent} * size(set) + 99) div 100) + 1")
-    first = sets.select("band", "line_key", "group", F.explode(F.slice("set", F.lit(1), length)).alias("held"))
+    first = ordered.select("band", "line_key", "group", F.explode(F.slice("set", F.lit(1), length)).alias("held"))
     first = first.filter("held.n > 1").select("band", F.col("held.token").alias("token"), "line_key", "group")
     return few.unionByName(_salted_pairs(materialize(first), ["band", "token"])).distinct()
 

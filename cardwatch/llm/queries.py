@@ -20,7 +20,7 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.compared_with_edits(documents(spark, sf_dir))
+    return fingerprints.with_near_links(documents(spark, sf_dir))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

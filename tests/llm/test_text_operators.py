@@ -119,6 +119,24 @@ def test_near_pairs_are_verified(spark):
     assert {ids[pair["a"]], ids[pair["b"]]} == {0, 1}
 
 
+def test_near_links_join_what_all_pairs_join(spark):
+    rng = np.random.default_rng(5)
+    start = [f"s{i}" for i in range(150)]
+    rows = [[*start, *(f"w{x}" for x in rng.integers(0, 10**6, 60))] for _ in range(150)]
+    rows += [[*rows[7 * i][:-1], "other"] for i in range(20)] + [rows[3]]
+    docs = _docs(spark, [(i, " ".join(t), "a") for i, t in enumerate(rows)])
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    got = {r["doc_id"]: r for r in fingerprints.with_near_links(docs).collect()}
+    assert len({(group[i], got[i]["near_component"]) for i in got}) == len(set(group)) == len({r["near_component"] for r in got.values()})
+    assert len(got) == len(rows) and all(got[7 * i]["near_links"] >= 1 for i in range(20))
+    assert got[3]["near_component"] == got[170]["near_component"]
+
+
 # 2 -------------------------------------------------------------------------------------------------
 
 
