@@ -432,7 +432,7 @@ _RUNS: dict[tuple[str, str], training.TrainingRun] = {}
 def _run(spark: SparkSession, sf: str) -> training.TrainingRun:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _RUNS:
-        _RUNS[key] = training.train(_txn(spark, sf), load_model_settings(profile="short"))
+        _RUNS[key] = training.train(_txn(spark, sf), load_model_settings())
     return _RUNS[key]
 
 

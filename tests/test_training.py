@@ -78,3 +78,13 @@ def test_class_weights(spark):
     df = spark.createDataFrame([(1,), (0,), (0,), (0,)], "is_fraud int")
     assert training.class_weights(df)[0] == 3.0
     assert training.class_weights(df.filter("is_fraud = 0"))[0] == 1.0
+
+
+def test_registered_queries_train_with_the_full_settings(spark, monkeypatch):
+    from cardwatch.plans import registry
+
+    seen = []
+    monkeypatch.setattr(registry, "_RUNS", {})
+    monkeypatch.setattr(registry.training, "train", lambda df, settings=None: seen.append(settings))
+    registry._run(spark, SMALL)
+    assert seen == [load_model_settings()]
