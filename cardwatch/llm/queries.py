@@ -8,7 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardwatch.llm import bpe, fingerprints, lines, mixing, pii, quality_model, rules, simhash, substrings, toxicity
+from cardwatch.llm import (
+    bpe,
+    fingerprints,
+    lines,
+    mixing,
+    periods,
+    pii,
+    quality_model,
+    ranking,
+    rules,
+    simhash,
+    substrings,
+    toxicity,
+)
 from cardwatch.llm.common import documents
 
 #: Place of the vocabulary file; a parameter of the operator.
@@ -62,6 +75,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), TOKENIZER)
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.repetitions(documents(spark, sf_dir)).drop("runs", "collapsed")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_mixing": op2_mixing,
@@ -73,6 +94,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_bpe": op10_bpe,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_ranked_search": op13_ranked_search,
 }
 
-ORACLES: dict[str, str] = {"op2_mixing": mixing.SQL, "op7_quality_rules": rules.SQL}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.SQL, "op7_quality_rules": rules.SQL, "op13_ranked_search": ranking.SQL}
