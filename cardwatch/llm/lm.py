@@ -39,11 +39,13 @@ PRIOR = 100.0
 #: Ratio between the counts of successive levels.
 LEVEL_BASE = 1.5
 #: Bits of the filter per pair, and bits of one 64-bit word that a pair sets.
-PAIR_BITS, PROBES = 14, 5
+PAIR_BITS, PROBES = 11, 4
 #: Bytes of the filter that may be sent to every worker, grams per shard on average at most, bytes of frequent words.
 MAX_BROADCAST = 256 << 20
 SHARD_GRAMS = 2_000_000
 FREQUENT_BYTES = 16 << 20
+#: Bytes of text that are scored at once.
+SCORE_BYTES = 3 << 20
 _SEED = 11
 _MIX1, _MIX2, _STEP = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 # No word holds a blank, so these are no words.
@@ -317,7 +319,7 @@ def _by_broadcast(rows: DataFrame, model: Model, frequent: tuple, totals: tuple)
     whole, words = context.broadcast(_assembled(model)), context.broadcast(frequent)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, size=SCORE_BYTES):
             yield _score_batch(batch, whole.value.levels, words.value, totals)
 
     return rows.mapInArrow(score, _SCORED)
