@@ -502,6 +502,34 @@ SELECT strftime(t, '%Y-%m-%d') AS week, n_fraud, n_caught, recall, recall_before
     + _psi("split = 'train'", "split = 'test'", ["fraud_probability"])
     + "SELECT feature, psi FROM psi",
     "drift_against_training": _with(TXN, FEATURES, _split(), TRAIN_STATS)
+    + """SELECT feature, round(avg(value), 6) AS live_mean, round((avg(value) - mean) / std, 6) AS z,
+      round(avg(CASE WHEN value BETWEEN p01 AND p99 THEN 0 ELSE 1 END), 6) AS share_outside
+      FROM long JOIN stats USING (feature) WHERE split = 'test' GROUP BY feature, mean, std""",
+    # The monotone fit by its min-max form, over all pairs of scores.
+    "isotonic_fit": SCORED
+    + """, points AS (SELECT floor(p * CAST(1000.0 AS DOUBLE)) / CAST(1000.0 AS DOUBLE) AS score,
+      CAST(sum(is_fraud) AS DOUBLE) AS total, CAST(count(*) AS DOUBLE) AS weight FROM scored GROUP BY 1),
+    sums AS (SELECT *, row_number() OVER o AS i, sum(total) OVER o AS t, sum(weight) OVER o AS w FROM points WINDOW o AS (ORDER BY score)),
+    means AS (SELECT a.i AS j, b.i AS k, (b.t - a.t + a.total) / (b.w - a.w + a.weight) AS mean FROM sums a JOIN sums b ON a.i <= b.i),
+    least AS (SELECT k AS i, min(mean) OVER (PARTITION BY j ORDER BY k DESC ROWS UNBOUNDED PRECEDING) AS m FROM means),
+    fitted AS (SELECT i, round(max(m), 9) AS fitted FROM least GROUP BY i)
+    SELECT min(score) AS low, max(score) AS high, fitted, CAST(sum(weight) AS BIGINT) AS n_rows
+    FROM sums JOIN fitted USING (i) GROUP BY fitted""",
+    # Newton's steps, a fixed number of them.
+    "sigmoid_fit": "WITH RECURSIVE "
+    + ", ".join([TXN, FEATURES, _scored()])
+    + """, points AS (SELECT floor(p * CAST(1000.0 AS DOUBLE)) / CAST(1000.0 AS DOUBLE) AS score,
+      CAST(sum(is_fraud) AS DOUBLE) AS total, CAST(count(*) AS DOUBLE) AS weight FROM scored GROUP BY 1),
+    steps AS (
+      SELECT 0 AS step, CAST(0 AS DOUBLE) AS slope, CAST(0 AS DOUBLE) AS intercept
+      UNION ALL
+      SELECT step + 1, slope + (g1 * h - g0 * hx) / (hxx * h - hx * hx), intercept + (g0 * hxx - g1 * hx) / (hxx * h - hx * hx)
+      FROM (SELECT step, slope, intercept, sum((total - weight * f) * score) AS g1, sum(total - weight * f) AS g0,
+          sum(weight * f * (1 - f) * score * score) AS hxx, sum(weight * f * (1 - f) * score) AS hx, sum(weight * f * (1 - f)) AS h
+        FROM (SELECT *, 1 / (1 + exp(-(slope * score + intercept))) AS f FROM steps, points WHERE step < 30)
+        GROUP BY step, slope, intercept))
+    SELECT score, round(1 / (1 + exp(-(slope * score + intercept))), 6) AS fitted FROM points, steps WHERE step = 30""",
+    "drift_against_saved": _with(TXN, FEATURES, _split(0.2, 0.15), TRAIN_STATS.replace("'train'", "'fit'"))
     + """SELECT feature, round(avg(value), 6) AS live_mean, round((avg(value) - mean) / std, 6) AS z,
       round(avg(CASE WHEN value BETWEEN p01 AND p99 THEN 0 ELSE 1 END), 6) AS share_outside
       FROM long JOIN stats USING (feature) WHERE split = 'test' GROUP BY feature, mean, std""",

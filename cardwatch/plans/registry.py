@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cardwatch.functions.features import FEATURE_COLUMNS, build_features, select_feature_matrix
 from cardwatch.functions.numeric import micros
-from cardwatch.operators import contract, decision, drift, evaluation, monitoring, profiling, rules, splits, velocity
+from cardwatch.operators import calibration, contract, decision, drift, evaluation, monitoring, profiling, rules, splits, velocity
 from cardwatch.operators.rules import Rule
 from cardwatch.plans import scoring, training
 from cardwatch.session import materialize, scratch_path, use_utc
@@ -424,15 +424,16 @@ def rule_backtest(spark, sf):
     return monitoring.backtest_rules(_features(spark, sf), load_rules(), changed_rules())
 
 
-# Training; one run per application and folder
+# Training; one run per application and content of the table
 
-_RUNS: dict[tuple[str, str], training.TrainingRun] = {}
+_RUNS: dict[tuple, training.TrainingRun] = {}
 
 
 def _run(spark: SparkSession, sf: str) -> training.TrainingRun:
-    key = (spark.sparkContext.applicationId, sf)
+    txn = _txn(spark, sf)
+    key = (spark.sparkContext.applicationId, sf, *txn.agg(F.count("*"), F.bit_xor(F.xxhash64(*txn.columns))).first())
     if key not in _RUNS:
-        _RUNS[key] = training.train(_txn(spark, sf), load_model_settings())
+        _RUNS[key] = training.train(txn, load_model_settings())
     return _RUNS[key]
 
 
@@ -473,6 +474,39 @@ def calibration_curve(spark, sf):
     return training.calibration_curve(_run(spark, sf).scored.filter("split = 'test'"))
 
 
+def _coarse_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Fixed scores cut to three digits, with their labels."""
+    score = F.floor(F.col("fraud_probability") * 1000.0) / 1000.0
+    return calibration.weighted_scores(_model_scored(spark, sf).select("is_fraud", score.alias("score")))
+
+
+def isotonic_fit(spark, sf):
+    blocks = calibration.isotonic_blocks(_coarse_points(spark, sf))
+    return blocks.select("low", "high", _r("fitted"), F.col("weight").cast("long").alias("n_rows"))
+
+
+def sigmoid_fit(spark, sf):
+    points = materialize(_coarse_points(spark, sf))
+    slope, intercept = calibration.sigmoid_fit(points)
+    at = calibration.sigmoid(F.col("score"), slope, intercept)
+    return points.select("score", F.round(at, 6).alias("fitted"))
+
+
+def model_top_drift(spark, sf):
+    """Stability of the five features that matter most to the model, newest rows against older ones."""
+    top = _run(spark, sf).model.importance(spark).limit(5)
+    drifts = drift.with_level(_psi(spark, sf, DRIFT_FEATURES))
+    return top.join(drifts, "feature").select("feature", "importance", _r("psi"), "level")
+
+
+def drift_against_saved(spark, sf):
+    """Newest rows against the statistics that were saved with the model."""
+    stats = training.saved_stats(spark, _saved(spark, sf))
+    newest = _features(spark, sf).filter(splits.plan_split(_txn(spark, sf)).is_test())
+    found = drift.against_training(newest, stats, FEATURE_COLUMNS)
+    return found.select("feature", _r("live_mean", 6), _r("z", 6), _r("share_outside", 6))
+
+
 def training_report(spark, sf):
     return _run(spark, sf).report
 
@@ -658,6 +692,10 @@ QUERIES: dict[str, Query] = {
         model_checks,
         feature_importance,
         calibration_curve,
+        isotonic_fit,
+        sigmoid_fit,
+        model_top_drift,
+        drift_against_saved,
         training_report,
         training_summary,
         model_info,

@@ -38,7 +38,7 @@ def test_train_save_load_score(spark, calibration):
     info = training.model_info(spark, path).first()
     assert (info["model_version"], info["code_version"], info["feature_columns"]) == (run.model.version, "abc", FEATURE_COLUMNS)
     assert spark.read.parquet(f"{path}/runs").filter("metric = 'roc_auc'").count() == 2
-    assert spark.read.parquet(f"{path}/training_stats").count() == 21
+    assert training.saved_stats(spark, path).count() == 21
 
     loaded = training.load_model(spark, path)
     one = {r[0]: r[1] for r in run.scored.select("transaction_id", "fraud_probability").collect()}
@@ -70,8 +70,36 @@ def test_a_shorter_fit_is_the_start_of_a_longer_one(spark):
     settings["learner"] |= {"rounds": 12, "max_depth": 3, "min_rows_per_leaf": 5}
     settings["training"] |= {"patience": 2}
     run = training.train(events_view.transactions(spark, SMALL), settings)
-    trees = run.model.stages.stages[1]
-    assert run.model.metadata["best_round"] == trees.getNumTrees <= 12
+    trees = run.model.trees.trees
+    assert run.model.metadata["best_round"] == len(trees) <= run.model.metadata["rounds_tried"] <= 12
+    assert all((tree.left < 0).sum() <= 8 for tree in trees)  # three levels
+
+
+def test_a_run_that_stops_half_way_leaves_the_model_before_it(spark, monkeypatch):
+    txn = events_view.transactions(spark, SMALL)
+    run = training.train(txn, _settings("isotonic"))
+    path = scratch_path(spark, "published")
+    first = training.save_run(run, path)
+    before = {r[0]: r[1] for r in training.score_table(txn, training.load_model(spark, path)).select("transaction_id", "fraud_probability").collect()}
+    written = []
+
+    def stops(df, target, mode="overwrite"):
+        if len(written) == 3:
+            raise RuntimeError("executor lost")
+        written.append(target)
+        df.write.mode(mode).parquet(target)
+
+    run.model.trees = run.model.trees.first(1)
+    monkeypatch.setattr(training, "write_table", stops)
+    with pytest.raises(RuntimeError):
+        training.save_run(run, path)
+    assert len(written) == 3 and training.current_version(spark, path).endswith(first)
+    after = {r[0]: r[1] for r in training.score_table(txn, training.load_model(spark, path)).select("transaction_id", "fraud_probability").collect()}
+    assert before == after
+    monkeypatch.undo()
+    second = training.save_run(run, path)
+    assert training.current_version(spark, path).endswith(second) != training.current_version(spark, path).endswith(first)
+    assert len(training.load_model(spark, path).trees.trees) == 1
 
 
 def test_class_weights(spark):
@@ -87,4 +115,9 @@ def test_registered_queries_train_with_the_full_settings(spark, monkeypatch):
     monkeypatch.setattr(registry, "_RUNS", {})
     monkeypatch.setattr(registry.training, "train", lambda df, settings=None: seen.append(settings))
     registry._run(spark, SMALL)
+    registry._run(spark, SMALL)
     assert seen == [load_model_settings()]
+    table = events_view.transactions(spark, SMALL)
+    monkeypatch.setattr(registry.events_view, "transactions", lambda *_: table.limit(900))
+    registry._run(spark, SMALL)
+    assert len(seen) == 2  # the table has changed
