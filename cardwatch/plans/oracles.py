@@ -393,7 +393,10 @@ ORACLES: dict[str, str] = {
     + "SELECT event_id // 50 AS request, event_id % 50 AS pos, merchant_id, "
     + f"{_error_text([*ERROR_SQL, NOTE_ERROR])} AS errors FROM dirty",
     "velocity_windows": VELOCITY,
-    "velocity_sweep": VELOCITY,
+    "velocity_sweep": VELOCITY.replace(
+        "FROM txn",
+        "FROM (SELECT * REPLACE (CASE WHEN CAST(substr(transaction_id, 2) AS BIGINT) % 3 = 0 THEN 'HEAVY' ELSE card_id END AS card_id) FROM txn)",
+    ),
     "customer_baseline": _with(TXN)
     + """SELECT customer_id, count(*) AS n_tx, CAST(sum(CAST(amount AS DECIMAL(18, 6))) AS DOUBLE) / count(*) AS avg_amount,
       round(coalesce(stddev_samp(amount), 0), 6) AS std_amount,

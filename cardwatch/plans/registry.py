@@ -12,10 +12,10 @@ from cardwatch.functions.numeric import micros
 from cardwatch.operators import calibration, contract, decision, drift, evaluation, monitoring, profiling, rules, splits, velocity
 from cardwatch.operators.rules import Rule
 from cardwatch.plans import scoring, training
-from cardwatch.session import materialize, scratch_path, use_utc
+from cardwatch.session import materialize, scratch_path, settings, use_utc
 from cardwatch.sources import events_view, tables
 from cardwatch.sources.config import load_model_settings, load_rules
-from cardwatch.streaming import jobs
+from cardwatch.streaming import jobs, velocity_state
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -219,13 +219,19 @@ def _velocity_view(df: DataFrame) -> DataFrame:
     )
 
 
+def _one_heavy_card(txn: DataFrame) -> DataFrame:
+    """Every third transaction on one card."""
+    number = F.substring("transaction_id", 2, 18).cast("long")
+    return txn.withColumn("card_id", F.when(number % 3 == 0, F.lit("HEAVY")).otherwise(F.col("card_id")))
+
+
 def velocity_windows(spark, sf):
     return _velocity_view(velocity.add_velocity(_txn(spark, sf)))
 
 
 def velocity_sweep(spark, sf):
-    """The path of busy cards, taken for all cards."""
-    return _velocity_view(velocity.add_velocity(_txn(spark, sf), heavy_rows=0, max_heavy=0))
+    """The windows of a table of which one card holds a third."""
+    return _velocity_view(velocity.add_velocity(_one_heavy_card(_txn(spark, sf))))
 
 
 def customer_baseline(spark, sf):
@@ -550,6 +556,18 @@ def _txn_stream(spark: SparkSession, sf: str) -> DataFrame:
     return events_view.transactions_from_events(events_view.stream_events(use_utc(spark), sf))
 
 
+def _in_order(spark: SparkSession, df: DataFrame, path: str, n_batches: int, rows_per_file: int = 5_000_000) -> DataFrame:
+    """The rows as a stream of about ``n_batches`` micro-batches, by time: one write after another, as many files each."""
+    at = micros(F.col("timestamp"))
+    low, high, n = df.agg(F.min(at), F.max(at), F.count("*")).first()
+    files = 1 + n // (n_batches * rows_per_file)
+    width = max(1, -(-((high or 0) + 1 - (low or 0)) // n_batches))
+    for i in range(n_batches):
+        part = df.filter(((at - (low or 0)) / width).cast("long") == i)
+        part.repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
 def _run_update(spark: SparkSession, df: DataFrame, keys: list[str]) -> DataFrame:
     path = scratch_path(spark, "stream")
     jobs.run_available(jobs.update_writer(df, f"{path}/out"), f"{path}/checkpoint")
@@ -610,10 +628,11 @@ def stream_sessions(spark, sf):
 
 def stream_velocity(spark, sf):
     path = scratch_path(spark, "stream")
-    txn = _txn_stream(spark, sf)
-    jobs.run_available(jobs.velocity_writer(txn, f"{path}/out", f"{path}/history"), f"{path}/checkpoint")
-    schema = velocity.add_velocity(_txn(spark, sf)).schema
-    return _velocity_view(jobs.read_batches(spark, f"{path}/out", schema))
+    txn = _txn(spark, sf)
+    stream = _in_order(spark, txn, f"{path}/in", 10)
+    with settings(spark, velocity_state.STATE_SETTINGS):
+        jobs.run_available(velocity_state.velocity_writer(stream, f"{path}/out"), f"{path}/checkpoint")
+    return _velocity_view(jobs.read_batches(spark, f"{path}/out", velocity.add_velocity(txn).schema))
 
 
 def stream_drift(spark, sf):

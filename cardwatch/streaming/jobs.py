@@ -15,8 +15,6 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from cardwatch.functions.numeric import micros
 from cardwatch.operators.contract import check_json, quarantined_rows, valid_rows
 from cardwatch.operators.drift import bins_of_counts, bins_of_rows, psi_from_bins
-from cardwatch.operators.skew import lookup
-from cardwatch.operators.velocity import MONTH, VELOCITY_COLUMNS, add_velocity
 from cardwatch.plans.scoring import Scorer, score_transactions
 from cardwatch.session import materialize
 from cardwatch.sources.tables import safe_output
@@ -29,7 +27,7 @@ def run_available(writer: DataStreamWriter, checkpoint: str) -> StreamingQuery:
     return query
 
 
-def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
+def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
@@ -56,8 +54,8 @@ def payload_writer(payloads: DataFrame, scored_path: str, quarantine_path: str,
         checked = check_json(batch).persist()
         try:
             good = safe_output(score_transactions(valid_rows(checked), scorer, rules, policy))
-            _write_batch(good, scored_path, batch_id)
-            _write_batch(quarantined_rows(checked), quarantine_path, batch_id)
+            write_batch(good, scored_path, batch_id)
+            write_batch(quarantined_rows(checked), quarantine_path, batch_id)
         finally:
             checked.unpersist()
 
@@ -66,7 +64,7 @@ def payload_writer(payloads: DataFrame, scored_path: str, quarantine_path: str,
 
 def update_writer(df: DataFrame, path: str) -> DataStreamWriter:
     """Keeps each update of an aggregate; read back with ``latest_per_key``."""
-    return df.writeStream.outputMode("update").foreachBatch(lambda batch, batch_id: _write_batch(batch, path, batch_id))
+    return df.writeStream.outputMode("update").foreachBatch(lambda batch, batch_id: write_batch(batch, path, batch_id))
 
 
 def with_event_time(df: DataFrame, delay: str, timestamp: str = "timestamp") -> DataFrame:
@@ -114,43 +112,6 @@ def late_rows(query: StreamingQuery) -> int:
     )
 
 
-def velocity_writer(
-    transactions: DataFrame, out_path: str, history_path: str, card: str = "card_id", heavy_rows: int | None = None
-) -> DataStreamWriter:
-    """Velocity columns for each micro-batch from the kept history, equal to batch for data that comes in order.
-
-    The history is a table by batch and day rather than per-card state, so that a card with a large
-    share of the stream is spread by the same sweep as in batch. Reading it is limited to the last
-    30 days and to the cards of the batch. A batch that is run again ignores its own earlier copy.
-    """
-    kept = [card, "timestamp", "amount", "merchant_country"]
-    options = {} if heavy_rows is None else {"heavy_rows": heavy_rows}
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.withColumn("timestamp", F.col("timestamp").cast("timestamp")).persist()
-        try:
-            oldest = rows.agg(F.min(micros(F.col("timestamp")))).first()[0] or 0
-            current = rows.withColumn("_is_new", F.lit(True))
-            if batch_id > 0:
-                start = F.timestamp_micros(F.lit(oldest - MONTH))
-                schema = rows.select(*kept).schema.add("batch_id", "long").add("day", "date")
-                past = spark.read.schema(schema).option("basePath", history_path).parquet(history_path)
-                past = past.filter(
-                    (F.col("batch_id") < batch_id) & (F.col("day") >= start.cast("date")) & (F.col("timestamp") >= start)
-                )
-                past = lookup(past.select(*kept), rows.select(card).distinct(), [card], "left_semi")
-                current = current.unionByName(past.withColumn("_is_new", F.lit(False)), allowMissingColumns=True)
-            done = add_velocity(current, card, **options).filter("_is_new").drop("_is_new")
-            _write_batch(done, out_path, batch_id)
-            history = rows.select(*kept, F.col("timestamp").cast("date").alias("day"))
-            history.write.mode("overwrite").partitionBy("day").parquet(f"{history_path}/batch_id={batch_id}")
-        finally:
-            rows.unpersist()
-
-    return transactions.drop(*VELOCITY_COLUMNS).writeStream.foreachBatch(handle)
-
-
 def drift_writer(features: DataFrame, reference: DataFrame, edges: DataFrame, names: Sequence[str], path: str) -> DataStreamWriter:
     """Stability index of each micro-batch against stored value counts and edges of the reference.
 
@@ -159,6 +120,6 @@ def drift_writer(features: DataFrame, reference: DataFrame, edges: DataFrame, na
     expected = materialize(bins_of_counts(reference, edges))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(psi_from_bins(expected, bins_of_rows(batch, edges, names), edges), path, batch_id)
+        write_batch(psi_from_bins(expected, bins_of_rows(batch, edges, names), edges), path, batch_id)
 
     return features.writeStream.foreachBatch(handle)

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from cardwatch.operators import drift, velocity
 from cardwatch.operators.monitoring import bursts
 from cardwatch.plans.scoring import score_transactions
-from cardwatch.session import materialize, scratch_path
+from cardwatch.session import materialize, scratch_path, settings
 from cardwatch.sources import events_view
 from cardwatch.sources.tables import safe_output
-from cardwatch.streaming import jobs
+from cardwatch.streaming import jobs, velocity_state
 
 
 @pytest.fixture(scope="module")
@@ -46,15 +46,61 @@ def test_scores_equal_batch(spark, txn, folder):
     assert _rows(spark.read.schema(scored.schema).parquet(f"{path}/out")) == _rows(safe_output(score_transactions(txn)))
 
 
-def test_velocity_equals_batch(spark, txn, folder):
-    expected = _rows(velocity.add_velocity(txn))
-    schema = velocity.add_velocity(txn).schema
-    for heavy in (None, 20):
-        path = scratch_path(spark, "stream")
-        writer = jobs.velocity_writer(_stream(spark, txn, folder), f"{path}/out", f"{path}/history", heavy_rows=heavy)
-        query = jobs.run_available(writer, f"{path}/check")
-        assert len({p["batchId"] for p in query.recentProgress}) >= 4
-        assert _rows(jobs.read_batches(spark, f"{path}/out", schema).drop("batch_id")) == expected
+@pytest.fixture(scope="module")
+def busy(spark, txn):
+    """One card with a third of the rows, some rows without a card, ten files in order of time."""
+    number = F.substring("transaction_id", 2, 9).cast("int")
+    card = F.when(number % 3 == 0, F.lit("HEAVY")).when(number % 50 == 1, F.lit(None)).otherwise(F.col("card_id"))
+    rows = materialize(txn.withColumn("card_id", card))
+    path = scratch_path(spark, "busy")
+    for i in range(10):
+        rows.filter(F.floor(number / 100) == i).coalesce(1).write.mode("append").parquet(path)
+    return rows, path
+
+
+def test_velocity_from_state_equals_batch(spark, busy):
+    rows, folder = busy
+    path = scratch_path(spark, "stream")
+    stream = _stream(spark, rows, folder)
+    with settings(spark, velocity_state.STATE_SETTINGS):
+        query = jobs.run_available(velocity_state.velocity_writer(stream, f"{path}/out"), f"{path}/check")
+    assert len({p["batchId"] for p in query.recentProgress}) >= 10
+    expected = velocity.add_velocity(rows)
+    found = jobs.read_batches(spark, f"{path}/out", expected.schema)
+    names = ["transaction_id", "amount", "timestamp", "card_id", *velocity.VELOCITY_COLUMNS]
+    assert _rows(found.select(names)) == _rows(expected.select(names))
+
+
+def test_velocity_state_is_dropped_when_no_window_reaches_it(spark, txn):
+    """Two rows far apart: the state of the first is gone when the third comes, that of the second is not."""
+    path = scratch_path(spark, "old")
+    base = materialize(txn.limit(1).withColumn("card_id", F.lit("K")))
+    for day in (0, 100, 101, 102):
+        base.withColumn("timestamp", F.col("timestamp") + F.expr(f"interval {day} days")).coalesce(1).write.mode("append").parquet(path)
+    with settings(spark, velocity_state.STATE_SETTINGS):
+        stream = _stream(spark, base, path)
+        query = jobs.run_available(velocity_state.velocity_writer(stream, f"{path}-out"), f"{path}-check")
+    rows = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(rows) > rows[-1] or rows[-1] <= 2 * 2 * 3
+    schema = velocity.add_velocity(base).schema
+    found = jobs.read_batches(spark, f"{path}-out", schema).orderBy("timestamp").collect()
+    assert [r["n_tx_last_24h"] for r in found] == [0, 0, 1, 1]
+    assert [r["amount_avg_30d"] > 0 for r in found] == [False, False, True, True]
+
+
+@pytest.mark.parametrize("width", velocity_state.WINDOWS)
+def test_pieces_make_up_the_window(spark, width):
+    times = [1_700_000_000_000_000 + i * 77_777_777_777_7 for i in range(200)] + [1_699_920_000_000_000, 1_699_920_000_000_001]
+    df = spark.createDataFrame([(t,) for t in times], "t long")
+    found = df.select("t", F.array_compact(F.array(*velocity_state.pieces(F.col("t") - width, F.col("t")))).alias("pieces")).collect()
+    for row in found:
+        pieces = sorted((p["low"], p["high"], p["level"], p["bucket"]) for p in row["pieces"])
+        assert pieces[0][0] == row["t"] - width and pieces[-1][1] == row["t"] and len(pieces) <= 4
+        assert all(a[1] == b[0] for a, b in zip(pieces, pieces[1:], strict=False))
+        for low, high, level, bucket in pieces:
+            length, child = velocity_state.LEVELS[level]
+            assert low // length == (high - 1) // length == bucket
+            assert level == 0 or (low % child == 0 and high % child == 0)
 
 
 def test_payloads_split_into_scored_and_quarantine(spark, txn, folder):

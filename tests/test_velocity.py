@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cardwatch.functions.numeric import micros
-from cardwatch.operators import skew, velocity
+from cardwatch.operators import velocity
 from cardwatch.operators.monitoring import bursts
 
 HOUR, DAY = velocity.HOUR, velocity.DAY
@@ -46,15 +46,10 @@ def _expected(rows):
     return out
 
 
-@pytest.mark.parametrize(
-    "options",
-    [{}, {"heavy_rows": 60}, {"heavy_rows": 0, "max_heavy": 0}],
-    ids=["windows", "hot card swept", "all swept"],
-)
-def test_windows_and_sweep_equal_brute_force(spark, options):
+def test_windows_equal_brute_force(spark):
     rows = [*_rows(), ("NOCARD", None, START, 5.0, "FR"), ("NOCARD2", None, START + 1, 5.0, "FR")]
     df = _frame(spark, rows).repartition(6)
-    found = velocity.add_velocity(df, **options).collect()
+    found = velocity.add_velocity(df).collect()
     expected = _expected(rows)
     assert len(found) == len(rows)
     for row in found:
@@ -64,12 +59,26 @@ def test_windows_and_sweep_equal_brute_force(spark, options):
         assert row["amount_std_30d"] == pytest.approx(std, abs=1e-7)
 
 
-def test_paths_agree_to_the_last_bit(spark):
+def test_results_do_not_depend_on_order_or_partitions(spark):
     df = _frame(spark, _rows(seed=2))
-    plain = {r["transaction_id"]: r for r in velocity.add_velocity(df).collect()}
-    swept = {r["transaction_id"]: r for r in velocity.add_velocity(df.repartition(5), heavy_rows=0, max_heavy=0).collect()}
-    for tid, row in plain.items():
-        assert [row[c] for c in velocity.VELOCITY_COLUMNS] == [swept[tid][c] for c in velocity.VELOCITY_COLUMNS]
+    one = sorted(map(tuple, velocity.add_velocity(df.coalesce(1)).collect()))
+    assert sorted(map(tuple, velocity.add_velocity(df.orderBy(F.desc("amount")).repartition(5)).collect())) == one
+
+
+def test_amounts_that_cannot_be_kept_end_the_job(spark):
+    rows = [("T1", "K", START, float("nan"), "FR"), ("T2", "K", START + HOUR, None, "FR"), ("T3", "K", START + 2 * HOUR, 7.5, None)]
+    found = {r["transaction_id"]: r for r in velocity.add_velocity(_frame(spark, rows)).collect()}
+    assert found["T3"]["n_tx_last_24h"] == 2 and found["T3"]["amount_avg_30d"] == 0.0
+    for amount in (2e12, float("inf"), -1e12):
+        with pytest.raises(Exception, match="amount out of range"):
+            velocity.add_velocity(_frame(spark, [("T1", "K", START, amount, "FR")])).collect()
+
+
+def test_rows_without_a_time_and_empty_tables(spark):
+    rows = [("T1", "K", None, 5.0, "FR"), ("T2", "K", START, 5.0, "FR"), ("T2", "K", START, 5.0, "FR"), ("T3", "K", START + 1, 5.0, "FR")]
+    found = sorted((r["transaction_id"], r["n_tx_last_1h"]) for r in velocity.add_velocity(_frame(spark, rows)).collect())
+    assert found == [("T1", 0), ("T2", 0), ("T2", 0), ("T3", 2)]
+    assert velocity.add_velocity(_frame(spark, rows).limit(0)).collect() == []
 
 
 def test_equal_amounts_have_no_deviation(spark):
@@ -91,21 +100,6 @@ def test_asof_equals_brute_force(spark):
         assert row["v"] == (max(past, key=lambda r: r[1])[2] if past else None)
 
 
-def test_lookup_with_hot_keys(spark):
-    left = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(600)] + [(None, -1)], "key string, i int")
-    right = spark.createDataFrame([("hot", "h"), *[(f"k{i}", "c") for i in range(0, 600, 6)]], "key string, v string")
-    plain = sorted(map(tuple, left.join(right, ["key"], "left").collect()), key=repr)
-    split = sorted(map(tuple, skew.lookup(left, right, ["key"], min_rows=50).collect()), key=repr)
-    assert split == plain
-    assert skew.hot_keys(left, ["key"], min_rows=50).collect() == [("hot",)]
-    assert skew.hot_keys(left, ["key"]) is None
-    keyless = left.union(spark.createDataFrame([(None, i) for i in range(200)], left.schema))
-    plain = sorted(map(tuple, keyless.join(right, ["key"], "left").collect()), key=repr)
-    assert sorted(map(tuple, skew.lookup(keyless, right, ["key"], min_rows=50).collect()), key=repr) == plain
-    semi = skew.lookup(left, right.select("key"), ["key"], "left_semi", min_rows=50)
-    assert semi.count() == left.join(right, ["key"], "left_semi").count()
-
-
 def test_bursts(spark):
     minutes = [0, 1, 3, 13, 22.5, 40]
     rows = [(f"T{i}", "K", START + int(m * 60_000_000), 10.0, "FR") for i, m in enumerate(minutes)]
