@@ -149,56 +149,3 @@ def hit_counts(df: DataFrame, column: str = "rule_hits") -> DataFrame:
 def rules_table(spark, rules: Sequence[Rule]) -> DataFrame:
     """The rule set itself as a small table."""
     return spark.createDataFrame([(r.code, r.severity, r.description) for r in rules], RULE_HIT)
-
-
-@dataclass(frozen=True)
-class Threshold:
-    """One numeric condition of a rule kept as data: field, ge or lt, bound."""
-
-    code: str
-    severity: str
-    field: str
-    op: str
-    bound: float
-
-
-def thresholds_from_table(table: DataFrame) -> list[Threshold]:
-    """Rule conditions stored as rows; a rule set is configuration, written by people."""
-    rows = table.select("code", "severity", "field", "op", "bound").orderBy("code", "field", "op").toLocalIterator()
-    return [Threshold(*row) for row in rows]
-
-
-def threshold_hits(thresholds: Sequence[Threshold], columns: Sequence[str], chunk: int = 500) -> Column:
-    """Codes of the rules of a large table that fire, each a conjunction of its conditions.
-
-    The table travels inside the plan as array literals of at most ``chunk`` rules, so each row is
-    tested where it lies: no join and no shuffle, and the plan grows with the table, not the code.
-    """
-    grouped: dict[str, list[Threshold]] = {}
-    for item in thresholds:
-        if item.field not in columns:
-            raise ValueError(f"rule {item.code}: no column {item.field!r}")
-        if item.op not in ("ge", "lt"):
-            raise ValueError(f"rule {item.code}: unknown comparison {item.op!r}")
-        grouped.setdefault(item.code, []).append(item)
-    used = sorted({item.field for item in thresholds})
-    values = F.create_map(*[part for name in used for part in (F.lit(name), F.col(name).cast("double"))])
-
-    def holds(condition: Column) -> Column:
-        value = values[condition["field"]]
-        ge = (value >= condition["bound"]) & ~F.isnan(value)
-        return F.coalesce(F.when(condition["op"] == "ge", ge).otherwise(value < condition["bound"]), F.lit(False))
-
-    def literal(code: str) -> Column:
-        conditions = [
-            F.struct(F.lit(c.field).alias("field"), F.lit(c.op).alias("op"), F.lit(float(c.bound)).alias("bound"))
-            for c in grouped[code]
-        ]
-        return F.struct(F.lit(code).alias("code"), F.array(*conditions).alias("conditions"))
-
-    codes = sorted(grouped)
-    if not codes:
-        return F.array().cast("array<string>")
-    parts = [F.array(*[literal(code) for code in codes[i : i + chunk]]) for i in range(0, len(codes), chunk)]
-    fired = [F.filter(part, lambda rule: F.forall(rule["conditions"], holds)) for part in parts]
-    return F.transform(F.concat(*fired) if len(fired) > 1 else fired[0], lambda rule: rule["code"])

@@ -350,6 +350,10 @@ ORACLES: dict[str, str] = {
       CASE WHEN amount >= 300 AND is_night = 1 THEN 'T02_LARGE_NIGHT' END, CASE WHEN card_age_days < 7 THEN 'T03_NEW_CARD' END,
       CASE WHEN n_tx_last_1h >= 5 AND is_geo_mismatch = 1 THEN 'T04_BURST_ABROAD' END,
       CASE WHEN amount_zscore_30d >= 6 THEN 'T05_OUTLIER' END) AS codes FROM feat) WHERE codes <> ''""",
+    "rule_index_hits": BASE
+    + f"""SELECT r.transaction_id, count(*) AS n_hits, max(t.transaction_id) AS last_code FROM feat r JOIN feat t
+      ON r.amount >= t.amount AND r.amount < t.amount + {_d(1.0)} AND r.card_age_days < t.card_age_days + 30
+      GROUP BY r.transaction_id""",
     "decisions": SCORED + f"SELECT {DECISION_COLUMNS}, reasons, rule_codes FROM scored",
     "decision_counts": SCORED + "SELECT action, count(*) AS n_rows FROM scored GROUP BY action",
     "decisions_skip_blocked": SCORED + f"SELECT {DECISION_COLUMNS} FROM scored",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cardwatch.functions.features import FEATURE_COLUMNS, build_features, select_feature_matrix
 from cardwatch.functions.numeric import micros
-from cardwatch.operators import calibration, contract, decision, drift, evaluation, monitoring, profiling, rules, splits, velocity
+from cardwatch.operators import calibration, contract, decision, drift, evaluation, monitoring, profiling, rule_index, rules, splits, velocity
 from cardwatch.operators.rules import Rule
 from cardwatch.plans import scoring, training
 from cardwatch.session import materialize, scratch_path, settings, use_utc
@@ -99,10 +99,21 @@ def rule_hit_counts(spark, sf):
 def rules_as_table(spark, sf):
     table = spark.createDataFrame(RULE_ROWS, "code string, severity string, field string, op string, bound double")
     features = _features(spark, sf)
-    codes = rules.threshold_hits(rules.thresholds_from_table(table), features.columns)
+    codes = rule_index.index_hits(spark, rule_index.index_from_table(table, features.columns))
     return features.select("transaction_id", _text(codes).alias("codes")).filter("codes <> ''")
 
 
+def rule_index_hits(spark, sf):
+    """One rule per transaction: amounts from its own to one more, on cards up to a month older than its card."""
+    features = _features(spark, sf)
+    bounds = (("amount", "ge", F.col("amount")), ("amount", "lt", F.col("amount") + 1.0), ("card_age_days", "lt", F.col("card_age_days") + 30))
+    conditions = [F.struct(F.lit(f).alias("field"), F.lit(op).alias("op"), b.cast("double").alias("bound")) for f, op, b in bounds]
+    table = features.select(F.col("transaction_id").alias("code"), F.explode(F.array(*conditions)).alias("c")).select("code", "c.*")
+    codes = rule_index.index_hits(spark, rule_index.index_from_table(table, features.columns))
+    found = features.select("transaction_id", codes.alias("codes"))
+    return found.select("transaction_id", F.size("codes").cast("bigint").alias("n_hits"), F.array_max("codes").alias("last_code"))
+
+
 def decisions(spark, sf):
     return _scored(spark, sf).select(
         "transaction_id",
@@ -652,6 +663,7 @@ QUERIES: dict[str, Query] = {
         rule_hits,
         rule_hit_counts,
         rules_as_table,
+        rule_index_hits,
         decisions,
         decision_counts,
         decisions_skip_blocked,

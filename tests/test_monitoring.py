@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import FRAUD, HARD_BLOCK, LEGIT
+from conftest import at_edges, plain
 from pyspark.sql import functions as F
 
 from cardwatch.functions.features import build_features
@@ -17,6 +17,9 @@ from cardwatch.plans.scoring import fixed_score, score_transactions
 
 DAY0 = datetime(2024, 1, 1)
 
+PLAIN = plain()
+LARGE, LARGER = (PLAIN | {"transaction_id": f"of {a}", "amount": float(a), "channel": c} for a, c in ((1500, "ECOM"), (2500, "POS")))
+
 
 @pytest.fixture(scope="module")
 def actions(spark):
@@ -48,7 +51,7 @@ def test_histogram_is_cumulative(spark):
 
 def test_rule_reports(table):
     rules = [Rule("BIG", "INFO", "big", {"amount_gte": 1000}), Rule("NEVER", "INFO", "never", {"amount_gte": 10**6})]
-    df = build_features(table(LEGIT, FRAUD, HARD_BLOCK))
+    df = build_features(table(PLAIN, LARGE, LARGER))
     hit = apply_rules(df, rules)
     summary = {r["code"]: (r["n_hits"], r["is_silent"]) for r in monitoring.rule_summary(hit, rules).collect()}
     assert summary == {"BIG": (2, False), "NEVER": (0, True)}
@@ -58,7 +61,7 @@ def test_rule_reports(table):
 
 
 def test_output_violations(table):
-    scored = score_transactions(table(LEGIT, FRAUD))
+    scored = score_transactions(table(PLAIN, at_edges("R008_MULTI_COUNTRY_24H")[0]))
     assert {r["n_violations"] for r in output_violations(scored).collect()} == {0}
     broken = scored.withColumns({"fraud_probability": F.lit(float("nan")), "action": F.lit("MAYBE"), "risk_score": F.lit(1001)})
     found = {r["check"]: r["n_violations"] for r in output_violations(broken).collect()}
@@ -67,12 +70,12 @@ def test_output_violations(table):
 
 def test_attack_patterns(table):
     rows = [
-        LEGIT | {"transaction_id": "testing", "channel": "ECOM", "amount": 2.0, "n_tx_last_1h": 6, "distinct_countries_last_24h": 2},
-        LEGIT | {"transaction_id": "cash", "channel": "ATM", "amount": 500.0, "merchant_mcc": "6011", "n_tx_last_1h": 3},
-        LEGIT | {"transaction_id": "casino", "channel": "ECOM", "amount": 150.0, "merchant_mcc": "7995"},
-        LEGIT | {"transaction_id": "taken", "amount": 700.0, "merchant_mcc": "5732", "customer_age_days": 900, "amount_avg_30d": 70.0, "amount_std_30d": 20.0},
-        LEGIT | {"transaction_id": "abroad", "channel": "ECOM", "amount": 90.0, "merchant_country": "US", "distinct_countries_last_24h": 2},
-        LEGIT,
+        PLAIN | {"transaction_id": "testing", "channel": "ECOM", "amount": 2.0, "n_tx_last_1h": 6, "distinct_countries_last_24h": 2},
+        PLAIN | {"transaction_id": "cash", "channel": "ATM", "amount": 500.0, "merchant_mcc": "6011", "n_tx_last_1h": 3},
+        PLAIN | {"transaction_id": "casino", "channel": "ECOM", "amount": 150.0, "merchant_mcc": "7995"},
+        PLAIN | {"transaction_id": "taken", "amount": 700.0, "merchant_mcc": "5732", "customer_age_days": 900, "amount_avg_30d": 70.0, "amount_std_30d": 20.0},
+        PLAIN | {"transaction_id": "abroad", "channel": "ECOM", "amount": 90.0, "merchant_country": "US", "distinct_countries_last_24h": 2},
+        PLAIN,
     ]
     tagged = profiling.tag_attack_pattern(table(*rows).withColumn("is_fraud", F.lit(1)))
     found = {r["transaction_id"]: r["attack_pattern"] for r in tagged.collect()}
@@ -82,7 +85,7 @@ def test_attack_patterns(table):
         "casino": "high_risk_mcc",
         "taken": "account_takeover",
         "abroad": "geo_anomaly",
-        "quiet-000-17": None,
+        PLAIN["transaction_id"]: None,
     }
     assert {r["share"] for r in profiling.pattern_shares(tagged).collect()} == {0.2}
 
@@ -102,7 +105,7 @@ def test_recall_drop_and_maturity(spark):
 
 
 def test_compare_decisions(table):
-    df = table(LEGIT, FRAUD, HARD_BLOCK)
+    df = table(PLAIN, LARGE, LARGER)
     other = score_transactions(df, fixed_score(intercept=3.0))
     found = compare_decisions(score_transactions(df), other).collect()
     assert sum(r["n_rows"] for r in found) == 3
