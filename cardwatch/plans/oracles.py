@@ -578,6 +578,25 @@ SELECT strftime(t, '%Y-%m-%d') AS week, n_fraud, n_caught, recall, recall_before
     + f""", bad AS (SELECT event_id, {_bad([*ERROR_SQL, NOTE_ERROR])} AS refused FROM dirty)
     SELECT CASE WHEN refused THEN 'QUARANTINE' ELSE action END AS outcome, count(*) AS n_rows
     FROM scored JOIN bad ON CAST(substr(transaction_id, 2) AS BIGINT) = event_id GROUP BY 1""",
+    "json_text_errors": _with(TXN, DIRTY)
+    + "SELECT * FROM ("
+    + " UNION ALL ".join(
+        f"SELECT '{field}' AS field, '{code}' AS code, count(*) AS n_rows FROM dirty WHERE {sql}"
+        for field, code, sql in [*ERROR_SQL, NOTE_ERROR]
+    )
+    + ") WHERE n_rows > 0",
+    "stream_late_rows": _with(TXN)
+    + """, numbered AS (SELECT *, CAST(substr(transaction_id, 2) AS BIGINT) % 3 AS batch_id FROM txn),
+    newest AS (SELECT batch_id, max(epoch_us(timestamp)) AS m FROM numbered GROUP BY batch_id),
+    marked AS (SELECT batch_id, max(m) OVER (ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 3600000000
+      AS watermark_micros FROM newest),
+    sided AS (SELECT *, coalesce(epoch_us(timestamp) < watermark_micros, false) AS late FROM numbered JOIN marked USING (batch_id)),
+    lates AS (SELECT batch_id, count(*) FILTER (late) AS n_late FROM sided GROUP BY batch_id)
+    SELECT batch_id, CASE WHEN late THEN 'late' ELSE 'on_time' END AS side, count(*) AS n_rows, max(transaction_id) AS last_id,
+      watermark_micros, n_late FROM sided JOIN lates USING (batch_id) GROUP BY ALL""",
+    "stream_confirmed": _with(TXN)
+    + """SELECT transaction_id, is_fraud = 1 AND CAST(substr(transaction_id, 2) AS BIGINT) % 2 = 0 AS confirmed FROM txn
+      WHERE timestamp <= (SELECT max(timestamp) FROM txn) - INTERVAL 14 DAY""",
     "stream_dedup": _with(TXN) + "SELECT transaction_id, amount FROM txn",
     "stream_decision_windows": _stream_windows(1, 1),
     "stream_sliding_windows": _stream_windows(2, 1),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from cardwatch.plans import scoring, training
 from cardwatch.session import materialize, scratch_path, settings, use_utc
 from cardwatch.sources import events_view, tables
 from cardwatch.sources.config import load_model_settings, load_rules
-from cardwatch.streaming import jobs, velocity_state
+from cardwatch.streaming import jobs, late, velocity_state
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -597,18 +598,61 @@ def stream_scores(spark, sf):
     return scored.select("transaction_id", "fraud_probability", "adjusted_probability", "action", "risk_score", _text("reasons").alias("reasons"))
 
 
+def _payload_files(spark: SparkSession, sf: str, path: str, n_files: int) -> str:
+    payloads = events_view.payloads_from_transactions(_txn(spark, sf))
+    payloads.select("value").repartition(n_files).write.text(path)
+    return path
+
+
+def json_text_errors(spark, sf):
+    """Field errors of payloads that lie as lines in text files."""
+    files = _payload_files(spark, sf, scratch_path(spark, "payloads"), 8)
+    return contract.error_counts(contract.check_json(tables.read_payloads(spark, files)))
+
+
 def stream_payload_scores(spark, sf):
+    """Payloads from text files, a few files per micro-batch."""
     path = scratch_path(spark, "stream")
-    payloads = events_view.payloads_from_transactions(_txn_stream(spark, sf))
+    payloads = tables.stream_payloads(spark, _payload_files(spark, sf, f"{path}/in", 6), files_per_batch=2)
     writer = jobs.payload_writer(payloads, f"{path}/scored", f"{path}/quarantine")
     jobs.run_available(writer, f"{path}/checkpoint")
     scored = jobs.read_batches(spark, f"{path}/scored", "transaction_id string, action string, risk_score int")
-    bad = jobs.read_batches(spark, f"{path}/quarantine", "event_id long, value string, errors array<struct<field:string,code:string>>")
+    bad = jobs.read_batches(spark, f"{path}/quarantine", "value string, errors array<struct<field:string,code:string>>")
     good = scored.groupBy("action").agg(F.count("*").alias("n_rows")).withColumnRenamed("action", "outcome")
     refused = bad.groupBy(F.lit("QUARANTINE").alias("outcome")).agg(F.count("*").alias("n_rows"))
     return good.unionByName(refused)
 
 
+def _number() -> Column:
+    return F.substring("transaction_id", 2, 18).cast("long")
+
+
+def stream_late_rows(spark, sf):
+    """Three micro-batches, each with rows from the whole month: most rows of the later ones come too late."""
+    path = scratch_path(spark, "stream")
+    txn = _txn(spark, sf)
+    for i in range(3):
+        txn.filter(_number() % 3 == i).repartition(2).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(txn.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    jobs.run_available(late.late_writer(stream, f"{path}/out", timedelta(hours=1)), f"{path}/checkpoint")
+    sides = [jobs.read_batches(spark, f"{path}/out/{s}", txn.schema.add("batch_id", "long")).withColumn("side", F.lit(s)) for s in ("on_time", "late")]
+    rows = sides[0].unionByName(sides[1]).groupBy("batch_id", "side").agg(F.count("*").alias("n_rows"), F.max("transaction_id").alias("last_id"))
+    return rows.join(late.marks(spark, f"{path}/out").select("batch_id", "watermark_micros", "n_late"), "batch_id")
+
+
+def stream_confirmed(spark, sf):
+    """Scores and late labels as two streams: frauds are charged back after two days or, too late, after five."""
+    path = scratch_path(spark, "stream")
+    txn = _txn(spark, sf)
+    days = F.when(_number() % 2 == 0, F.expr("interval 2 days")).otherwise(F.expr("interval 5 days"))
+    charged = txn.filter("is_fraud = 1").select("transaction_id", (F.col("timestamp") + days).alias("timestamp"))
+    scores = _in_order(spark, txn.select("transaction_id", "timestamp"), f"{path}/scores", 6)
+    backs = _in_order(spark, charged, f"{path}/backs", 6).withColumnRenamed("timestamp", "confirmed_at")
+    found = _run_append(spark, jobs.with_confirmation(scores, backs, 3))
+    newest = txn.agg(F.max("timestamp").alias("newest")).first()["newest"]
+    return evaluation.matured(found, F.lit(newest), 14).select("transaction_id", "confirmed")
+
+
 def stream_dedup(spark, sf):
     copies = F.when(F.substring("transaction_id", -1, 1) == "7", F.array(F.lit(0), F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0)))
     doubled = _txn_stream(spark, sf).withColumn("copy", F.explode(copies)).drop("copy")
@@ -633,8 +677,8 @@ def stream_rule_hits(spark, sf):
 
 def stream_sessions(spark, sf):
     """Closed sessions: those whose end the watermark has passed."""
-    sessions = _run_append(spark, jobs.card_sessions(_txn_stream(spark, sf), delay="0 seconds"))
-    return sessions
+    with settings(spark, jobs.SESSION_SETTINGS):
+        return _run_append(spark, jobs.card_sessions(_txn_stream(spark, sf), delay="0 seconds"))
 
 
 def stream_velocity(spark, sf):
@@ -735,6 +779,9 @@ QUERIES: dict[str, Query] = {
         scored_file,
         stream_scores,
         stream_payload_scores,
+        json_text_errors,
+        stream_late_rows,
+        stream_confirmed,
         stream_dedup,
         stream_decision_windows,
         stream_sliding_windows,

@@ -33,6 +33,11 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
+def stream_payloads(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """JSON lines as they arrive in new text files."""
+    return spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path)
+
+
 def explode_batches(payloads: DataFrame, column: str = "value") -> DataFrame:
     """One row per item of ``{"transactions": [...]}``, with its place in the request.
 

@@ -20,6 +20,10 @@ from cardwatch.session import materialize
 from cardwatch.sources.tables import safe_output
 
 
+#: What a session should have while a query of ``card_sessions`` runs.
+SESSION_SETTINGS = {"spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true"}
+
+
 def run_available(writer: DataStreamWriter, checkpoint: str) -> StreamingQuery:
     """Work off all input that is there now, then stop."""
     query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -93,9 +97,8 @@ def windowed_rule_hits(scored: DataFrame, delay: str = "1 hour", width: str = "5
 def card_sessions(df: DataFrame, delay: str = "1 hour", gap: str = "10 minutes", card: str = "card_id") -> DataFrame:
     """Bursts per card: runs of transactions with pauses below ``gap``.
 
-    Sessions are merged inside each task before the shuffle, so a busy card sends few rows.
+    With SESSION_SETTINGS sessions are merged inside each task before the shuffle, so a busy card sends few rows.
     """
-    df.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     timed = with_event_time(df, delay)
     found = timed.groupBy(F.session_window("timestamp", gap).alias("s"), card).agg(
         F.count("*").alias("n_tx"), F.sum(F.col("amount").try_cast("decimal(18,6)")).cast("double").alias("total_amount")
@@ -103,13 +106,18 @@ def card_sessions(df: DataFrame, delay: str = "1 hour", gap: str = "10 minutes",
     return found.select(card, micros(F.col("s.start")).alias("started_micros"), "n_tx", "total_amount")
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows that the watermark turned away, over the progress reports the query kept."""
-    return sum(
-        int(operator.get("numRowsDroppedByWatermark", 0))
-        for progress in query.recentProgress
-        for operator in progress["stateOperators"]
-    )
+def with_confirmation(scores: DataFrame, chargebacks: DataFrame, days: int, delay: str = "1 hour") -> DataFrame:
+    """Scores with ``confirmed``: whether a chargeback of the transaction came within ``days`` after it.
+
+    Both sides are streams. A confirmed row comes out when its chargeback does, any other once the watermark of both
+    streams has passed its time limit, so a label is final when it is written. State is kept for that limit.
+    """
+    left = with_event_time(scores, delay)
+    right = chargebacks.select(F.col("transaction_id").alias("_id"), F.col("confirmed_at").cast("timestamp").alias("_at")).withWatermark("_at", delay)
+    limit = F.expr(f"interval {int(days)} days")
+    same = (F.col("transaction_id") == F.col("_id")) & (F.col("_at") >= F.col("timestamp")) & (F.col("_at") <= F.col("timestamp") + limit)
+    joined = left.join(right, same, "leftOuter")
+    return joined.select(*scores.columns, F.col("_id").isNotNull().alias("confirmed"))
 
 
 def drift_writer(features: DataFrame, reference: DataFrame, edges: DataFrame, names: Sequence[str], path: str) -> DataStreamWriter:

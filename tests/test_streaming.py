@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from cardwatch.plans.scoring import score_transactions
 from cardwatch.session import materialize, scratch_path, settings
 from cardwatch.sources import events_view
 from cardwatch.sources.tables import safe_output
-from cardwatch.streaming import jobs, velocity_state
+from cardwatch.streaming import jobs, late, velocity_state
 
 
 @pytest.fixture(scope="module")
@@ -150,8 +152,36 @@ def test_late_rows_are_counted(spark, txn):
         part.coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(txn.schema).option("maxFilesPerTrigger", 1).parquet(path)
     counts = jobs.windowed_decisions(score_transactions(stream), "1 hour", "1 hour")
-    query = jobs.run_available(jobs.update_writer(counts, f"{path}-out"), f"{path}-check")
-    assert jobs.late_rows(query) > 0
+    with late.counting_dropped(spark, f"{path}-dropped"):
+        jobs.run_available(jobs.update_writer(counts, f"{path}-out"), f"{path}-check")
+    found = late.dropped_rows(spark, f"{path}-dropped").collect()
+    assert found and all(r["n_dropped"] > 0 and r["batch_id"] >= 2 for r in found)
+
+
+def test_late_rows_are_set_aside(spark):
+    path = scratch_path(spark, "late")
+    schema = "transaction_id string, timestamp timestamp"
+    hour = 3_600_000_000
+    batches = [[("a", 100 * hour), ("b", 90 * hour)], [("c", 99 * hour), ("d", 99 * hour - 1), ("n", None)], [], [("e", 98 * hour), ("f", 200 * hour)], [("g", 101 * hour)]]
+    for rows in batches:
+        df = spark.createDataFrame(rows or [("x", 0)], "transaction_id string, k long").filter("transaction_id <> 'x'")
+        df.select("transaction_id", F.timestamp_micros("k").alias("timestamp")).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    for _ in range(2):  # the second run finds nothing new
+        jobs.run_available(late.late_writer(stream, f"{path}-out", timedelta(hours=1)), f"{path}-check")
+    sides = [jobs.read_batches(spark, f"{path}-out/{side}", schema) for side in ("on_time", "late")]
+    assert [sorted(r["transaction_id"] for r in side.collect()) for side in sides] == [["a", "b", "c", "f", "n"], ["d", "e", "g"]]
+    found = [(r["n_rows"], r["n_late"], r["watermark_micros"]) for r in late.marks(spark, f"{path}-out").orderBy("batch_id").collect() if r["n_rows"]]
+    assert found == [(2, 0, None), (3, 1, 99 * hour), (2, 1, 99 * hour), (1, 1, 199 * hour)]
+
+
+def test_session_settings_are_put_back(spark):
+    name = next(iter(jobs.SESSION_SETTINGS))
+    before = spark.conf.get(name)
+    with pytest.raises(RuntimeError), settings(spark, jobs.SESSION_SETTINGS | {"spark.own": "1"}):
+        assert spark.conf.get(name) == "true" and spark.conf.get("spark.own") == "1"
+        raise RuntimeError
+    assert spark.conf.get(name) == before and spark.conf.get("spark.own", None) is None
 
 
 def test_drift_per_batch(spark, txn, folder):
