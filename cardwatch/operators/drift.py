@@ -8,21 +8,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardwatch.functions.numeric import edges_passed
-from cardwatch.operators.ordering import present_values, quantiles_of_counts, value_counts
+from cardwatch.operators.ordering import present_values
+from cardwatch.operators.sketches import exact_quantiles
 from cardwatch.session import materialize
 
 EPS = 1e-6
 
 
-def inner_edges(counts: DataFrame, n_bins: int = 10) -> DataFrame:
+def inner_edges(df: DataFrame, features: Sequence[str], n_bins: int = 10, sketches: DataFrame | None = None) -> DataFrame:
     """(feature, edges): distinct quantiles of the reference without the outer two.
 
-    Fewer than three distinct quantiles leave no usable bins; such a feature has null edges.
+    Fewer than three distinct quantiles leave no usable bins; such a feature has null edges. ``sketches`` are stored
+    ones of the same rows, if there are any.
     """
     # Multiples of the step, not i / n_bins: the two differ in the last bit, and a value that lies
     # exactly on an edge then falls into another bin.
     points = [i * (1.0 / n_bins) for i in range(n_bins)] + [1.0]
-    ends = quantiles_of_counts(counts, points)
+    ends = exact_quantiles(df, features, points, sketches)
     distinct = F.array_sort(F.array_distinct("quantiles"))
     size = F.size("distinct")
     return ends.select("feature", distinct.alias("distinct")).select(
@@ -36,11 +38,6 @@ def _placed(values: DataFrame, edges: DataFrame) -> DataFrame:
     return placed.withColumn("bin", edges_passed(F.col("edges"), F.col("value")))
 
 
-def bins_of_counts(counts: DataFrame, edges: DataFrame) -> DataFrame:
-    """(feature, bin, n) from value counts."""
-    return _placed(counts, edges).groupBy("feature", "bin").agg(F.sum("n").alias("n"))
-
-
 def bins_of_rows(df: DataFrame, edges: DataFrame, features: Sequence[str]) -> DataFrame:
     """(feature, bin, n) from rows. Values find their bin before they are counted, so a task hands on one
     row per feature and bin whatever the values."""
@@ -71,15 +68,16 @@ def psi_from_bins(expected: DataFrame, actual: DataFrame, edges: DataFrame, eps:
     return edges.select("feature").join(F.broadcast(scored), "feature", "left").fillna(0.0, ["psi"])
 
 
-def psi(expected: DataFrame, actual: DataFrame, features: Sequence[str], n_bins: int = 10, eps: float = EPS) -> DataFrame:
+def psi(
+    expected: DataFrame, actual: DataFrame, features: Sequence[str], n_bins: int = 10, eps: float = EPS, sketches: DataFrame | None = None
+) -> DataFrame:
     """Population stability index of each feature, all features in one job.
 
     A feature without values on one side, or with too few distinct quantiles (constant, or a flag),
     has index 0.
     """
-    reference = materialize(value_counts(expected, features))
-    edges = materialize(inner_edges(reference, n_bins))
-    found = psi_from_bins(bins_of_counts(reference, edges), bins_of_rows(actual, edges, features), edges, eps)
+    edges = materialize(inner_edges(expected, features, n_bins, sketches))
+    found = psi_from_bins(bins_of_rows(expected, edges, features), bins_of_rows(actual, edges, features), edges, eps)
     names = expected.sparkSession.createDataFrame([(name,) for name in features], "feature string")
     return names.join(F.broadcast(found), "feature", "left").fillna(0.0, ["psi"])
 

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardwatch.functions.numeric import limits_passed, micros, share
-from cardwatch.operators.ordering import find_text, quantiles_of_counts, running_sums, value_counts
+from cardwatch.operators.ordering import find_text, present_values, running_sums
+from cardwatch.operators.sketches import exact_quantiles
 from cardwatch.session import materialize
 
 SCORE, LABEL = "fraud_probability", "is_fraud"
@@ -143,19 +144,14 @@ def metrics_report(df: DataFrame, score: str = SCORE, label: str = LABEL, tie: s
 
 
 def training_stats(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Mean, sample deviation (plus 1e-9) and linear 1st and 99th percentile per feature, from one scan."""
-    counts = materialize(value_counts(df, features))
-    value, n = F.col("value"), F.col("n")
-    means = counts.groupBy("feature").agg(F.sum("n").alias("rows"), (F.sum(value * n) / F.sum("n")).alias("mean"))
-    spread = counts.join(F.broadcast(means), "feature").groupBy("feature", "mean", "rows").agg(
-        F.sum(n * (value - F.col("mean")) * (value - F.col("mean"))).alias("squares")
-    )
-    deviation = F.sqrt(F.col("squares") / F.nullif(F.col("rows") - 1, F.lit(0)))
-    ends = quantiles_of_counts(counts, [0.01, 0.99])
-    return spread.join(F.broadcast(ends), "feature").select(
+    """Mean, sample deviation (plus 1e-9) and linear 1st and 99th percentile per feature; no value is shuffled."""
+    moments = present_values(df, features).groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    ends = exact_quantiles(df, features, [0.01, 0.99])
+    # One row per feature on both sides.
+    return moments.join(F.broadcast(ends), "feature").select(
         "feature",
         "mean",
-        (deviation + F.lit(1e-9)).alias("std"),
+        (F.col("std") + F.lit(1e-9)).alias("std"),
         F.col("quantiles")[0].alias("p01"),
         F.col("quantiles")[1].alias("p99"),
     )

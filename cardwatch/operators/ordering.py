@@ -134,10 +134,6 @@ def quantiles_of_counts(counts: DataFrame, probabilities: Sequence[float], rows_
     return gathered.select("feature", F.transform(spots, interpolate).alias("quantiles"))
 
 
-def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
-    return quantiles_of_counts(materialize(value_counts(df, columns)), probabilities)
-
-
 @dataclass(frozen=True)
 class Cut:
     """Rows up to and including (number, text) in that order come before the cut."""

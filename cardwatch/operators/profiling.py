@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,18 +129,51 @@ def geo_fraud_rate(df: DataFrame, label: str = "is_fraud") -> DataFrame:
     return counts.withColumn("fraud_rate", F.round(F.col("n_fraud") / (F.col("n_legit") + F.col("n_fraud")), 4))
 
 
-def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of each pair of columns (a before b in the list) over the rows that have both.
+def cross_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(i, j, n, x, y, xx, yy, xy) for each pair of places i < j in ``columns``, over the rows that have both values.
 
-    Null if one of them is constant or there are no such rows. One aggregate; NaN counts as null.
+    Sums are taken of the distances from each column's least value, so that they stay near the spread in size. A
+    task keeps one matrix of sums for all pairs, whatever its rows, and hands on that. NaN counts as null.
     """
+    p = len(columns)
+    values = [as_null_if_nan(F.col(name).cast("double")) for name in columns]
+    low = df.agg(*[F.min(v).alias(str(i)) for i, v in enumerate(values)]).first()
+    origin = np.array([0.0 if x is None else x for x in low])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, x, xx, xy = (np.zeros((p, p)) for _ in range(4))
+        for batch in batches:
+            data = np.column_stack([c.fill_null(np.nan).to_numpy(zero_copy_only=False) for c in batch.columns]) - origin
+            known = ~np.isnan(data)
+            data = np.where(known, data, 0.0)
+            here = known.astype(float)
+            n += here.T @ here
+            x += data.T @ here  # row i, column j: sum of i where j is known
+            xx += (data * data).T @ here
+            xy += data.T @ data
+        i, j = np.triu_indices(p, 1)
+        sums = {"n": n[i, j], "x": x[i, j], "y": x[j, i], "xx": xx[i, j], "yy": xx[j, i], "xy": xy[i, j]}
+        yield pa.RecordBatch.from_pydict({"i": i.astype(np.int32), "j": j.astype(np.int32)} | sums)
+
+    named = df.select(*[v.alias(str(i)) for i, v in enumerate(values)])
+    fields = ["n", "x", "y", "xx", "yy", "xy"]
+    parts = named.mapInArrow(count, "i int, j int, " + ", ".join(f"{f} double" for f in fields))
+    return parts.groupBy("i", "j").agg(*[F.sum(f).alias(f) for f in fields])
+
 
-    def pair(a: str, b: str) -> Column:
-        x, y = as_null_if_nan(F.col(a)), as_null_if_nan(F.col(b))
-        spread = F.sqrt(F.var_pop(F.when(y.isNotNull(), x))) * F.sqrt(F.var_pop(F.when(x.isNotNull(), y)))
-        return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
+def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Pearson correlation of each pair of columns (a before b in the list) over the rows that have both.
 
-    cells = {(a, b): pair(a, b) for a, b in itertools.combinations(columns, 2)}
-    wide = df.agg(*[value.alias(f"{a}|{b}") for (a, b), value in cells.items()])
-    rows = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("correlation")) for a, b in cells]
-    return wide.select(F.explode(F.array(*rows)).alias("row")).select("row.*")
+    Null if one of them is constant or there are no such rows; an empty table gives nulls. NaN counts as null.
+    """
+    def spread(total: str, squares: str) -> Column:
+        """Row count squared times the variance; what is lost in rounding is no spread."""
+        value, scale = F.col("n") * F.col(squares) - F.col(total) * F.col(total), F.col("n") * F.col(squares)
+        return F.when(value > 1e-12 * scale, value)
+
+    moments = cross_moments(df, columns)
+    product = F.col("n") * F.col("xy") - F.col("x") * F.col("y")
+    found = moments.withColumn("correlation", product / (F.sqrt(spread("x", "xx")) * F.sqrt(spread("y", "yy"))))
+    names = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b")) for i, j in itertools.combinations(range(len(columns)), 2)]
+    pairs = df.sparkSession.range(1).select(F.explode(F.array(*names)).alias("pair")).select("pair.*")
+    return pairs.join(F.broadcast(found), ["i", "j"], "left").select("a", "b", "correlation")  # one row per pair on both sides

@@ -504,6 +504,14 @@ SELECT strftime(t, '%Y-%m-%d') AS week, n_fraud, n_caught, recall, recall_before
     + "SELECT feature, psi FROM psi",
     "psi_levels": _with(TXN, FEATURES, _split(), _psi("is_fraud = 0", "is_fraud = 1", FEATURE_COLUMNS))
     + "SELECT feature, psi, CASE WHEN psi > 0.25 THEN 'major' WHEN psi >= 0.1 THEN 'moderate' ELSE 'stable' END AS level FROM psi",
+    "psi_span": _with(
+        TXN,
+        FEATURES,
+        "parted AS (SELECT *, CASE WHEN d BETWEEN 9 AND 18 THEN 'old' WHEN d > 18 THEN 'new' ELSE 'none' END AS split FROM "
+        "(SELECT *, epoch_us(timestamp) // 86400000000 - min(epoch_us(timestamp) // 86400000000) OVER () AS d FROM feat))",
+        _psi("split = 'old'", "split = 'new'", FEATURE_COLUMNS),
+    )
+    + "SELECT feature, psi FROM psi",
     "psi_score": _with(TXN, FEATURES, _scored(), _split(source="(SELECT * EXCLUDE (fraud_probability), p AS fraud_probability FROM scored)"))
     + ", "
     + _psi("split = 'train'", "split = 'test'", ["fraud_probability"])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cardwatch.functions.features import FEATURE_COLUMNS, build_features, select_feature_matrix
 from cardwatch.functions.numeric import micros
-from cardwatch.operators import calibration, contract, decision, drift, evaluation, monitoring, profiling, rule_index, rules, splits, velocity
+from cardwatch.operators import calibration, contract, decision, drift, evaluation, monitoring, profiling, rule_index, rules, sketches, splits, velocity
 from cardwatch.operators.rules import Rule
 from cardwatch.plans import scoring, training
 from cardwatch.session import materialize, scratch_path, settings, use_utc
@@ -402,6 +402,19 @@ def psi_levels(spark, sf):
     return drift.with_level(found).select("feature", _r("psi"), "level")
 
 
+def psi_span(spark, sf):
+    """Days 10 to 19 as reference, by sketches that are stored per day, against all later days."""
+    features = _features(spark, sf)
+    path = scratch_path(spark, "sketches")
+    tables.write_table(sketches.daily_sketches(features, DRIFT_FEATURES), path)
+    first = features.agg(F.min(F.floor(micros(F.col("timestamp")) / velocity.DAY))).first()[0] or 0
+    days = F.col("day").between(first + 9, first + 18)
+    stored = sketches.merged(spark.read.parquet(path).filter(days))
+    dated = features.withColumn("day", F.floor(micros(F.col("timestamp")) / velocity.DAY))
+    found = drift.psi(dated.filter(days), dated.filter(F.col("day") > first + 18), DRIFT_FEATURES, sketches=stored)
+    return found.select("feature", _r("psi"))
+
+
 def psi_score(spark, sf):
     return _psi(spark, sf, ["fraud_probability"]).select("feature", _r("psi"))
 
@@ -693,8 +706,8 @@ def stream_velocity(spark, sf):
 def stream_drift(spark, sf):
     path = scratch_path(spark, "stream")
     names = ["amount", "amount_log", "amount_zscore_30d", "velocity_score", "hour"]
-    reference = materialize(drift.value_counts(_features(spark, sf).filter("is_fraud = 0"), names))
-    edges = materialize(drift.inner_edges(reference))
+    reference = _features(spark, sf).filter("is_fraud = 0")
+    edges = materialize(drift.inner_edges(reference, names))
     live = build_features(_txn_stream(spark, sf))
     jobs.run_available(jobs.drift_writer(live, reference, edges, names, f"{path}/out"), f"{path}/checkpoint")
     return jobs.read_batches(spark, f"{path}/out", "feature string, psi double").select("feature", _r("psi"))
@@ -753,6 +766,7 @@ QUERIES: dict[str, Query] = {
         class_weights,
         psi_features,
         psi_levels,
+        psi_span,
         psi_score,
         drift_against_training,
         probability_histogram,

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from cardwatch.functions.numeric import micros
 from cardwatch.operators.contract import check_json, quarantined_rows, valid_rows
-from cardwatch.operators.drift import bins_of_counts, bins_of_rows, psi_from_bins
+from cardwatch.operators.drift import bins_of_rows, psi_from_bins
 from cardwatch.plans.scoring import Scorer, score_transactions
 from cardwatch.session import materialize
 from cardwatch.sources.tables import safe_output
@@ -121,11 +121,11 @@ def with_confirmation(scores: DataFrame, chargebacks: DataFrame, days: int, dela
 
 
 def drift_writer(features: DataFrame, reference: DataFrame, edges: DataFrame, names: Sequence[str], path: str) -> DataStreamWriter:
-    """Stability index of each micro-batch against stored value counts and edges of the reference.
+    """Stability index of each micro-batch against stored edges and rows of the reference.
 
     The reference is put into bins once; a micro-batch reads only those.
     """
-    expected = materialize(bins_of_counts(reference, edges))
+    expected = materialize(bins_of_rows(reference, edges, names))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         write_batch(psi_from_bins(expected, bins_of_rows(batch, edges, names), edges), path, batch_id)

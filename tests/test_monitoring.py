@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from conftest import at_edges, plain
 from pyspark.sql import functions as F
@@ -96,6 +97,25 @@ def test_correlation_of_a_constant_is_null(spark):
     assert found[("x", "k")] is None and found[("x", "y")] == pytest.approx(0.9979487157886735)
 
 
+def test_correlations_are_pairwise_complete(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(400, 5)) * [1, 1e-3, 1e4, 1, 1] + [0, 1e6, -3e5, 0, 7]
+    base[:, 3] += base[:, 0]
+    base[rng.random(base.shape) < 0.2] = np.nan
+    base[:, 4] = 2.5
+    names = list("abcde")
+    rows = [tuple(None if np.isnan(v) and i % 2 else float(v) for v in row) for i, row in enumerate(base)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).repartition(5)
+    found = {(r["a"], r["b"]): r["correlation"] for r in profiling.correlations(df, names).collect()}
+    assert list(found) != [] and len(found) == 10
+    for i, a in enumerate(names):
+        for j in range(i + 1, 5):
+            both = ~np.isnan(base[:, i]) & ~np.isnan(base[:, j])
+            expected = None if j == 4 else np.corrcoef(base[both, i], base[both, j])[0, 1]
+            assert found[a, names[j]] == (None if expected is None else pytest.approx(expected, abs=1e-8))
+    assert {r["correlation"] for r in profiling.correlations(df.limit(0), names).collect()} == {None}
+
+
 def test_recall_drop_and_maturity(spark):
     rows = [(DAY0 + timedelta(days=7 * w, hours=i), 0.9 if i < caught else 0.1, 1) for w, caught in enumerate([10, 9, 9]) for i in range(10)]
     df = spark.createDataFrame(rows, "timestamp timestamp, fraud_probability double, is_fraud int")
