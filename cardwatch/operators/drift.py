@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardwatch.functions.numeric import edges_passed
-from cardwatch.operators.ordering import present_values
 from cardwatch.operators.sketches import exact_quantiles
 from cardwatch.session import materialize
 
 EPS = 1e-6
+_BINS = pa.schema([("feature", pa.string()), ("bin", pa.int32()), ("n", pa.int64())])
 
 
 def inner_edges(df: DataFrame, features: Sequence[str], n_bins: int = 10, sketches: DataFrame | None = None) -> DataFrame:
@@ -32,16 +33,27 @@ def inner_edges(df: DataFrame, features: Sequence[str], n_bins: int = 10, sketch
     )
 
 
-def _placed(values: DataFrame, edges: DataFrame) -> DataFrame:
-    usable = edges.filter(F.col("edges").isNotNull())
-    placed = values.join(F.broadcast(usable), "feature")  # one row per feature
-    return placed.withColumn("bin", edges_passed(F.col("edges"), F.col("value")))
-
-
 def bins_of_rows(df: DataFrame, edges: DataFrame, features: Sequence[str]) -> DataFrame:
     """(feature, bin, n) from rows. Values find their bin before they are counted, so a task hands on one
-    row per feature and bin whatever the values."""
-    return _placed(present_values(df, features), edges).groupBy("feature", "bin").agg(F.count("*").alias("n"))
+    row per feature and bin whatever the values. Null and NaN are in no bin."""
+    # One short row per feature.
+    known = {row["feature"]: np.array(row["edges"], float) for row in edges.filter(F.col("edges").isNotNull()).collect()}
+    names = [name for name in features if name in known]
+    if not names:
+        return df.sparkSession.createDataFrame([], "feature string, bin int, n long")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = [np.zeros(len(known[name]) + 1, np.int64) for name in names]
+        for batch in batches:
+            for total, name, column in zip(totals, names, batch.columns, strict=True):
+                values = column.drop_null().to_numpy(zero_copy_only=False)
+                total += np.bincount(np.searchsorted(known[name], values[~np.isnan(values)], side="right"), minlength=len(total))
+        for total, name in zip(totals, names, strict=True):
+            bins = np.flatnonzero(total)
+            yield pa.RecordBatch.from_pydict({"feature": [name] * len(bins), "bin": pa.array(bins, pa.int32()), "n": pa.array(total[bins], pa.int64())}, schema=_BINS)
+
+    wide = df.select(*[F.col(name).cast("double").alias(str(i)) for i, name in enumerate(names)])
+    return wide.mapInArrow(count, "feature string, bin int, n long").groupBy("feature", "bin").agg(F.sum("n").alias("n"))
 
 
 def psi_from_bins(expected: DataFrame, actual: DataFrame, edges: DataFrame, eps: float = EPS) -> DataFrame:

@@ -1,29 +1,32 @@
 """Quantiles from sketches that are kept per feature and day, made exact by counting.
 
-A sketch says about where a rank lies. Counting the rows below and inside that bracket says exactly, and a sketch of the
-rows inside narrows it; after one or two passes a bracket holds few different values, and those are counted. Tasks hand on
-counts and sketches, never values: nothing is shuffled that grows with the rows.
+A sketch says about where a rank lies. A counting pass cuts that bracket into PARTS equal parts of the order of all
+numbers and says in which part the rank is, exactly; a bracket that was wrong is noticed and opened. After one or two passes few
+rows are left in it, and their values are counted. Tasks hand on counts and sketches: nothing is shuffled that
+grows with the rows.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardwatch.functions.numeric import as_null_if_nan, edges_passed
-from cardwatch.operators.ordering import present_values
-from cardwatch.session import materialize
+from cardwatch.functions.numeric import as_null_if_nan
 
-#: Size of a sketch, the share of rows by which its ranks may be off (a wrong bracket is noticed and widened), and
-#: different values that a bracket may hold when it is counted out.
+#: Size of a sketch, the share of rows by which its ranks may be off, ranks that a sketch is asked for, parts per
+#: counting pass, and rows that a bracket may hold when its values are counted.
 SIZE = 800
 OFF_BY = 0.01
-FEW_VALUES = 2_000
 GRID = 200
-_MAX_PASSES = 20
+PARTS = 256
+FEW_ROWS = 2_000
+_TOP = (1 << 64) - 1
+_SIGN = np.uint64(1 << 63)
 
 
 def daily_sketches(df: DataFrame, features: Sequence[str], timestamp: str = "timestamp", size: int = SIZE) -> DataFrame:
@@ -50,99 +53,131 @@ def _bracket(sketch: Column, n: Column, rank: Column, off_by: float) -> list[Col
     return [ends[0].alias("low"), ends[1].alias("high")]
 
 
+def _ordered(values: np.ndarray) -> np.ndarray:
+    """Unsigned numbers in the order of the values, equal for equal values only; -0.0 is 0.0."""
+    bits = (values + 0.0).view(np.uint64)
+    return np.where(bits >> np.uint64(63), ~bits, bits | _SIGN)
+
+
+def _value(number: int) -> float:
+    bits = number ^ int(_SIGN) if number >> 63 else number ^ _TOP
+    return float(np.array([bits], np.uint64).view(float)[0])
+
+
+def _over(df: DataFrame, features: Sequence[str], work: Callable[[int, np.ndarray], list[tuple]], third: str) -> DataFrame:
+    """Sums n of ``work(place of the feature, its ordered values)`` = [(bracket, third, n)] over all rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for place, column in enumerate(batch.columns):
+                values = column.drop_null().to_numpy(zero_copy_only=False)
+                rows = work(place, _ordered(values[~np.isnan(values)]))
+                if rows:
+                    bracket, at, n = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_pydict({"f": pa.array([place] * len(rows), pa.int32()), "b": pa.array(bracket, pa.int32()), third: pa.array(at, pa.int64()), "n": pa.array(n, pa.int64())})
+
+    wide = df.select(*[F.col(name).cast("double").alias(str(i)) for i, name in enumerate(features)])
+    return wide.mapInArrow(run, f"f int, b int, {third} long, n long").groupBy("f", "b", third).agg(F.sum("n").alias("n"))
+
+
 def exact_quantiles(
-    df: DataFrame, features: Sequence[str], probabilities: Sequence[float], sketches: DataFrame | None = None, off_by: float = OFF_BY, few: int = FEW_VALUES
+    df: DataFrame, features: Sequence[str], probabilities: Sequence[float], sketches: DataFrame | None = None, off_by: float = OFF_BY, few: int = FEW_ROWS
 ) -> DataFrame:
     """(feature, quantiles): exact, linear between neighbours, in the order of ``probabilities``.
 
     ``sketches`` (feature, n, sketch) must be of the rows of ``df``; without them one more pass makes them. Nulls
-    and NaN are left out; a feature without values has no row. One row per feature and probability reaches the
-    driver in each pass.
+    and NaN are left out; a feature without values has no row. Per pass the driver gets PARTS counts for each feature
+    and rank at most, in the end ``few`` values.
     """
-    spark = df.sparkSession
+    features = list(features)
     if sketches is None:
         whole = df.select(*[(as_null_if_nan(F.col(n).cast("double")) + F.lit(0.0)).alias(n) for n in features])
         cells = [F.struct(F.lit(n).alias("feature"), F.count(n).alias("n"), F.kll_sketch_agg_double(n, SIZE).alias("sketch")) for n in features]
-        sketches = whole.agg(F.explode(F.array(*cells)).alias("cell")).select("cell.*") if features else None
-        sketches = sketches.filter("n > 0")
-    wanted = [F.struct(F.lit(i).alias("q"), F.lit(float(p)).alias("p")) for i, p in enumerate(probabilities)]
-    asked = sketches.select("feature", "n", "sketch", F.explode(F.array(*wanted)).alias("w")).select("feature", "n", "sketch", "w.*")
+        sketches = whole.agg(F.array(*cells).alias("cells")).select(F.explode("cells").alias("cell")).select("cell.*").filter("n > 0")
+    wanted = F.array(*[F.lit(float(p)) for p in probabilities])
+    asked = sketches.select("feature", "n", "sketch", F.explode(wanted).alias("p"))
     rank = F.floor(F.col("p") * (F.col("n") - 1)).cast("long")
-    asked = asked.withColumn("rank", rank).select("feature", "n", "q", "p", "rank", *_bracket(F.col("sketch"), F.col("n"), F.col("rank"), off_by))
-    brackets = [row.asDict() for row in asked.collect()]
-    values = present_values(df, features)
-    state = "feature string, n long, q int, p double, rank long, low double, high double, below long"
-
-    def numbered(rows: list[dict]) -> DataFrame:
-        """(feature, lows, spans): the brackets of each feature by their lower end; one row per feature."""
-        out: dict[str, list[dict]] = {}
-        for row in sorted(rows, key=lambda r: (r["low"], r["q"])):
-            out.setdefault(row["feature"], []).append(row)
-        lines = [(f, [r["low"] for r in own], [(i, r["low"], r["high"]) for i, r in enumerate(own)]) for f, own in out.items()]
-        for own in out.values():
-            for i, row in enumerate(own):
-                row["place"] = i
-        return spark.createDataFrame(lines, "feature string, lows array<double>, spans array<struct<place: int, low: double, high: double>>")
-
-    open_, done = brackets, []
-    for _ in range(_MAX_PASSES):
-        if not open_:
-            break
-        joined = values.join(F.broadcast(numbered(open_)), "feature")
-        inside = F.transform(F.filter("spans", lambda s: F.col("value").between(s["low"], s["high"])), lambda s: F.struct(F.lit(1).alias("kind"), s["place"].alias("place")))
-        segment = F.struct(F.lit(0).alias("kind"), edges_passed(F.col("lows"), F.col("value")).cast("int").alias("place"))
-        tagged = joined.select("feature", "value", F.explode(F.concat(F.array(segment), inside)).alias("t")).select("feature", "value", "t.*")
-        within = F.when(F.col("kind") == 1, F.col("value"))
-        found = tagged.groupBy("feature", "kind", "place").agg(
-            F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"),
-            F.approx_count_distinct(within).alias("different"), F.kll_sketch_agg_double(within, SIZE).alias("sketch"),
-        )
-        found = materialize(found)
-        counts = {(r["feature"], r["kind"], r["place"]): r for r in found.drop("sketch").collect()}
-        narrow: list[dict] = []
-        for row in open_:
-            f, place = row["feature"], row["place"]
-            # Segment s holds the rows with s lower ends at or below their value.
-            row["below"] = sum(counts[f, 0, s]["n"] for s in range(place + 1) if (f, 0, s) in counts)
-            hit = counts.get((f, 1, place))
-            last = min(row["rank"] + 1, row["n"] - 1)
-            if hit is None or row["below"] > row["rank"] or row["below"] + hit["n"] <= last:
-                # The sketch was further off than expected: open the side that is wrong.
-                if row["below"] > row["rank"]:
-                    row["low"] = -math.inf
-                else:
-                    row["high"] = math.inf
-                narrow.append(row | {"again": True})
-            elif hit["different"] <= few or (row.get("tried") == (row["low"], row["high"])):
-                done.append(row)
+    rows = asked.select("feature", "n", rank.alias("rank"), *_bracket(F.col("sketch"), F.col("n"), rank, off_by)).collect()
+    place = {name: i for i, name in enumerate(features)}
+    sizes = {place[r["feature"]]: r["n"] for r in rows}
+    # (feature, rank) -> the bracket that holds it, in ordered numbers, both ends included.
+    open_: dict[tuple[int, int], tuple[int, int]] = {}
+    for r in rows:
+        ends = tuple(int(x) for x in _ordered(np.array([r["low"], r["high"]])))
+        for one in {r["rank"], min(r["rank"] + 1, r["n"] - 1)}:
+            open_[place[r["feature"]], one] = ends
+    found: dict[tuple[int, int], float] = {}
+    last: dict[tuple[int, int], tuple[int, int, int]] = {}  # brackets with few rows, and the rows below
+
+    def listed(targets: dict[tuple[int, int], tuple[int, ...]]) -> dict[int, list[tuple[int, int]]]:
+        out: dict[int, set] = {}
+        for (f, _), ends in targets.items():
+            out.setdefault(f, set()).add(ends[:2])
+        return {f: sorted(own) for f, own in out.items()}
+
+    while open_:
+        brackets = listed(open_)
+
+        def count(f: int, numbers: np.ndarray, brackets: dict = brackets) -> list[tuple]:
+            out: list[tuple] = []
+            for i, (low, high) in enumerate(brackets.get(f, ())):
+                out.append((i, -1, int((numbers < np.uint64(low)).sum())))
+                inside = numbers[(numbers >= np.uint64(low)) & (numbers <= np.uint64(high))] - np.uint64(low)
+                parts, n = np.unique(inside // np.uint64((high - low) // PARTS + 1), return_counts=True)
+                out += zip([i] * len(parts), parts.tolist(), n.tolist(), strict=True)
+            return out
+
+        counts: dict[tuple[int, int], dict[int, int]] = {}
+        for r in _over(df, features, count, "part").toLocalIterator():
+            counts.setdefault((r["f"], r["b"]), {})[r["part"]] = r["n"]
+        still = {}
+        for (f, one), (low, high) in open_.items():
+            own = dict(counts[f, brackets[f].index((low, high))])
+            below, width = own.pop(-1), (high - low) // PARTS + 1
+            if not below <= one < below + sum(own.values()):
+                if (low, high) == (0, _TOP):
+                    raise ValueError(f"the sketch of {features[f]} is not of these rows")
+                still[f, one] = (0, _TOP)
+                continue
+            for part in sorted(own):
+                if one < below + own[part]:
+                    break
+                below += own[part]
+            start = low + part * width
+            end = min(high, start + width - 1)
+            if start == end:
+                found[f, one] = _value(start)
+            elif own[part] <= few:
+                last[f, one] = (start, end, below)
             else:
-                row["tried"] = (row["low"], row["high"])
-                narrow.append(row | {"again": False, "inside": hit["n"]})
-        shrink = [r for r in narrow if not r["again"]]
-        if shrink:
-            table = spark.createDataFrame([(r["feature"], r["place"], r["q"], r["rank"] - r["below"], r["inside"]) for r in shrink], "feature string, place int, q int, rank long, inside long")
-            at = found.filter("kind = 1").select("feature", "place", "sketch").join(F.broadcast(table), ["feature", "place"])
-            ends = {(r["feature"], r["q"]): r for r in at.select("feature", "q", *_bracket(F.col("sketch"), F.col("inside"), F.col("rank"), off_by)).collect()}
-            for row in shrink:
-                end = ends[row["feature"], row["q"]]
-                row["low"], row["high"] = max(row["low"], end["low"]), min(row["high"], end["high"])
-        open_ = narrow
-    else:
-        done += open_
-    lines = [tuple(r[k] for k in ("feature", "n", "q", "p", "rank", "low", "high", "below")) for r in done]
-    table = F.broadcast(spark.createDataFrame(lines, state))
-    # Few different values per bracket; equal values are counted before they are sent.
-    few_values = values.join(table.withColumnRenamed("n", "size"), "feature").filter(F.col("value").between(F.col("low"), F.col("high")))
-    counted = few_values.groupBy("feature", "q", "p", "rank", "size", "below", "value").agg(F.count("*").alias("n"))
-    running = Window.partitionBy("feature", "q").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    passed = counted.withColumn("passed", F.col("below") + F.sum("n").over(running))
-    share = F.col("p") * (F.col("size") - 1) - F.col("rank")
-    ends = passed.groupBy("feature", "q", "p", "rank", "size").agg(
-        F.min(F.when(F.col("passed") > F.col("rank"), F.col("value"))).alias("at"),
-        F.min(F.when(F.col("passed") > F.least(F.col("rank") + 1, F.col("size") - 1), F.col("value"))).alias("after"),
-    )
-    value = F.when(share > 0, F.col("at") + (F.col("after") - F.col("at")) * share).otherwise(F.col("at"))
-    listed = ends.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("q", value.alias("v")))).alias("l"))
-    return listed.select("feature", F.transform("l", lambda x: x["v"]).alias("quantiles"))
-
-
+                still[f, one] = (start, end)
+        open_ = still
+    if last:
+        brackets = listed(last)
+
+        def values(f: int, numbers: np.ndarray) -> list[tuple]:
+            out: list[tuple] = []
+            for i, (low, high) in enumerate(brackets.get(f, ())):
+                different, n = np.unique(numbers[(numbers >= np.uint64(low)) & (numbers <= np.uint64(high))], return_counts=True)
+                out += zip([i] * len(n), different.view(np.int64).tolist(), n.tolist(), strict=True)
+            return out
+
+        kept: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for r in _over(df, features, values, "number").toLocalIterator():
+            kept.setdefault((r["f"], r["b"]), []).append((r["number"] & _TOP, r["n"]))
+        for (f, one), (low, high, below) in last.items():
+            for number, n in sorted(kept[f, brackets[f].index((low, high))]):
+                below += n
+                if one < below:
+                    found[f, one] = _value(number)
+                    break
+    lines = []
+    for f, n in sizes.items():
+        out = []
+        for p in probabilities:
+            spot = p * (n - 1)
+            one = math.floor(spot)
+            at, after = found[f, one], found[f, min(one + 1, n - 1)]
+            out.append(at + (after - at) * (spot - one) if spot > one else at)
+        lines.append((features[f], out))
+    return df.sparkSession.createDataFrame(lines, "feature string, quantiles array<double>")
