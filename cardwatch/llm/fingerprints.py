@@ -14,10 +14,11 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardwatch.llm.common import components, text_or_empty
+from cardwatch.llm.common import components, text_or_empty, written
 from cardwatch.llm.lines import rest_pairs
 from cardwatch.session import materialize
 
@@ -28,6 +29,8 @@ BANDS = 21
 BAND_ROWS = 6
 SIMILARITY = 0.8
 MAX_PARTS = 1000
+#: Rows of numbers (16 bytes each) that may be broadcast.
+FEW_ROWS = 2_000_000
 _RNG = np.random.default_rng(1)
 _A = _RNG.integers(0, 1 << 31, PERMUTATIONS, np.uint32)[:, None] * np.uint32(2) + np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, PERMUTATIONS, np.uint32)[:, None]
@@ -100,8 +103,8 @@ def with_edit(own: np.ndarray, edited: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of equal lanes, an estimate of the Jaccard similarity of the shingle sets."""
-    return float((a == b).mean())
+    """Share of equal lanes of two fingerprints as ``digest`` gives them, an estimate of the Jaccard similarity of the shingle sets."""
+    return float((a.astype(np.uint16) == b.astype(np.uint16)).mean())
 
 
 def digest(sig: np.ndarray) -> str:
@@ -109,16 +112,37 @@ def digest(sig: np.ndarray) -> str:
     return sig.astype(">u2").tobytes().hex()
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _band_keys(sigs: np.ndarray) -> np.ndarray:
+    """One 64-bit key per text and band, from whole lanes of 32 bits."""
+    keys = np.empty((len(sigs), BANDS), np.uint64)
+    for band in range(BANDS):
+        key = np.full(len(sigs), band + 1, np.uint64)
+        for lane in range(band * BAND_ROWS, (band + 1) * BAND_ROWS):
+            key = (key ^ sigs[:, lane].astype(np.uint64)) * _STEP
+            key ^= key >> np.uint64(29)
+        keys[:, band] = key
+    return keys
+
+
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sigs = pa.array([signature(x or "").view(np.int32) for x in batch.column("text").to_pylist()], pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([batch.column("text_key"), sigs], names=["text_key", "signature"])
+        sigs = np.array([signature(x or "") for x in batch.column("text").to_pylist()], np.uint32).reshape(-1, PERMUTATIONS)
+        lines = np.repeat(batch.column("text_key").to_numpy(), BANDS)
+        yield pa.RecordBatch.from_arrays([pa.array(lines), pa.array(_band_keys(sigs).ravel().view(np.int64))], names=["line_key", "band"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles of each text, once for copies in one batch."""
     for batch in batches:
-        sets = pa.array([np.unique(shingles(x or "")).view(np.int32) for x in batch.column("text").to_pylist()], pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([batch.column("line_key"), sets], names=["line_key", "set"])
+        keys, first = np.unique(batch.column("line_key").to_numpy(), return_index=True)
+        texts = batch.column("text").take(pa.array(first)).to_pylist()
+        sets = pa.array([np.unique(shingles(x or "")).view(np.int32) for x in texts], pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array(keys), sets], names=["line_key", "set"])
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A table of one or two numbers per row, hinted to be broadcast if its counted rows stay within FEW_ROWS."""
+    return F.broadcast(df) if df.count() <= FEW_ROWS else df.hint("merge")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -139,15 +163,15 @@ def near_pairs(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFra
     """
     keyed = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_key"), text_or_empty().alias("text"))
     members = keyed.select("doc_id", "text_key")
-    firsts = keyed.groupBy("text_key").agg(F.first("text").alias("text"))
-    signed = firsts.mapInArrow(_signed, "text_key long, signature array<int>")
-    bands = [F.xxhash64(F.lit(n), F.slice("signature", n * BAND_ROWS + 1, BAND_ROWS)) for n in range(BANDS)]
-    banded = materialize(signed.select(F.col("text_key").alias("line_key"), F.explode(F.array(*bands)).alias("band")))
-    ends = banded.groupBy("band").agg(F.min("line_key").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    shared = materialize(banded.join(ends.hint("merge"), "band").select("band", "line_key", "a"))
-    asked = shared.select(F.col("line_key").alias("text_key")).distinct()
-    texts = keyed.join(asked.hint("merge"), "text_key", "left_semi").groupBy(F.col("text_key").alias("line_key")).agg(F.first("text").alias("text"))
-    sets = materialize(texts.mapInArrow(_sets, "line_key long, set array<int>"))
+    # Signatures are made where the rows lie; copies give the same bands and are not told apart before they have met.
+    banded = written(keyed.select("text_key", "text").mapInArrow(_banded, "line_key long, band long"), "bands")
+    ends = banded.groupBy("band").agg(F.min("line_key").alias("a"), F.max("line_key").alias("z"))
+    ends = written(ends.filter("a < z").drop("z"), "mixed-bands")
+    shared = written(banded.join(_small(ends), "band").select("band", "line_key", "a").distinct(), "shared")
+    asked = written(shared.select("line_key").distinct(), "asked")
+    texts = keyed.select(F.col("text_key").alias("line_key"), "text").join(_small(asked), "line_key", "left_semi")
+    sets = texts.mapInArrow(_sets, "line_key long, set array<int>")
+    sets = written(sets.groupBy("line_key").agg(F.first("set").alias("set")), "sets")
     tried = shared.filter("line_key > a").select("a", F.col("line_key").alias("b")).distinct()
     links = materialize(_similar(tried, sets, similarity))
     rest = rest_pairs(shared, components(links.select("a", "b")), sets, similarity, F.col("set"))
@@ -167,8 +191,18 @@ def with_near_links(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     return rows.select(*NAMES, F.coalesce("near_links", F.lit(0)).cast("long").alias("near_links"), F.coalesce("component", "text_key").alias("near_component"))
 
 
+def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    packer = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        bodies = [packer.compress(x.encode("utf-8", "surrogatepass")) for x in batch.column("text").to_pylist()]
+        at = batch.schema.get_field_index("text")
+        yield batch.set_column(at, "body", pa.array(bodies, pa.binary()))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """(part, is_tail, doc_id, text), sorted within partitions so that each row's next document follows it.
+    """(part, is_tail, doc_id, body, text_key), sorted within partitions so that each row's next document follows it.
+
+    body is the text, compressed for the way.
 
     Next means next by descending doc_id (then text key), nulls last, and the first after the last.
     Rows are cut by doc_id into parts, which are streamed, never held; the first row of each part is sent
@@ -193,18 +227,21 @@ def with_next(docs: DataFrame) -> DataFrame:
     if tops:
         sent = F.concat(sent, F.coalesce(tails, F.array().cast("array<struct<part:int,is_tail:boolean>>")))
     spread = keyed.withColumn("sent", F.explode(sent)).select("sent.part", "sent.is_tail", "doc_id", "text", "text_key")
+    spread = spread.mapInArrow(_compressed, "part int, is_tail boolean, doc_id long, body binary, text_key long")
     order = ["part", "is_tail", F.desc_nulls_last("doc_id"), F.desc("text_key")]
     return spread.repartition(partitions, "part").sortWithinPartitions(*order)
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpacker = zstandard.ZstdDecompressor()
     pending: tuple | None = None  # the row before, whose edit needs this one
     ready: list | None = None  # the row before that, whose near_next needs pending's signature
     for batch in batches:
         out: list[list[Any]] = []
-        for part, tail, doc_id, text, key in zip(*(batch.column(n).to_pylist() for n in ("part", "is_tail", "doc_id", "text", "text_key")), strict=True):
+        for part, tail, doc_id, body, key in zip(*(batch.column(n).to_pylist() for n in ("part", "is_tail", "doc_id", "body", "text_key")), strict=True):
             if tail and (pending is None or pending[0] != part):
                 continue  # the part has had its tail
+            text = unpacker.decompress(body).decode("utf-8", "surrogatepass")
             hashed = shingles(text)
             if pending is not None:
                 _, id_, own, own_hashed, own_key = pending
@@ -235,5 +272,5 @@ def compared_with_edits(docs: DataFrame, keyed: bool = False) -> DataFrame:
     to the next one is compared with it. In a table of one row that row is its own next one. ``keyed`` adds text_key.
     """
     schema = "text_key long, doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    rows = with_next(docs).select("part", "is_tail", "doc_id", "text", "text_key").mapInArrow(_compared, schema)
+    rows = with_next(docs).select("part", "is_tail", "doc_id", "body", "text_key").mapInArrow(_compared, schema)
     return rows if keyed else rows.drop("text_key")
