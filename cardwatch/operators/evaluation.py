@@ -145,7 +145,9 @@ def metrics_report(df: DataFrame, score: str = SCORE, label: str = LABEL, tie: s
 
 def training_stats(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Mean, sample deviation (plus 1e-9) and linear 1st and 99th percentile per feature; no value is shuffled."""
-    moments = present_values(df, features).groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    # Merged moments leave a trace of rounding where all values are equal.
+    spread = F.when(F.min("value") < F.max("value"), F.stddev_samp("value")).when(F.count("*") > 1, F.lit(0.0))
+    moments = present_values(df, features).groupBy("feature").agg(F.avg("value").alias("mean"), spread.alias("std"))
     ends = exact_quantiles(df, features, [0.01, 0.99])
     # One row per feature on both sides.
     return moments.join(F.broadcast(ends), "feature").select(

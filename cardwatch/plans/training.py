@@ -14,6 +14,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,7 +77,7 @@ def fit_trees(weighted: DataFrame, settings: Settings, features: Sequence[str] =
     """
     held = weighted.withColumn("held", F.col("split") == "val")
     edges = bin_edges(held.filter(~F.col("held")), features)
-    matrix = blocks(held, features, edges, "is_fraud", "weight", "transaction_id", "held").persist()
+    matrix = blocks(held, features, edges, "is_fraud", "weight", "transaction_id", "held").persist(StorageLevel.MEMORY_AND_DISK)
     trees, losses = boost(matrix, Ensemble(list(features), edges, starting_margin(matrix)), settings)
     matrix.unpersist()
     return trees.first(best_round(losses, settings.patience)[0]), losses
