@@ -1,17 +1,24 @@
 """Personal data by weak supervision.
 
-Wide patterns propose spans of four kinds. Five labelers vote on each: the strict pattern, a gazetteer, a
-structural check, the words before, and the characters around. How often each combination of votes occurs
-is counted over all texts; expectation-maximisation (two classes, labelers independent within a class)
-estimates from the counts alone how reliable each labeler is. The resulting probabilities train a logistic
-span classifier on votes and shape. Spans of the strict patterns always stay; the classifier adds others
-of at least ``ADD`` that overlap none already taken.
+Base patterns give spans of four kinds, which always stay. Wide patterns propose spans of other written forms:
+spelled-out or bracketed addresses, bracketed dots and IPv6, cards with unusual separators, numbers without a
+plus sign. Five labelers vote for, against or not at all on each span, base or proposed: the base pattern (which
+has no word on other forms), a gazetteer, a structural check, the words around, and the characters at the ends.
+How often each combination of votes occurs is counted over all texts; expectation-maximisation (two classes,
+labelers independent within a class) estimates from the counts alone how reliable each labeler is. The resulting
+probabilities train a logistic span classifier on votes and shape, which adds proposals of at least ``ADD``.
+
+Every scan is linear in the text: runs are taken whole or from bounded repeats, and none is scanned from each of
+its places. Null texts count as empty; rows are judged one by one, so repeated rows give repeated results, and an
+empty table gives no row. Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,31 +32,57 @@ from cardwatch.session import materialize
 KINDS = ["email", "ip", "card", "phone"]
 ADD = 0.9
 CONTEXT = 32
-STRICT = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
-    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+#: Longest local part of an address and longest label of a host name (RFC 5321, RFC 1035).
+LOCAL, LABEL = 64, 63
+LOCAL_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+#: The base patterns; a run that cannot match from its start cannot match from inside, so it is tried once.
+HOST = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+BASE = {
+    "ip": re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"),
+    "card": re.compile(r"[0-9]++(?:[\x20-][0-9]++)*+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
+_DOT = r"(?:\.|\x20?[(\[{]\x20?(?:\.|dot)\x20?[)\]}]\x20?|\x20dot\x20)"
+AT = re.compile(
+    rf"(?:\x20?(?:@|[(\[{{]\x20?(?:at|@)\x20?[)\]}}])\x20?|\x20at\x20)[a-z0-9-]{{1,{LABEL}}}(?:{_DOT}[a-z0-9-]{{1,{LABEL}}}){{1,8}}(?![a-z0-9-])", re.I
+)
 WIDE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]+)+", re.I),
-    "ip": re.compile(r"(?<![0-9.])[0-9]{1,3}(?:(?:\.|\[\.\]|\(\.\))[0-9]{1,3}){3}(?![0-9.])"),
-    "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[\x20.-]?[0-9]{3,6}){2,4}(?![0-9])"),
-    "phone": re.compile(r"(?<![0-9])(?:\+|00)?\(?[0-9]{1,4}\)?(?:[\x20./-]\(?[0-9]{2,5}\)?){2,4}(?![0-9])"),
+    "ip": re.compile(
+        r"(?<![0-9.])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\x20?[(\[]dot[)\]]\x20?|\x20dot\x20|\.)[0-9]{1,3}){3}(?![0-9.])"
+        r"|(?<![0-9A-Za-z:])[0-9A-Fa-f]{0,4}(?::{1,2}[0-9A-Fa-f]{1,4}){2,7}(?:::)?(?![0-9A-Za-z:])"
+    ),
+    "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[\x20._/-]{1,3}[0-9]{3,6}){2,4}(?![0-9])"),
+    "phone": re.compile(r"(?<![0-9.,:])\(?[0-9]{2,7}\)?(?:[\x20./-]{1,2}\(?[0-9]{2,8}\)?){1,5}(?![0-9])"),
 }
-#: Without one of these in a text a pattern cannot match, which saves the search.
-NEEDS = {"email": re.compile(r"@|\(at\)|\[at\]", re.I), "ip": re.compile("[0-9]"), "card": re.compile("[0-9]"), "phone": re.compile("[0-9]")}
-# Gazetteers: common endings of hosts, countries' calling codes, first digits of card issuers.
-ENDINGS = frozenset("com org net edu gov io info biz de fr es uk it nl eu us ca ch at be".split())
-CALLING = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "52", "55", "61", "81", "86", "91")
-ISSUERS = ("4", "51", "52", "53", "54", "55", "22", "23", "24", "25", "26", "27", "34", "37", "35", "36", "38", "6011", "65", "62")
+#: Without one of these in a text no pattern of the kind can match, which saves the search.
+NEEDS = {"email": re.compile(r"@|\bat\b", re.I), "ip": re.compile("[0-9]|::"), "card": re.compile("[0-9]"), "phone": re.compile("[0-9]")}
+
+# Frequent endings of host names, mailbox providers, ranges of addresses set aside for documentation or
+# never given out, calling codes of countries, and first digits of card issuers with their lengths.
+ENDINGS = frozenset(
+    "com org net edu gov mil int info biz name pro io dev app co me ai eu at au be br ca ch cl cn cz de dk es fi fr gr hk hu ie "
+    "il in it jp kr mx nl no nz pl pt ro ru se sg sk th tr tw ua uk us za".split()
+)
+PROVIDERS = frozenset(
+    "gmail googlemail outlook hotmail live msn yahoo ymail icloud aol gmx web protonmail proton zoho yandex fastmail mail "
+    "orange laposte free wanadoo libero t-online freenet posteo comcast verizon btinternet qq naver telefonica terra".split()
+)
+RESERVED = [ipaddress.ip_network(n) for n in "0.0.0.0/8 127.0.0.0/8 169.254.0.0/16 224.0.0.0/3 ::/127 fe80::/10 ff00::/8".split()]
+CALLING = tuple(
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 "
+    "93 94 95 98 212 213 216 218 351 352 353 354 355 356 357 358 359 370 371 372 373 380 381 385 386 420 421 852 853 886 971 972".split()
+)
+ISSUERS = {"4": (13, 16, 19), "51": (16,), "52": (16,), "53": (16,), "54": (16,), "55": (16,), "22": (16,), "23": (16,), "24": (16,),
+           "25": (16,), "26": (16,), "27": (16,), "34": (15,), "37": (15,), "36": (14,), "38": (14,), "30": (14,), "35": (16,),
+           "6011": (16, 19), "65": (16, 19), "62": (16, 17, 18, 19), "50": (12, 13, 14, 15, 16), "56": (12, 16), "67": (12, 16)}
 NEAR = {
-    "email": re.compile(r"mail|contact|write|reach|adress|courriel|correo", re.I),
-    "ip": re.compile(r"\bip\b|host|server|address|login|adresse", re.I),
-    "card": re.compile(r"card|visa|credit|payment|karte|carte|tarjeta", re.I),
-    "phone": re.compile(r"phone|call|tel|mobile|fax|anruf|appel|llam", re.I),
+    "email": re.compile(r"mail|contact|write|reach|adress|courriel|correo|schreib", re.I),
+    "ip": re.compile(r"\bip|host|server|address|login|adresse|connect|client", re.I),
+    "card": re.compile(r"card|visa|credit|payment|karte|carte|tarjeta|paid", re.I),
+    "phone": re.compile(r"phone|call|\btel|mobil|fax|anruf|appel|llam|text me|whatsapp|reach", re.I),
 }
-LABELERS = ["strict", "gazetteer", "structure", "context", "edges"]
+AGAINST = re.compile(r"isbn|issn|version|release|invoice|order|serial|ticket|section|page|date|score|rechnung|\bnr\b|\bno\.|figure|table|build", re.I)
+LABELERS = ["base", "gazetteer", "structure", "context", "edges"]
 SPAN = "kind int, low int, high int, strict boolean, votes int, shape int"
 
 
@@ -61,50 +94,117 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _small(part: str) -> bool:
+    """At most 255, whatever the number of leading zeros."""
+    part = part.lstrip("0")
+    return len(part) <= 3 and int(part or "0") <= 255
+
+
 def passes(kind: str, found: str) -> bool:
-    """The strict pattern's own condition on what it matched."""
+    """The base pattern's own condition on what it matched."""
     if kind == "email":
         return True
     if kind == "ip":
-        return all(int(p) <= 255 for p in found.split("."))
-    digits = re.sub("[^0-9]", "", found)
+        return all(map(_small, found.split(".")))
+    digits = _digits(found)
     return 12 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 9 <= len(digits) <= 15
 
 
-def _votes(kind: str, text: str, low: int, high: int, strict: bool) -> tuple[int, int]:
-    """Votes (base 3, 0 against, 1 silent, 2 for, in the order of LABELERS) and a code of the span's shape."""
+def _digits(found: str) -> str:
+    return "".join(re.findall("[0-9]+", found))
+
+
+def matches(kind: str, text: str) -> list[tuple[int, int]]:
+    """Leftmost non-overlapping matches of the base pattern, those that fail its condition too."""
+    if kind != "email":
+        return [m.span() for m in BASE[kind].finditer(text)]
+    out, last = [], 0
+    for m in HOST.finditer(text):
+        # The local part is the run before the sign; it begins neither before the last match nor before an earlier sign.
+        at = m.start()
+        before = text[max(last, text.rfind("@", last, at) + 1) : at]
+        n = len(before) - len(before.rstrip(LOCAL_CHARS))
+        if n:
+            out.append((at - n, m.end()))
+            last = m.end()
+    return out
+
+
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses in any written form, local parts of at most LOCAL characters."""
+    for m in AT.finditer(text):
+        before = text[max(0, m.start() - LOCAL - 1) : m.start()]
+        n = len(before) - len(before.rstrip(LOCAL_CHARS))
+        if 0 < n <= LOCAL:
+            yield m.start() - n, m.end()
+
+
+def _votes(kind: str, text: str, low: int, high: int, base: int) -> tuple[int, int]:
+    """Votes (base 3: 0 against, 1 silent, 2 for, in the order of LABELERS) and a code of the span's shape."""
     found = text[low:high]
-    digits = re.sub("[^0-9]", "", found)
+    digits = _digits(found)
+    before, after = text[max(0, low - CONTEXT) : low], text[high : high + CONTEXT // 2]
     if kind == "email":
-        known, sound = re.split(r"[^A-Za-z]+", found.lower())[-1] in ENDINGS, found.count("@") == 1 and ".." not in found
+        local, _, host = re.sub(r"(?i)[(\[{ ]+(at|@)[)\]} ]+", "@", found).partition("@")
+        names = [p for p in re.split(r"(?i)\.|\bdot\b|[^a-z0-9-]+", host.lower()) if p]
+        known = 2 if len(names) > 1 and (names[-1] in ENDINGS or names[-2] in PROVIDERS) else 0
+        # Between words of prose the preposition is no sign; a dot that is spelled or bracketed, or a name with digits, is.
+        plain = re.search(r"(?i) at ", found) and not re.search(r"(?i)[ (\[{]dot[ )\]}]", host)
+        sound = 0 if plain or ".." in found or local[:1] == "." or local[-1:] == "." else 2
     elif kind == "ip":
-        parts = [int(p) for p in re.findall("[0-9]+", found)]
-        known, sound = 1 <= parts[0] <= 223, all(p <= 255 for p in parts)
+        try:
+            address = ipaddress.ip_address(found if ":" in found else ".".join(str(int(p[-3:])) for p in re.findall("[0-9]+", found)))
+            known, sound = (0 if any(address in n for n in RESERVED if n.version == address.version) else 2), 2
+        except ValueError:
+            known = sound = 0
+        if ":" in found and sound and len(re.findall("[0-9A-Fa-f]+", found)) < 4:
+            known = 1  # times of day and ratios look like very short addresses
     elif kind == "card":
-        known, sound = digits.startswith(ISSUERS), luhn(digits) and 12 <= len(digits) <= 19
+        known = 2 if any(digits.startswith(k) and len(digits) in n for k, n in ISSUERS.items()) else 0
+        sound = 2 if 12 <= len(digits) <= 19 and luhn(digits) else 0
     else:
         bare = digits.removeprefix("00")
-        known, sound = found.startswith(("+", "00")) and bare.startswith(CALLING), 9 <= len(digits) <= 15
-    near = 2 if NEAR[kind].search(text, max(0, low - CONTEXT), low) else 1
-    edges = (low == 0 or not text[low - 1].isalnum()) and (high == len(text) or not text[high].isalnum())
+        abroad = found.startswith(("+", "00", "(00"))
+        national = re.fullmatch("1?[2-9][0-9]{2}[2-9][0-9]{6}", digits) if not abroad else None
+        known = 2 if (abroad and bare.startswith(CALLING)) or national or (digits[:1] == "0" and digits[1:2] != "0") else 0
+        dated = re.search(r"(?:^|[^0-9])(?:19|20)[0-9]{2}[./-][0-9]{1,2}[./-]|[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}", found)
+        sound = 2 if 9 <= len(digits) <= 15 and not dated else 0
+    near = 0 if AGAINST.search(before) else 2 if NEAR[kind].search(before) or NEAR[kind].search(after) else 1
+    edges = 2 if (not before or not before[-1].isalnum()) and (not after or not after[0].isalnum()) else 0
     votes = 0
-    for vote in (2 * strict, 2 * known, 2 * sound, near, 2 * edges):
+    for vote in (base, known, sound, near, edges):
         votes = votes * 3 + vote
     separators = min(2, len(re.findall("[^A-Za-z0-9]+", found)))
     return votes, min(len(found), 40) // 4 * 3 + separators
 
 
 def spans(text: str) -> list[tuple[int, int, int, bool, int, int]]:
-    """SPAN rows: all strict spans, and the wide ones that equal none of their kind."""
-    out = []
+    """SPAN rows: all base spans, then proposals that touch none of them and not each other within a kind."""
+    own, failed, wide = [], set(), []
     for k, kind in enumerate(KINDS):
         if not NEEDS[kind].search(text):
             continue
-        own = [m.span() for m in STRICT[kind].finditer(text) if passes(kind, m.group())] if kind != "phone" or "+" in text else []
-        own_set = set(own)
-        wide = [m.span() for m in WIDE[kind].finditer(text)]
-        for strict, found in ((True, own), (False, [s for s in wide if s not in own_set])):
-            out += [(k, low, high, strict, *_votes(kind, text, low, high, strict)) for low, high in found]
+        for low, high in matches(kind, text) if kind != "phone" or "+" in text else []:
+            if passes(kind, text[low:high]):
+                own.append((k, low, high))
+            else:
+                failed.add((k, low, high))
+        wide += [(k, low, high) for low, high in (_addresses(text) if kind == "email" else (m.span() for m in WIDE[kind].finditer(text)))]
+    out = [(k, low, high, True, *_votes(KINDS[k], text, low, high, 2)) for k, low, high in own]
+    # Places covered by base spans, as merged intervals.
+    starts, ends = [], []
+    for low, high in sorted((low, high) for _, low, high in own):
+        if ends and low <= ends[-1]:
+            ends[-1] = max(ends[-1], high)
+        else:
+            starts.append(low)
+            ends.append(high)
+    last = [0] * len(KINDS)
+    for k, low, high in wide:
+        i = bisect_right(starts, high - 1) - 1
+        if (i < 0 or ends[i] <= low) and low >= last[k]:
+            last[k] = high
+            out.append((k, low, high, False, *_votes(KINDS[k], text, low, high, 0 if (k, low, high) in failed else 1)))
     return out
 
 
@@ -129,8 +229,8 @@ def _unpacked(votes: np.ndarray) -> np.ndarray:
 def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, steps: int = 100) -> tuple[np.ndarray, np.ndarray]:
     """Probability of each vote combination to be personal data, and reliabilities (class, labeler, vote).
 
-    The start is the majority of votes; the strict labeler's word for a span is never turned round, since
-    a class whose strict votes are mostly against is the negative one.
+    The start is the majority of votes; the base pattern's word for a span is never turned round, since
+    the class for which it speaks less often is the negative one.
     """
     v = _unpacked(votes)
     p = 1 / (1 + np.exp(-1.5 * (v - 1).sum(axis=1)))
@@ -172,30 +272,44 @@ def fit(counted: list[tuple[int, int, int, int]]) -> dict[int, list[float]]:
     return weights
 
 
-def trained(proposed: DataFrame) -> dict[int, list[float]]:
-    """Weights from the counts over all rows; 4 kinds, 243 vote combinations and 33 shapes bound what is collected."""
+def accepted(weights: dict[int, list[float]], counted: list[tuple[int, int, int, int]]) -> set[tuple[int, int, int]]:
+    """The (kind, votes, shape) that the classifier takes for personal data with probability ADD or more."""
+    out = set()
+    for kind, votes, shape, _ in counted:
+        if _features(np.array([votes]), np.array([shape]))[0] @ np.array(weights[kind]) >= np.log(ADD / (1 - ADD)):
+            out.add((kind, votes, shape))
+    return out
+
+
+def trained(proposed: DataFrame) -> set[tuple[int, int, int]]:
+    """``accepted`` from the counts over all rows; 4 kinds, 243 vote combinations and 33 shapes bound what is collected."""
     each = proposed.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.votes", "s.shape").agg(F.count("*").alias("n"))
-    return fit(sorted((r["kind"], r["votes"], r["shape"], r["n"]) for r in each.collect()))
+    counted = sorted((r["kind"], r["votes"], r["shape"], r["n"]) for r in each.collect())
+    return accepted(fit(counted), counted)
 
 
 def _text(rows: list[dict]) -> str:
     return ",".join(f"{KINDS[r['kind']]}:{r['low']}:{r['high']}" for r in sorted(rows, key=lambda r: (r["low"], r["kind"])))
 
 
-def decided(proposed: DataFrame, weights: dict[int, list[float]]) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added): counts are of strict spans."""
+def chosen(found: list[dict], taken: set[tuple[int, int, int]]) -> tuple[list[dict], list[dict]]:
+    """(base spans, added spans): of accepted proposals that overlap, the first stays, the kind listed first at a tie."""
+    base, added, last = [s for s in found if s["strict"]], [], 0
+    for s in sorted((s for s in found if not s["strict"]), key=lambda s: (s["low"], s["kind"])):
+        if s["low"] >= last and (s["kind"], s["votes"], s["shape"]) in taken:
+            added.append(s)
+            last = s["high"]
+    return base, added
+
+
+def decided(proposed: DataFrame, taken: set[tuple[int, int, int]]) -> DataFrame:
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added): counts are of base spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = {k: np.array(w) for k, w in weights.items()}
         for batch in batches:
             rows = []
             for doc_id, found in zip(batch.column("doc_id").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                base, added = [s for s in found if s["strict"]], []
-                for s in found:
-                    if not s["strict"] and s["kind"] in own:
-                        x = _features(np.array([s["votes"]]), np.array([s["shape"]]))[0]
-                        if x @ own[s["kind"]] >= np.log(ADD / (1 - ADD)) and all(s["high"] <= o["low"] or s["low"] >= o["high"] for o in base + added):
-                            added.append(s)
+                base, added = chosen(found, taken)
                 counts = [sum(s["kind"] == k for s in base) for k in range(4)]
                 rows.append((doc_id, *counts, hashlib.sha256(_text(base).encode()).hexdigest(), _text(base + added), len(added)))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 8

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -282,21 +283,112 @@ def test_chunks_cover_the_whole_text():
 # 6 -------------------------------------------------------------------------------------------------
 
 
+#: The patterns of the query's description, written out here.
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
 def _base(text):
     out = []
-    for k, kind in enumerate(pii.KINDS):
-        out += [(m.start(), k, m.end()) for m in pii.STRICT[kind].finditer(text) if pii.passes(kind, m.group())]
-    return ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in sorted(out)), Counter(pii.KINDS[k] for _, k, _ in out)
+    for k, (kind, pattern) in enumerate(PLAIN.items()):
+        for m in re.finditer(pattern, text):
+            digits = [int(c) for c in m.group() if c in "0123456789"]
+            doubled = sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(reversed(digits)))
+            good = {
+                "email": True,
+                "ip": all(int(p) < 256 for p in m.group().split(".")) if kind == "ip" else False,
+                "card": 11 < len(digits) < 20 and doubled % 10 == 0,
+                "phone": 8 < len(digits) < 16,
+            }
+            if good[kind]:
+                out.append((m.start(), k, m.end()))
+    names = list(PLAIN)
+    return ",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted(out)), Counter(names[k] for _, k, _ in out)
 
 
 def test_pii_base_against_plain_patterns(spark, texts):
     for r in QUERIES["op6_pii"](spark, SMALL).collect():
         spans, counts = _base(texts[r["doc_id"]])
         assert r["base_sha256"] == hashlib.sha256(spans.encode()).hexdigest()
-        assert [r[f"n_{k}"] for k in pii.KINDS] == [counts[k] for k in pii.KINDS]
+        assert [r[f"n_{k}"] for k in PLAIN] == [counts[k] for k in PLAIN]
         assert set(filter(None, spans.split(","))) <= set(r["spans"].split(","))
 
 
+def test_pii_base_on_random_texts():
+    rng = np.random.default_rng(17)
+    card = "4111 1111-1111 1111"
+    bits = ["a", "B.", "@", "@@", "x.y", "-", ".", "1", "25", "256", "00012", " ", "+", "+4", "(", ")", "\n", "é", card, card[:12], "1.2.3.4", "+49 30 1234567", "%", "_"]
+    for _ in range(4000):
+        text = "".join(rng.choice(bits, rng.integers(1, 30)))
+        own = ((low, kind, high) for kind, low, high, strict, _, _ in pii.spans(text) if strict)
+        assert ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in sorted(own)) == _base(text)[0], text
+
+
+def test_pii_scans_stay_linear():
+    start = time.perf_counter()
+    for text in ("a" * 2_000_000 + " x@y.com", "7" * 2_000_000, "1." * 1_000_000, "a@" * 500_000, "1 " * 1_000_000, "+1" * 500_000, "1:" * 1_000_000):
+        pii.spans(text)
+    assert len([s for s in pii.spans("b@c.org " * 20_000) if s[3]]) == 20_000
+    assert time.perf_counter() - start < 60
+
+
+def _luhn_card(rng):
+    body = [4, *rng.integers(0, 10, 14).tolist()]
+    total = sum(d if i % 2 else d * 2 - 9 * (d > 4) for i, d in enumerate(reversed(body)))
+    return "".join(map(str, body)) + str(-total % 10)
+
+
+def test_pii_adds_other_written_forms(spark):
+    """Among texts with base spans, spelled and bracketed forms are added and look-alikes are left alone."""
+    rng = np.random.default_rng(23)
+    words = "the river runs past old mill and on to wide grey sea beyond green hills where people live".split()
+
+    def prose(n):
+        return " ".join(rng.choice(words, n))
+
+    def number(low, high):
+        return str(rng.integers(low, high))
+
+    docs, planted, decoys = [], {}, set()
+    for i in range(900):
+        name, host, card = "".join(rng.choice(list("abcdefghij"), 6)), f"mail{i % 9}", _luhn_card(rng)
+        area, ip = f"{number(201, 990)}", [number(11, 223), number(0, 256), number(0, 256), number(1, 255)]
+        wrong = card[:-1] + str((int(card[-1]) + 1) % 10)
+        base = ["mail to {}", "host {} down", "card {} used", "phone {} rings"], [f"{name}.{i}@{host}.example.com", ".".join(ip), card, f"+1 ({area}) 555-{number(1000, 9999)}"]
+        other = [
+            ("email", "write to {} soon", f"{name} [at] {host} [dot] com"), ("email", "{}", f"{name}.{i} (at) gmail.com"),
+            ("email", "contact {} now", f"{name} at {host} dot org"), ("ip", "server {} down", "[.]".join(ip)), ("ip", "login from {}", "(.)".join(ip)),
+            ("card", "paid with card {} today", ".".join(card[k : k + 4] for k in range(0, 16, 4))),
+            ("phone", "call me: {} after noon", f"{area}-555-{number(1000, 9999)}"), ("phone", "tel {}", f"0049 30 {number(1000000, 9999999)}"),
+        ]
+        clean = ["we met at noon. dot com boom", f"invoice {'.'.join(wrong[k : k + 4] for k in range(0, 16, 4))} was lost", "version 1[.]2[.]300[.]4",
+                 "isbn 978-3-16-148410-0", "on 2024-05-06 12:30:45", f"between {number(1, 99)}-{number(100, 999)} and more", "look at the sea dot dot dot"]
+        which = i % 3
+        if which == 0:
+            text = f"{prose(8)} {base[0][i // 3 % 4].format(base[1][i // 3 % 4])} {prose(5)}"
+        elif which == 1:
+            kind, frame, span = other[i // 3 % len(other)]
+            head, tail = frame.split("{}")
+            text = f"{prose(8)} {head}{span}{tail} {prose(5)}"
+            low = text.index(span)
+            planted[i] = f"{kind}:{low}:{low + len(span)}"
+        else:
+            text = f"{prose(8)} {clean[i // 3 % len(clean)]} {prose(5)}"
+            decoys.add(i)
+        docs.append((i, text, "a"))
+    got = {r["doc_id"]: r for r in pii.detected(_docs(spark, docs)).collect()}
+    hit = sum(got[i]["spans"] == span for i, span in planted.items())
+    wrong = sum(got[i]["n_added"] for i in got if i not in planted)
+    assert hit >= 0.85 * len(planted), Counter(span.split(":")[0] for i, span in planted.items() if got[i]["spans"] != span)
+    assert wrong <= 0.05 * hit and sum(got[i]["n_added"] for i in decoys) <= 0.05 * len(decoys)
+    for i, r in got.items():
+        assert r["base_sha256"] == hashlib.sha256(_base(docs[i][1])[0].encode()).hexdigest()
+
+
 def test_pii_rules():
     assert pii.passes("ip", "255.0.0.1") and not pii.passes("ip", "256.0.0.1")
     assert pii.passes("card", "4111 1111-1111 1111") and not pii.passes("card", "4111111111111112")
