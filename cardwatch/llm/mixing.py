@@ -1,11 +1,16 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
 The words of a source, document after document, are cut into blocks of BLOCK_WORDS. Targets say how many
-blocks (slots) each source fills. All slots together are dealt into output shards by one pseudorandom
-permutation: each shard's counts by source are multinomial draws without replacement, so they vary from
-shard to shard while every source's total is met. A source's slots run through permutations of its block
-numbers, a new one for each pass over the source, and meet the blocks in a join on (source, block).
-A block is used at most MAX_EPOCHS times, hence so is each word of a document.
+blocks (slots) each source fills. How many of them go to each output shard is drawn first: counts by source are
+multinomial draws without replacement (one pseudorandom permutation of all slots, cut into shards), so they vary
+from shard to shard while every source's total is met. The counts then lay out the slots: a source's slots are
+numbered shard after shard and run through permutations of its block numbers, a new one for each pass over the
+source, and meet the blocks in a join on (source, block). A block is used at most MAX_EPOCHS times, hence so is
+each word of a document.
+
+A null text has size 0, a null source is a source of its own (the last), null ids are one id. Rows equal in id, source and
+text stay apart in ``taken`` and are one row in ``mixed``. An empty table gives an empty mix. Columns of ``docs`` other
+than doc_id, source and text are only carried along.
 """
 
 from __future__ import annotations
@@ -22,6 +27,8 @@ MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
 #: Documents of a source are numbered within this many parts of it, so a hot source is not one task.
 PARTS = 1024
+#: Shards are numbered within spans of this many, so that no running sum over a source's shards is one task.
+SPAN = 4_096
 #: Slots are made in runs of this many.
 RUN = 4_096
 ROUNDS = 10
@@ -33,14 +40,17 @@ def word_count(text: str = "text") -> Column:
 
 
 def permuted(x: str, n: str, key: str) -> str:
-    """SQL for a permutation of 0..n-1 applied to x; ``key`` (a long below 2**31) picks the permutation.
+    """SQL for a permutation of 0..n-1 applied to x, n below 2**61; ``key`` (a long below 2**31) picks the permutation.
 
     Swap-or-not shuffle (Hoang, Morris, Rogaway 2012): in each round x and k - x mod n are partners, and a
     bit that depends on the pair alone says whether they swap. Right for every n, with no retries.
     """
-    k = f"((({key}) * 48271 + r * 69621 + 12345) % {PRIME} * 16807 % {PRIME} % ({n}))"
+    high = f"((({key}) * 48271 + r * 69621 + 12345) % {PRIME} * 16807 % {PRIME})"
+    low = f"((({key}) * 40692 + r * 52774 + 67890) % {PRIME} * 48271 % {PRIME})"
+    k = f"(({high} * {PRIME} + {low}) % ({n}))"
     y = f"(({k} - x + ({n})) % ({n}))"
-    mix = f"((greatest(x, {y}) % {PRIME} * 48271 + ({key}) + r * 40503) % {PRIME})"
+    top = f"greatest(x, {y})"
+    mix = f"(({top} % {PRIME} * 48271 + {top} div {PRIME} * 69621 + ({key}) + r * 40503) % {PRIME})"
     swap = f"({mix} + 1) * {mix} % {PRIME} div 256 % 2 = 1"
     return f"aggregate(sequence(1L, {ROUNDS}L), {x}, (x, r) -> if({swap}, {y}, x))"
 
@@ -81,23 +91,38 @@ def plan_sources(sizes: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     return materialize(per.select(*columns, F.sum("slots").over(whole).alias("all_slots")))
 
 
-def deal(sources: DataFrame, seed: int = 7) -> DataFrame:
-    """One row per output slot: (number, block, slot, shard)."""
+def shard_counts(sources: DataFrame, shard_blocks: int = SHARD_BLOCKS, seed: int = 7) -> DataFrame:
+    """(number, blocks, shard, n_blocks, all_slots): how many of each shard's slots are drawn for each source.
+
+    A permutation of all slots says which source each place of the mix belongs to; a shard is shard_blocks places.
+    """
     runs = sources.filter("slots > 0").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {RUN}"))))
     # A number of partitions is given, since runs are tiny rows that would be merged back into one task.
     runs = runs.repartition(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "number", "run")
     j = F.explode(F.sequence(F.col("run") * RUN, F.least(F.col("slots"), (F.col("run") + 1) * RUN) - 1))
-    dealt = runs.withColumn("j", j)
+    place = F.expr(permuted("first_slot + j", "all_slots", f"{seed}L"))
+    drawn = runs.withColumn("j", j).withColumn("place", place).withColumn("shard", F.expr(f"place div {shard_blocks}"))
+    return drawn.groupBy("number", "blocks", "all_slots", "shard").agg(F.count("*").alias("n_blocks"))
+
+
+def deal(sources: DataFrame, shard_blocks: int = SHARD_BLOCKS, seed: int = 7) -> DataFrame:
+    """One row per output slot: (number, block, slot, shard), laid out by the counts drawn for each shard."""
+    counts = shard_counts(sources, shard_blocks, seed).withColumn("span", F.expr(f"shard div {SPAN}"))
+    spans = counts.groupBy("number", "span").agg(F.sum("n_blocks").alias("n"))
+    by_number = Window.partitionBy("number").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select("number", "span", F.coalesce(F.sum("n").over(by_number), F.lit(0)).alias("span_start"))
+    within = Window.partitionBy("number", "span").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    laid = counts.join(spans.hint("merge"), ["number", "span"])
+    laid = laid.withColumn("before", F.col("span_start") + F.coalesce(F.sum("n_blocks").over(within), F.lit(0)))
+    beside = Window.partitionBy("shard").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    laid = laid.withColumn("offset", F.coalesce(F.sum("n_blocks").over(beside), F.lit(0)))
+    dealt = laid.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))).withColumn("j", F.expr("before + i"))
     dealt = dealt.withColumn("key", F.expr(f"(number * 9973 + j div blocks * 31337 + {seed}) % {PRIME}"))
+    # Within a shard the sources are mixed by a permutation of the shard's own.
+    dealt = dealt.withColumn("length", F.least(F.lit(shard_blocks), F.expr(f"all_slots - shard * {shard_blocks}")).cast("long"))
+    slot = f"shard * {shard_blocks} + " + permuted("offset + i", "length", f"(shard + {seed}) % {PRIME}")
     block = permuted("j % blocks", "blocks", "key")
-    slot = permuted("first_slot + j", "all_slots", f"{seed}L")
-    dealt = dealt.select("number", F.expr(block).alias("block"), F.expr(slot).alias("slot"))
-    return dealt.withColumn("shard", F.expr(f"slot div {SHARD_BLOCKS}"))
-
-
-def shard_counts(dealt: DataFrame) -> DataFrame:
-    """Blocks per output shard and source."""
-    return dealt.groupBy("shard", "number").agg(F.count("*").alias("n_blocks"))
+    return dealt.select("number", F.expr(block).alias("block"), F.expr(slot).alias("slot"), "shard")
 
 
 def placed(sizes: DataFrame, sources: DataFrame) -> DataFrame:
@@ -129,23 +154,29 @@ def pieces(rows: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     return cut.withColumn("from_word", low - F.col("start")).withColumn("n_words", high - low)
 
 
-def used_pieces(docs: DataFrame) -> DataFrame:
-    """``pieces`` of all rows plus ``uses``, how often the mix takes them."""
+def used_pieces(docs: DataFrame, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
+    """``pieces`` of all rows plus ``uses``, how often the mix takes them, and the first and last shard that does."""
     sizes = sized(docs)
     sources = plan_sources(sizes)
-    uses = deal(sources).groupBy("number", "block").agg(F.count("*").alias("uses"))
+    uses = deal(sources, shard_blocks).groupBy("number", "block")
+    uses = uses.agg(F.count("*").alias("uses"), F.min("shard").alias("low_shard"), F.max("shard").alias("high_shard"))
     return pieces(placed(sizes, sources)).join(uses.hint("merge"), ["number", "block"], "left").fillna(0, ["uses"])
 
 
-def taken(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of every row; null and empty texts have size 0."""
+def taken(docs: DataFrame, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, first_shard, last_shard) of every row; null and empty texts have size 0.
+
+    Shards are those that hold words of the document; null if none does.
+    """
     words = F.coalesce(F.sum(F.col("n_words") * F.col("uses")), F.lit(0)).alias("taken")
+    shards = [F.min("low_shard").alias("first_shard"), F.max("high_shard").alias("last_shard")]
     by = ["doc_id", "size", "source_size", "target", "number", "start", "text_key"]
     # Rows without words share a place; they are counted apart so that repeated rows stay.
-    cut = used_pieces(docs)
-    full = cut.filter("size > 0").groupBy(*by).agg(words)
-    none = cut.filter("size = 0").select(*by, F.lit(0).cast("long").alias("taken"))
-    return full.unionByName(none).select("doc_id", "size", "source_size", "target", "taken")
+    cut = used_pieces(docs, shard_blocks)
+    full = cut.filter("size > 0").groupBy(*by).agg(words, *shards)
+    nothing = F.lit(None).cast("long")
+    none = cut.filter("size = 0").select(*by, F.lit(0).cast("long").alias("taken"), nothing.alias("first_shard"), nothing.alias("last_shard"))
+    return full.unionByName(none).select("doc_id", "size", "source_size", "target", "taken", "first_shard", "last_shard")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
@@ -180,9 +211,11 @@ def _sql_permuted(table: str, x: str, n: str, key: str, out: str) -> str:
     """DuckDB SQL: ``table`` plus column ``out``, the same permutation as ``permuted``."""
     inner = f"SELECT *, CAST({x} AS BIGINT) AS x, CAST({n} AS BIGINT) AS n_, CAST({key} AS BIGINT) AS key_ FROM {table}"
     for r in range(1, ROUNDS + 1):
-        k = f"((key_ * 48271 + {r} * 69621 + 12345) % {PRIME} * 16807 % {PRIME} % n_)"
-        with_y = f"SELECT *, ({k} - x + n_) % n_ AS y FROM ({inner})"
-        with_m = f"SELECT *, (greatest(x, y) % {PRIME} * 48271 + key_ + {r} * 40503) % {PRIME} AS m FROM ({with_y})"
+        high = f"((key_ * 48271 + {r} * 69621 + 12345) % {PRIME} * 16807 % {PRIME})"
+        low = f"((key_ * 40692 + {r} * 52774 + 67890) % {PRIME} * 48271 % {PRIME})"
+        with_y = f"SELECT *, (({high} * {PRIME} + {low}) % n_ - x + n_) % n_ AS y FROM ({inner})"
+        top = "greatest(x, y)"
+        with_m = f"SELECT *, ({top} % {PRIME} * 48271 + {top} // {PRIME} * 69621 + key_ + {r} * 40503) % {PRIME} AS m FROM ({with_y})"
         inner = f"SELECT * EXCLUDE (x, y, m), CASE WHEN (m * m + m) % {PRIME} // 256 % 2 = 1 THEN y ELSE x END AS x FROM ({with_m})"
     return f"SELECT * EXCLUDE (x, n_, key_), x AS {out} FROM ({inner})"
 
@@ -209,9 +242,18 @@ slotted AS (
   SELECT *, CASE WHEN source_size > 0
     THEN least(CAST(floor(target * blocks / source_size + 0.5) AS BIGINT), blocks * {MAX_EPOCHS}) ELSE 0 END AS slots
   FROM targets),
-slots AS (SELECT number, blocks, unnest(range(slots)) AS j FROM slotted WHERE slots > 0),
+firsts AS (
+  SELECT *, coalesce(sum(slots) OVER (ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_slot,
+    sum(slots) OVER () AS all_slots FROM slotted),
+source_slots AS (SELECT number, blocks, first_slot, all_slots, unnest(range(slots)) AS j FROM firsts WHERE slots > 0),
+drawn AS ({_sql_permuted("source_slots", "first_slot + j", "all_slots", "7", "place")}),
+counts AS (SELECT number, blocks, place // {SHARD_BLOCKS} AS shard, count(*) AS n_blocks FROM drawn GROUP BY ALL),
+laid AS (
+  SELECT *, coalesce(sum(n_blocks) OVER (PARTITION BY number ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM counts),
+slots AS (SELECT number, blocks, shard, CAST(before AS BIGINT) + unnest(range(n_blocks)) AS j FROM laid),
 dealt AS ({_sql_permuted("slots", "j % blocks", "blocks", f"(number * 9973 + j // blocks * 31337 + 7) % {PRIME}", "block")}),
-uses AS (SELECT number, block, count(*) AS uses FROM dealt GROUP BY ALL),
+uses AS (SELECT number, block, count(*) AS uses, min(shard) AS low_shard, max(shard) AS high_shard FROM dealt GROUP BY ALL),
 placed AS (
   SELECT s.*, p.number, p.source_size, p.target, row_number() OVER () AS row_id,
     CAST(coalesce(sum(s.size) OVER (PARTITION BY p.number
@@ -222,7 +264,8 @@ cut AS (
   SELECT *, unnest(range(start // {BLOCK_WORDS}, (start + size - 1) // {BLOCK_WORDS} + 1)) AS block
   FROM placed WHERE size > 0),
 got AS (
-  SELECT row_id, CAST(sum(uses * (least(start + size, (block + 1) * {BLOCK_WORDS}) - greatest(start, block * {BLOCK_WORDS}))) AS BIGINT) AS taken
+  SELECT row_id, CAST(sum(uses * (least(start + size, (block + 1) * {BLOCK_WORDS}) - greatest(start, block * {BLOCK_WORDS}))) AS BIGINT) AS taken,
+    min(low_shard) AS first_shard, max(high_shard) AS last_shard
   FROM cut JOIN uses USING (number, block) GROUP BY row_id)
-SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM placed LEFT JOIN got USING (row_id)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, first_shard, last_shard FROM placed LEFT JOIN got USING (row_id)
 """

@@ -173,11 +173,33 @@ def test_shards_draw_without_replacement(spark):
     dealt = mixing.deal(sources)
     slots = [r["slot"] for r in dealt.select("slot").collect()]
     assert sorted(slots) == list(range(len(slots)))
-    counts = {(r["shard"], r["number"]): r["n_blocks"] for r in mixing.shard_counts(dealt).collect()}
+    counts = {(r["shard"], r["number"]): r["n_blocks"] for r in mixing.shard_counts(sources).collect()}
+    assert counts == {(r["shard"], r["number"]): r["count"] for r in dealt.groupBy("shard", "number").count().collect()}
+    assert all(r["slot"] // mixing.SHARD_BLOCKS == r["shard"] for r in dealt.limit(5000).collect())
     assert len({counts[s, 1] for s in range(5)}) > 1  # counts vary between shards
     assert sum(counts.values()) == sources.first()["all_slots"]
 
 
+def test_shards_are_part_of_the_mix(spark):
+    """Each block is used once per pass, shards are full but the last, and the shard length reaches the result."""
+    sizes = spark.createDataFrame([(i, f"s{i % 3}", 0, 9000) for i in range(30)], "doc_id long, source string, text_key long, size long")
+    sources = mixing.plan_sources(sizes)
+    slots = {r["number"]: (r["slots"], r["blocks"]) for r in sources.collect()}
+    for length in (64, 1000):
+        rows = mixing.deal(sources, length).collect()
+        shards = Counter(r["shard"] for r in rows)
+        assert all(n == length for s, n in shards.items() if s < max(shards)) and shards[max(shards)] <= length
+        for number, (all_slots, blocks) in slots.items():
+            uses = Counter(r["block"] for r in rows if r["number"] == number)
+            assert sum(uses.values()) == all_slots and set(uses) <= set(range(blocks))
+            assert max(uses.values()) - min(uses[b] for b in range(blocks)) <= 1
+    docs = documents(spark, SMALL)
+    small, large = ({r["doc_id"]: r for r in mixing.taken(docs, n).collect()} for n in (16, 1024))
+    assert {i: r["taken"] for i, r in small.items()} == {i: r["taken"] for i, r in large.items()}  # totals stand whatever the shards
+    assert max(r["last_shard"] or 0 for r in small.values()) > max(r["last_shard"] or 0 for r in large.values())
+    assert all((r["first_shard"] is None) == (r["taken"] == 0) for r in small.values())
+
+
 def test_mixed_rows_hold_the_taken_words(spark):
     docs = documents(spark, SMALL)
     taken = {r["doc_id"]: r["taken"] for r in mixing.taken(docs).collect()}
