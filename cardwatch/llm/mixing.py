@@ -33,6 +33,8 @@ SPAN = 4_096
 RUN = 4_096
 ROUNDS = 10
 PRIME = 2_147_483_647
+#: Largest prime below 2**42: block numbers keep their bits, and products with 48271 stay below 2**58.
+WIDE = 4_398_046_511_093
 
 
 def word_count(text: str = "text") -> Column:
@@ -45,12 +47,10 @@ def permuted(x: str, n: str, key: str) -> str:
     Swap-or-not shuffle (Hoang, Morris, Rogaway 2012): in each round x and k - x mod n are partners, and a
     bit that depends on the pair alone says whether they swap. Right for every n, with no retries.
     """
-    high = f"((({key}) * 48271 + r * 69621 + 12345) % {PRIME} * 16807 % {PRIME})"
-    low = f"((({key}) * 40692 + r * 52774 + 67890) % {PRIME} * 48271 % {PRIME})"
-    k = f"(({high} * {PRIME} + {low}) % ({n}))"
+    h = f"((({key}) * 48271 + r * 69621 + 12345) % {PRIME})"
+    k = f"(({h} * 16807 % {PRIME} * {PRIME} + {h}) % ({n}))"
     y = f"(({k} - x + ({n})) % ({n}))"
-    top = f"greatest(x, {y})"
-    mix = f"(({top} % {PRIME} * 48271 + {top} div {PRIME} * 69621 + ({key}) + r * 40503) % {PRIME})"
+    mix = f"((greatest(x, {y}) % {WIDE} * 48271 + ({key}) + r * 40503) % {PRIME})"
     swap = f"({mix} + 1) * {mix} % {PRIME} div 256 % 2 = 1"
     return f"aggregate(sequence(1L, {ROUNDS}L), {x}, (x, r) -> if({swap}, {y}, x))"
 
@@ -116,6 +116,8 @@ def deal(sources: DataFrame, shard_blocks: int = SHARD_BLOCKS, seed: int = 7) ->
     laid = laid.withColumn("before", F.col("span_start") + F.coalesce(F.sum("n_blocks").over(within), F.lit(0)))
     beside = Window.partitionBy("shard").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
     laid = laid.withColumn("offset", F.coalesce(F.sum("n_blocks").over(beside), F.lit(0)))
+    # A shard's few counts become many slots, so they are spread before; sizes seen so far would put them into one task.
+    laid = laid.repartition(int(laid.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard")
     dealt = laid.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))).withColumn("j", F.expr("before + i"))
     dealt = dealt.withColumn("key", F.expr(f"(number * 9973 + j div blocks * 31337 + {seed}) % {PRIME}"))
     # Within a shard the sources are mixed by a permutation of the shard's own.
@@ -211,11 +213,9 @@ def _sql_permuted(table: str, x: str, n: str, key: str, out: str) -> str:
     """DuckDB SQL: ``table`` plus column ``out``, the same permutation as ``permuted``."""
     inner = f"SELECT *, CAST({x} AS BIGINT) AS x, CAST({n} AS BIGINT) AS n_, CAST({key} AS BIGINT) AS key_ FROM {table}"
     for r in range(1, ROUNDS + 1):
-        high = f"((key_ * 48271 + {r} * 69621 + 12345) % {PRIME} * 16807 % {PRIME})"
-        low = f"((key_ * 40692 + {r} * 52774 + 67890) % {PRIME} * 48271 % {PRIME})"
-        with_y = f"SELECT *, (({high} * {PRIME} + {low}) % n_ - x + n_) % n_ AS y FROM ({inner})"
-        top = "greatest(x, y)"
-        with_m = f"SELECT *, ({top} % {PRIME} * 48271 + {top} // {PRIME} * 69621 + key_ + {r} * 40503) % {PRIME} AS m FROM ({with_y})"
+        h = f"((key_ * 48271 + {r} * 69621 + 12345) % {PRIME})"
+        with_y = f"SELECT *, (({h} * 16807 % {PRIME} * {PRIME} + {h}) % n_ - x + n_) % n_ AS y FROM ({inner})"
+        with_m = f"SELECT *, (greatest(x, y) % {WIDE} * 48271 + key_ + {r} * 40503) % {PRIME} AS m FROM ({with_y})"
         inner = f"SELECT * EXCLUDE (x, y, m), CASE WHEN (m * m + m) % {PRIME} // 256 % 2 = 1 THEN y ELSE x END AS x FROM ({with_m})"
     return f"SELECT * EXCLUDE (x, n_, key_), x AS {out} FROM ({inner})"
 
