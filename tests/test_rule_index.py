@@ -79,3 +79,20 @@ def test_strictest_bound_counts_and_bad_tables_are_refused(spark):
         index_from_table(table, FIELDS, max_conditions=1)
     empty = index_from_table(table.limit(0), FIELDS)
     assert rows.select(index_hits(spark, empty).alias("h")).first()["h"] == []
+
+
+@pytest.mark.parametrize(("cell", "group"), [(8192, 65_536), (4, 5), (16, 1000)])
+def test_summary_of_a_rule_table_of_any_size_equals_testing_every_rule(spark, monkeypatch, cell, group):
+    monkeypatch.setattr(rule_index, "MAX_CONDITIONS", 1)
+    monkeypatch.setattr(rule_index, "CELL_ROWS", cell)
+    monkeypatch.setattr(rule_index, "GROUP_ROWS", group)
+    rng = random.Random(cell)
+    conditions = _conditions(rng, 150)
+    rows = [(i, *[rng.choice([None, math.nan, -0.0, float(rng.randrange(20)), rng.random() * 20]) for _ in FIELDS]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double")
+    found = rule_index.hit_summary(df, spark.createDataFrame(conditions, TABLE)).collect()
+    fires = {r[0]: _fires(conditions, dict(zip(FIELDS, r[1:], strict=True))) for r in rows}
+    assert {r["id"]: (r["n_hits"], r["last_code"]) for r in found} == {i: (len(f), f[-1] if f else None) for i, f in fires.items()}
+    assert len(found) == len(rows)
+    none = rule_index.hit_summary(df, spark.createDataFrame(conditions, TABLE).limit(0)).collect()
+    assert {(r["n_hits"], r["last_code"]) for r in none} == {(0, None)}
