@@ -197,3 +197,18 @@ def test_drift_per_batch(spark, txn, folder):
     first = {r["feature"]: r["psi"] for r in found.filter("batch_id = 0").collect()}
     part = features.filter("transaction_id < 'T000000250'")
     assert first == {r["feature"]: pytest.approx(r["psi"]) for r in drift.psi(features, part, names).collect()}
+
+
+def test_few_calls_to_the_state_answer_many_cards(spark, txn, folder):
+    """Ten minutes of many cards are one interval of state, whatever the shards; a card without rows there costs no call."""
+    assert velocity_state.shards_for(0, 0) == 1 and velocity_state.shards_for(10**9, 600_000_000) == 10**9 // 32
+    expected = _rows(velocity.add_velocity(txn).select("transaction_id", *velocity.VELOCITY_COLUMNS))
+    lines = velocity_state.requests(txn, shards=2)
+    assert lines.filter("level = 0").select("part").distinct().count() == 2
+    assert lines.groupBy("row").count().agg(F.max("count")).first()[0] <= 6
+    path = scratch_path(spark, "stream")
+    with settings(spark, velocity_state.STATE_SETTINGS):
+        writer = velocity_state.velocity_writer(_stream(spark, txn, folder), f"{path}/out", shards=2)
+        jobs.run_available(writer, f"{path}/check")
+    found = jobs.read_batches(spark, f"{path}/out", velocity.add_velocity(txn).schema)
+    assert _rows(found.select("transaction_id", *velocity.VELOCITY_COLUMNS)) == expected
