@@ -64,3 +64,14 @@ def test_stored_days_merge_to_any_span(frame):
 def test_tables_without_rows(frame):
     assert sketches.exact_quantiles(frame.limit(0), NAMES, PROBABILITIES).collect() == []
     assert sketches.daily_sketches(frame.limit(0), NAMES).collect() == []
+
+
+def test_flags_and_counts_take_one_pass(frame, monkeypatch):
+    """Parts whose rows are all equal need not be cut on; numbers of no limit to their digits take a second pass and a list."""
+    passes = []
+    counted = sketches._counted
+    monkeypatch.setattr(sketches, "_counted", lambda df, features, cuts: passes.append(sorted(cuts)) or counted(df, features, cuts))
+    found = {r["feature"]: r["quantiles"] for r in sketches.exact_quantiles(frame, NAMES, PROBABILITIES, few=50).collect()}
+    expected = _expected(_rows())
+    assert {name: found[name] for name in ("two", "flag", "one")} == {name: expected[name] for name in ("two", "flag", "one")}
+    assert len(passes) <= 2 and all(NAMES[f] in ("smooth", "heavy") for later in passes[1:] for f in later)
