@@ -197,13 +197,16 @@ def check_json(df: DataFrame, column: str = "value") -> DataFrame:
     # One parse gives the values with their JSON types and the keys that are there.
     parsed = _once(df, {"_fields": F.from_json(column, T.MapType(T.StringType(), T.VariantType()))})
     parsed = parsed.withColumn("_keys", F.map_keys("_fields"))
-    inputs = {}
+    inputs, given = {}, {}
     for rule in FIELD_RULES:
         value = F.col("_fields")[rule.name]
         raw = F.try_variant_get(value, "$", "string")
         if rule.kind == "text":
             raw = F.when(F.schema_of_variant(value) == "STRING", raw)
-        inputs[rule.name] = _Input(raw, T.StringType(), value.isNotNull())
+        given |= {f"_r_{rule.name}": raw, f"_h_{rule.name}": value.isNotNull()}
+        inputs[rule.name] = _Input(F.col(f"_r_{rule.name}"), T.StringType(), F.col(f"_h_{rule.name}"))
+    # A field is looked up once; its conversion mentions the text up to ten times.
+    parsed = _once(parsed, given)
     unknown = F.array_except("_keys", F.array(*[F.lit(name) for name in names]))
     extra = F.transform(unknown, lambda name: F.struct(name.alias("field"), F.lit("unknown_field").alias("code")))
     broken = F.array(F.struct(F.lit("").alias("field"), F.lit("not_an_object").alias("code")))
@@ -211,7 +214,7 @@ def check_json(df: DataFrame, column: str = "value") -> DataFrame:
     n_known = sum((F.col(f"_p_{name}").cast("int") for name in names), F.lit(0))
     checked = _checked(parsed, inputs, F.when(F.size("_keys") > n_known, extra).otherwise(none))
     errors = F.when(F.col("_keys").isNotNull(), F.col("errors")).otherwise(broken)
-    return checked.withColumn("errors", errors).drop("_fields", "_keys")
+    return checked.withColumn("errors", errors).drop("_fields", "_keys", *given)
 
 
 def valid_rows(checked: DataFrame, carry: Sequence[str] = ()) -> DataFrame:

@@ -6,7 +6,8 @@ import pytest
 from conftest import plain
 from pyspark.sql import functions as F
 
-from cardwatch.operators.contract import check_json, check_table, error_counts, quarantined_rows, valid_rows
+from cardwatch.operators.contract import FIELD_RULES, check_json, check_table, error_counts, quarantined_rows, valid_rows
+from cardwatch.session import settings
 from cardwatch.sources.tables import explode_batches, to_payload
 
 PLAIN = plain()
@@ -128,3 +129,10 @@ def test_broken_requests_are_refused_not_lost(spark):
     items = explode_batches(spark.createDataFrame(list(enumerate(bodies)), "request int, value string"))
     found = {r["request"]: len(r["errors"]) for r in check_json(items).select("request", "errors").collect()}
     assert found == {0: 1, 1: 1, 2: 1, 3: 1, 4: 0}
+
+
+def test_each_json_field_is_looked_up_once(spark):
+    with settings(spark, {"spark.sql.debug.maxToStringFields": "1000"}):
+        plan = check_json(spark.createDataFrame([("{}",)], "value string"))._jdf.queryExecution().optimizedPlan().toString()
+    # The value, whether it is there, and the type of texts.
+    assert len(FIELD_RULES) <= plan.count("_fields#") - 1 <= 3 * len(FIELD_RULES)
