@@ -564,6 +564,42 @@ def test_few_like_lines_of_a_large_mixed_band_are_all_found(spark):
     assert {r["node"]: r["component"] for r in found.collect()} == expected
 
 
+def test_pairs_of_a_band_are_compared_before_texts_are_read(spark):
+    rng = np.random.default_rng(12)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    texts = [(k, "one common start of a line: " + "".join(rng.choice(letters, 120))) for k in range(60)]
+    texts += [(100 + k, texts[k][1][:-1] + "#") for k in range(0, 60, 5)]
+    frame = spark.createDataFrame(texts, "line_key long, line string")
+    signed = lines.signatures(frame)
+    assert [c for c, _ in signed.dtypes] == ["line_key", *[f"s{w}" for w in range(lines.WORDS)]]
+    shared = spark.createDataFrame([(7, k, 0) for k, _ in texts], "band long, line_key long, a long")
+    sketches = lines.sketched(signed)
+    mixed = lines.mixed_bands(shared, spark.createDataFrame([], "node long, component long"))
+    like = {(k, 100 + k) for k in range(0, 60, 5)}
+    assert {tuple(r) for r in lines.compared_pairs(mixed.drop("n"), sketches).collect()} == like
+    assert {tuple(r) for r in lines.first_pairs(shared, sketches).collect()} == {(0, 100)}
+    everything = {(r["node"], r["component"]) for r in lines.united(shared, frame, sketches).collect()}
+    assert everything == {(x, k) for k, other in like for x in (k, other)}
+
+
+def test_sketches_keep_like_lines_in_small_bands(spark):
+    assert len(lines._bands()) == lines.BANDS
+    rng = np.random.default_rng(13)
+    pairs = 3000
+    base = rng.integers(0, 1 << 16, (pairs, lines.LANES))
+    other = np.where(rng.random(base.shape) < 0.8, base, rng.integers(0, 1 << 16, base.shape))
+
+    def words(x):
+        packed = (x.reshape(-1, lines.WORDS, 4).astype(np.uint64) << np.arange(0, 64, 16, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
+        return packed.view(np.int64).tolist()
+
+    rows = [[2 * i, *w] for i, w in enumerate(words(base))] + [[2 * i + 1, *w] for i, w in enumerate(words(other))]
+    signed = spark.createDataFrame(rows, "line_key long, " + ", ".join(f"s{w} long" for w in range(lines.WORDS)))
+    found = lines.first_pairs(lines.banded(signed), lines.sketched(signed)).collect()
+    assert all(a % 2 == 0 and b == a + 1 for a, b in found)
+    assert len(found) >= 0.995 * pairs
+
+
 # 10 ------------------------------------------------------------------------------------------------
 
 
