@@ -30,6 +30,8 @@ SEED = 42
 #: Slices at least, and variants that one slice may hold on average before there are more slices.
 MIN_SLICES = 64
 SLICE_VARIANTS = 32_000_000
+#: Variants that a task holds at once.
+PART_VARIANTS = 1 << 20
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -106,20 +108,39 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def links_in_slice(prints: np.ndarray, number: int, masks: np.ndarray, checks: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between fingerprints of which some variant of this slice is shared, as a forest."""
+    """Links between fingerprints of which some variant of this slice is shared, as a forest.
+
+    Further checks cut the slice into parts of about PART_VARIANTS, one of which is made at a time.
+    """
     prints = np.unique(prints)
-    mask_slice, print_slice = slice_of(masks, checks), slice_of(prints, checks)
-    variants, owners = [], []
-    for wanted in np.unique(mask_slice):
-        own = np.flatnonzero(print_slice ^ number == wanted)
-        flips = masks[mask_slice == wanted]
-        variants.append((prints[own][:, None] ^ flips[None, :]).ravel())
-        owners.append(np.repeat(own, len(flips)))
-    values, owners = np.concatenate(variants), np.concatenate(owners)
+    here = np.bincount(slice_of(prints, checks) ^ number, minlength=1 << len(checks))
+    variants = int(here @ np.bincount(slice_of(masks, checks), minlength=1 << len(checks)))
+    more = (-(-variants // PART_VARIANTS) - 1).bit_length() if variants else 0
+    finer = np.concatenate((checks, np.random.default_rng(65).integers(1, 1 << 63, more, np.uint64) * np.uint64(2) + np.uint64(1)))
+    mask_part, print_part = slice_of(masks, finer), slice_of(prints, finer)
+    masks, prints = masks[np.argsort(mask_part, kind="stable")], prints[np.argsort(print_part, kind="stable")]
+    mask_part, print_part = np.sort(mask_part), np.sort(print_part)
+    wanted, first = np.unique(mask_part, return_index=True)
+    flips = np.split(masks, first[1:])
+    found = []
+    for part in range(1 << more):
+        own = wanted ^ (number | part << len(checks))
+        low, high = np.searchsorted(print_part, own, "left"), np.searchsorted(print_part, own, "right")
+        found.append(_links_in_part(prints, [(a, b, flips[i]) for i, (a, b) in enumerate(zip(low, high, strict=True)) if b > a], radius))
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    return forest(a, b) if more and len(a) else (a, b)
+
+
+def _links_in_part(prints: np.ndarray, groups: list[tuple[int, int, np.ndarray]], radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between ``prints`` that share a variant; each group is a range of them with the flips that make its variants."""
+    if not groups:
+        return prints[:0], prints[:0]
+    values = np.concatenate([(prints[low:high, None] ^ own).ravel() for low, high, own in groups])
     ordered = np.sort(values)
     shared = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
     if not len(shared):
         return prints[:0], prints[:0]
+    owners = np.concatenate([np.repeat(np.arange(low, high), len(own)) for low, high, own in groups])
     at = np.searchsorted(shared, values)
     met = shared[np.minimum(at, len(shared) - 1)] == values
     at, owner = at[met], owners[met]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import tracemalloc
 import time
 from collections import Counter
 
@@ -239,6 +240,22 @@ def test_every_link_within_the_radius_is_found(spark, monkeypatch, slices):
     assert {v: label.get(v, v) for v in signed} == groups
 
 
+def test_simhash_slices_are_made_in_parts(monkeypatch):
+    """A slice of very many variants is held in parts, whose links connect the same fingerprints."""
+    rng = np.random.default_rng(8)
+    prints = rng.integers(0, 1 << 63, 100_000).astype(np.uint64)
+    prints[:20_000] = prints[20_000:40_000] ^ np.uint64(1 << 17) ^ np.uint64(1 << 40)
+    masks, checks = simhash.ball(2), simhash.parity_checks(6)
+    tracemalloc.start()
+    found = simhash.links_in_slice(prints, 5, masks, checks, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+    monkeypatch.setattr(simhash, "PART_VARIANTS", 1 << 40)
+    whole = simhash.links_in_slice(prints, 5, masks, checks, 4)
+    assert len(found[0]) > 500 and sorted(zip(*(x.tolist() for x in found), strict=True)) == sorted(zip(*(x.tolist() for x in whole), strict=True))
+
+
 # 4, 5 ----------------------------------------------------------------------------------------------
 
 
