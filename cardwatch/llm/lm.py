@@ -41,7 +41,7 @@ LEVEL_BASE = 1.5
 #: Bits of the filter per pair, and bits of one 64-bit word that a pair sets.
 PAIR_BITS, PROBES = 11, 4
 #: Bytes of the filter that may be sent to every worker, grams per shard on average at most, bytes of frequent words.
-MAX_BROADCAST = 256 << 20
+MAX_BROADCAST = 128 << 20
 SHARD_GRAMS = 2_000_000
 FREQUENT_BYTES = 16 << 20
 #: Bytes of text that are scored at once.
@@ -291,12 +291,12 @@ def text_scores(owners: np.ndarray, places: np.ndarray, keys: list[np.ndarray],
 _SCORED = "at long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word: binary, times: long>>"
 
 
-def _score_batch(batch: pa.RecordBatch, levels: Callable, frequent: tuple[pa.Array, np.ndarray], model: tuple) -> pa.RecordBatch:
+def _score_batch(batch: pa.RecordBatch, levels_for: Callable, frequent: tuple[pa.Array, np.ndarray], model: tuple) -> pa.RecordBatch:
     order, _, tokens, divisor = model[:4]
     train_docs = model[4]
     words = split_words(batch.column("text"), lower=True)
     owners, places, keys = gram_keys(words, order)
-    score = text_scores(owners, places, keys, levels, len(batch), model[:4])
+    score = text_scores(owners, places, keys, levels_for(keys), len(batch), model[:4])
     at = pc.fill_null(pc.index_in(words.values, value_set=frequent[0]), -1).to_numpy(zero_copy_only=False)
     counts = np.where(at >= 0, frequent[1][at], -1) if len(frequent[1]) else np.full(len(at), -1)
     count, owner = counts[words.codes], words.owners
@@ -320,54 +320,62 @@ def _by_broadcast(rows: DataFrame, model: Model, frequent: tuple, totals: tuple)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, size=SCORE_BYTES):
-            yield _score_batch(batch, whole.value.levels, words.value, totals)
+            yield _score_batch(batch, lambda _: whole.value.levels, words.value, totals)
 
     return rows.mapInArrow(score, _SCORED)
 
 
 def _by_shard(rows: DataFrame, model: Model, frequent: tuple, totals: tuple) -> DataFrame:
-    """Grams go to the shards and levels come back. A chunk of texts is one row, as Arrow bytes, named by its first row."""
+    """Grams go to the shards and levels come back. A chunk of texts is one row, as Arrow bytes, named by its first row.
+
+    A chunk asks with its different grams in order, so the levels alone come back: put in order of shards they are in that of the grams.
+    """
     words = rows.sparkSession.sparkContext.broadcast(frequent)
     order, bits = model.order, model.bits
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, size=SCORE_BYTES):
             if len(batch):
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, batch.schema) as out:
                     out.write_batch(batch)
                 yield pa.RecordBatch.from_pydict({"chunk": batch.column("at").slice(0, 1), "rows": [sink.getvalue().to_pybytes()]})
 
-    def read(blob: bytes) -> pa.RecordBatch:
+    def read(blob: pa.Buffer) -> pa.RecordBatch:
         return pa.ipc.open_stream(blob).read_next_batch()
 
+    def different(keys: list[np.ndarray]) -> np.ndarray:
+        return np.unique(np.concatenate(keys))
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, blob in zip(*(batch.column(n).to_pylist() for n in ("chunk", "rows")), strict=True):
-                keys = np.unique(np.concatenate(gram_keys(split_words(read(blob).column("text"), lower=True), order)[2]))
+            for chunk, blob in zip(*(batch.column(n) for n in ("chunk", "rows")), strict=True):
+                keys = different(gram_keys(split_words(read(blob.as_buffer()).column("text"), lower=True), order)[2])
                 shards = keys >> np.uint64(64 - bits)
                 cuts = np.flatnonzero(np.diff(shards)) + 1
                 parts = np.split(keys, cuts)
-                columns = {"chunk": [chunk] * len(parts), "shard": pa.array(shards[np.append(0, cuts)].astype(np.int32)), "keys": [p.tobytes() for p in parts]}
+                columns = {"chunk": [chunk.as_py()] * len(parts), "shard": pa.array(shards[np.append(0, cuts)].astype(np.int32)), "keys": [p.tobytes() for p in parts]}
                 yield pa.RecordBatch.from_pydict(columns)
 
     def answer(asked: pa.Table, shard: pa.Table) -> pa.Table:
         words = np.frombuffer(shard.column("words")[0].as_py(), np.uint64) if len(shard) else np.empty(0, np.uint64)
         own = Filter(0, np.array([0, len(words)]), words)
-        keys = asked.column("keys").to_pylist()
-        return pa.table({"chunk": asked.column("chunk"), "keys": keys, "levels": [own.levels(np.frombuffer(k, np.uint64)).tobytes() for k in keys]})
+        levels = [own.levels(np.frombuffer(k.as_buffer(), np.uint64)).tobytes() for k in asked.column("keys")]
+        return pa.table({"chunk": asked.column("chunk"), "shard": asked.column("shard"), "levels": pa.array(levels, pa.binary())})
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(x, np.uint64) for x in answers.column("keys").to_pylist()])
-        levels = np.concatenate([np.frombuffer(x, np.uint8) for x in answers.column("levels").to_pylist()])
-        by = np.argsort(keys)
-        keys, levels = keys[by], levels[by]
-        batches = [_score_batch(read(x), lambda k: levels[np.searchsorted(keys, k)], words.value, totals) for x in texts.column("rows").to_pylist()]
-        return pa.Table.from_batches(batches)
+        parts = answers.sort_by("shard").column("levels")
+        levels = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in parts])
+
+        def levels_for(keys: list[np.ndarray]) -> Callable:
+            every = different(keys)
+            return lambda k: levels[np.searchsorted(every, k)]
+
+        return pa.Table.from_batches([_score_batch(read(x.as_buffer()), levels_for, words.value, totals) for x in texts.column("rows")])
 
     texts = written(rows.mapInArrow(cut, "chunk long, rows binary"), "chunks")
     asked = texts.mapInArrow(ask, "chunk long, shard int, keys binary")
-    answers = asked.groupBy("shard").cogroup(model.shards.groupBy("shard")).applyInArrow(answer, "chunk long, keys binary, levels binary")
+    answers = asked.groupBy("shard").cogroup(model.shards.groupBy("shard")).applyInArrow(answer, "chunk long, shard int, levels binary")
     return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, _SCORED)
 
 

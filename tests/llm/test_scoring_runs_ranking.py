@@ -152,6 +152,18 @@ def test_lm_sharded_answers_equal_the_broadcast(spark):
     assert [r[5:] for r in one] == [pytest.approx(r[5:]) for r in two]
 
 
+def test_lm_sharded_chunks_are_no_larger_than_scored_batches(spark, monkeypatch):
+    """With a filter too large to send, a task holds as much text at once as with a small one, and only levels come back."""
+    docs = documents(spark, SMALL)
+    model, kept, written = lm.train(docs), {}, lm.written
+    one = sorted(tuple(r) for r in lm.scored(docs, model).collect())
+    monkeypatch.setattr(lm, "SCORE_BYTES", 50_000)
+    monkeypatch.setattr(lm, "written", lambda df, name: kept.setdefault(name, written(df, name)))
+    two = sorted(tuple(r) for r in lm.scored(docs, model, max_broadcast=0).collect())
+    assert [r[:5] for r in one] == [r[:5] for r in two] and [r[5:] for r in one] == [pytest.approx(r[5:]) for r in two]
+    assert kept["chunks"].count() >= docs.agg(F.sum(F.octet_length("text"))).first()[0] // 200_000 > 1
+
+
 def test_lm_beats_the_base_on_held_out_texts(spark):
     docs = documents(spark, "/root/testdata/sf0.01")
     held = lm.scored(docs, lm.train(docs)).filter("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
