@@ -599,6 +599,39 @@ def test_pairs_of_a_band_are_compared_before_texts_are_read(spark):
     assert everything == {(x, k) for k, other in like for x in (k, other)}
 
 
+def test_pairs_of_a_mixed_band_end_before_texts_are_read(spark, monkeypatch):
+    """Lines of one band that are somewhat alike are no candidates; of those similar enough none is lost."""
+    rng = np.random.default_rng(12)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(2_000)]
+    base, texts = words[:40], []
+    for n in range(80):
+        own = list(base)
+        for at in rng.choice(40, 6, replace=False):
+            own[at] = words[rng.integers(40, 2_000)]
+        texts.append(" ".join(own))
+        if n % 16 == 0:
+            own[int(rng.integers(40))] = "changed"
+            texts.append(" ".join(own))
+    frame = spark.createDataFrame(list(enumerate(texts)), "line_key long, line string")
+    sets = [{x[i : i + lines.SHINGLE] for i in range(len(x) - lines.SHINGLE + 1)} for x in texts]
+    similar = {(a, b) for b in range(len(texts)) for a in range(b) if len(sets[a] & sets[b]) * 100 >= 80 * len(sets[a] | sets[b])}
+    assert 5 <= len(similar) < 20
+    sketches = lines.sketched(lines.signatures(frame))
+    fine = sketches.join(lines.odd_sketches(frame), "line_key")
+    sizes = {r["line_key"]: r["size"] for r in fine.collect()}
+    assert sizes == {n: len(x) for n, x in enumerate(sets)}
+    band = frame.select(F.lit(7).cast("long").alias("band"), "line_key", F.col("line_key").alias("group"))
+    before = {tuple(r) for r in lines.compared_pairs(band, sketches).collect()}
+    after = {tuple(r) for r in lines.compared_pairs(band, fine).collect()}
+    assert similar <= after <= before and len(after) < 100 < len(before) // 5
+
+    kept, written = [], lines.written
+    monkeypatch.setattr(lines, "written", lambda df, name: kept.append((name, written(df, name))) or kept[-1][1])
+    found = {r["node"]: r["component"] for r in lines.united(band.select("band", "line_key", F.lit(0).cast("long").alias("a")), frame, sketches).collect()}
+    assert {n for pair in similar for n in pair} == set(found) and all(found[a] == found[b] for a, b in similar)
+    assert [df.count() for name, df in kept if name == "pairs"][-1] < 100
+
+
 def test_sketches_keep_like_lines_in_small_bands(spark):
     assert len(lines._bands()) == lines.BANDS
     rng = np.random.default_rng(13)
